@@ -8,8 +8,11 @@ null id is ordered before every other id.  A null text is an empty text.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +74,22 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where Python functions are looked up by module, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinbridge_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="kinbridge-")) / "kinbridge.zip"  # served by the driver
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._kinbridge_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
