@@ -75,7 +75,10 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, where Python functions are looked up by module, once a context."""
+    """Send this package to the executors, where Python functions are looked up by module, once a context.
+
+    Also sets the rows of an Arrow batch for the session.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_kinbridge_shipped", False):
         return
@@ -85,6 +88,8 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(archive))
+    # texts of a batch are in a Python worker's memory at once
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc._kinbridge_shipped = True
 
 

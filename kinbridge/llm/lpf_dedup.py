@@ -40,7 +40,7 @@ def rank_levels(text: np.ndarray, left: np.ndarray, most: int) -> list[tuple[int
     for j in range(size):
         key = (key << np.uint64(8)) | text[at + j].astype(np.uint64)
     while True:
-        rank = np.full(n, -1, np.int64)
+        rank = np.full(n, -1, np.int32)
         order = np.argsort(key)
         ordered = key[order]
         fresh = np.ones(len(at), np.int64)

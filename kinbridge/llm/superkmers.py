@@ -67,7 +67,7 @@ class Units:
             return _BYTE_CODES[np.frombuffer(units, np.uint8)]
         out = np.empty(len(units), np.uint64)
         digest = xxhash.xxh3_64_intdigest
-        if len(memo) > 400_000:
+        if len(memo) > 100_000:
             memo.clear()
         for i, w in enumerate(units):
             c = memo.get(w)
@@ -300,7 +300,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 Solve = Callable[[list[bytes], str], tuple[np.ndarray, np.ndarray]]
 
 
-def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES // 2) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES // 4) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of windows that ``solve`` finds among the strings of whole buckets.
 
     solve(strings, mode) gets strings in order of bucket, document and place and returns (string,
