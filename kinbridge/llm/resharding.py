@@ -3,8 +3,9 @@
 Rows belong to old shards; each is cut into blocks by a hash of the id.  From the old shards' sizes and
 the new capacities a minimum-cost flow (a byte that stays costs nothing, any other 1) tells how many bytes
 go from each old shard to each new one.  Within an old shard, in order of blocks, bytes stay first
-and then fill the flows in turn, so blocks move whole but where a flow ends inside one.  Only block
-sizes are ordered in one place; rows are ordered within their blocks.  Affected shards are written anew.
+and then fill the flows in turn, so blocks move whole; rows of the few blocks in which a flow ends are
+dealt one by one, so that sizes come close to the capacities.  Rows are ordered only within their
+blocks.  Affected shards are written anew.
 
 A null text is empty; null ids are hashed as a value; repeated rows are rows of their own; a row's size
 is the bytes of its text plus one, so empty texts are placed too; an empty table gives empty shards; extra
@@ -17,6 +18,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinbridge.llm.common import cut, shared_path
 
@@ -84,48 +86,81 @@ def solve(old_sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, i
     return out
 
 
-def assign(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The documents with columns _old, _shard and _slot (gapless from 0 in each shard)."""
+def _deal(rows: list[tuple], moves: list[tuple[int, int, int, int]], need: list[int], slots: list[int]) -> list[tuple]:
+    """(old, block, [(shard, slot)] in row order) of blocks in which flows end.
+
+    rows: (old, block, first byte, size) in order of old, block and row.  The largest rows go first, each to
+    that of its block's shards that still needs most.
+    """
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][3], i))
+    ends: dict[tuple[int, int], int] = {}
+    for old, block, at, size in rows:
+        ends[old, block] = max(ends.get((old, block), 0), at + size)
+    allowed: dict[tuple[int, int], list[int]] = {}
+    shard = [0] * len(rows)
+    for i in order:
+        old, block, at, size = rows[i]
+        key = old, block
+        if key not in allowed:
+            low = min(r[2] for r in rows if r[:2] == key)
+            allowed[key] = [j for o, a, b, j in moves if o == old and a < ends[key] and b > low]
+        shard[i] = max(allowed[key], key=lambda j: (need[j], -j))
+        need[shard[i]] -= size
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, (old, block, _, _) in enumerate(rows):
+        out.setdefault((old, block), []).append((shard[i], slots[shard[i]]))
+        slots[shard[i]] += 1
+    return [(old, block, pieces) for (old, block), pieces in out.items()]
+
+
+def assign(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, list[int]]:
+    """The documents with columns _old, _shard and _slot (gapless from 0 in each shard); the shards that stay as they are."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = (F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + 1).cast("long")
-    rows = docs.count()
-    blocks = max(1, rows // block_rows)
-    sized = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_hash": F.xxhash64(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    # a block is a narrow range of hashes in an old shard; there are as many ranges as the rows ask for
-    sized = sized.withColumn("_block", F.floor(F.shiftrightunsigned("_hash", 33).cast("double") / float(1 << 31) * blocks).cast("long"))
-    by_block = cut(sized.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes")), "reshard-blocks")
+    size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
+    keyed = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_hash": F.xxhash64(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    blocks = max(1, docs.count() // block_rows)
+    # a block is a range of hashes in an old shard; there are as many ranges as the rows ask for
+    keyed = keyed.withColumn("_block", F.floor(F.shiftrightunsigned("_hash", 33).cast("double") / float(1 << 31) * blocks).cast("long"))
+    by_block = cut(keyed.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")), "reshard-blocks")
     by_old = {r["_old"]: r["bytes"] for r in by_block.groupBy("_old").agg(F.sum("bytes").alias("bytes")).collect()}
     plan = solve(by_old, shards) if by_old else []
-    moves = spark.createDataFrame(plan, "_old int, _from long, _to long, _shard int")
+    moves = spark.createDataFrame(plan, "_old int, from long, to long, shard int")
     before = Window.partitionBy("_old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_block.select("_old", "_block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_old", "_block").orderBy("_hash", id_col)
-    dealt = sized.repartition(parts, "_old", "_block").withColumns({"_n": F.row_number().over(inside), "_at": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1))})
-    dealt = dealt.join(offsets, ["_old", "_block"]).withColumn("_at", F.coalesce("_at", F.lit(0)) + F.col("_offset"))
-    # at most old shards times new shards moves: a fixed bound
-    pick = F.broadcast(moves.groupBy("_old").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_shard"))).alias("_moves")))
-    chosen = F.filter("_moves", lambda m: (F.col("_at") >= m["_from"]) & (F.col("_at") < m["_to"]))
-    placed = dealt.join(pick, "_old").withColumn("_shard", F.element_at(chosen, 1)["_shard"])
-    return placed.select(*docs.columns, "_old", "_block", "_n", "_size", "_shard")
-
-
-def with_slots(placed: DataFrame) -> DataFrame:
-    """Adds _slot: rows of a shard are numbered by old shard, block and place in the block."""
-    groups = placed.groupBy("_shard", "_old", "_block").agg(F.count("*").alias("rows"), F.min("_n").alias("_first"))
-    before = Window.partitionBy("_shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("_shard", "_old", "_block", "_first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start"))
-    return placed.join(starts, ["_shard", "_old", "_block"]).withColumn("_slot", F.col("_start") + F.col("_n") - F.col("_first")).drop("_start", "_first")
+    at = by_block.withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    # at most old shards + new shards moves: a fixed bound
+    inside = at.join(F.broadcast(moves), "_old").where("from <= at and at + bytes <= to").select("_old", "_block", "bytes", "rows", "shard")
+    above = Window.partitionBy("shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut(inside.withColumn("start", F.coalesce(F.sum("rows").over(above), F.lit(0))), "reshard-whole")
+    # the few blocks in which a flow ends: a bounded number of rows, dealt so that the capacities are met closely
+    ending = at.join(whole.select("_old", "_block"), ["_old", "_block"], "left_anti").select("_old", "_block", "at")
+    split = keyed.select("_old", "_block", "_hash", F.col(id_col).alias("_id"), "_size").join(ending, ["_old", "_block"])
+    own = Window.partitionBy("_old", "_block").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = split.withColumn("at", F.col("at") + F.coalesce(F.sum("_size").over(own), F.lit(0))).orderBy("_old", "_block", "_hash", "_id").select("_old", "_block", "at", "_size").collect()
+    need, slots = capacities(sum(by_old.values()), shards), [0] * shards
+    for r in whole.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect():
+        need[r["shard"]] -= r["bytes"]
+        slots[r["shard"]] = r["rows"]
+    dealt = spark.createDataFrame(_deal([tuple(r) for r in rows], plan, need, slots), "_old int, _block long, pieces array<struct<shard:int,slot:long>>")
+    meta = whole.select("_old", "_block", "shard", "start", F.lit(None).cast("array<struct<shard:int,slot:long>>").alias("pieces")).unionByName(dealt.withColumns({"shard": F.lit(None).cast("int"), "start": F.lit(None).cast("long")}))
+    n = F.row_number().over(Window.partitionBy("_old", "_block").orderBy("_hash", id_col))
+    placed = keyed.join(meta, ["_old", "_block"]).withColumn("_n", n)
+    piece = F.element_at("pieces", F.col("_n"))
+    placed = placed.withColumns({"_shard": F.coalesce("shard", piece["shard"]), "_slot": F.coalesce(F.col("start") + F.col("_n") - 1, piece["slot"])})
+    moving = {s for o, _, _, j in plan if o != j for s in (o, j)}
+    return placed.select(*docs.columns, "_old", "_shard", "_slot"), [o for o in by_old if o < shards and o not in moving]
 
 
 def reshard(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, str]:
-    """Write the shards as ``path/_shard=i`` and return them with _shard and _slot, and the path.
+    """Write the affected shards as ``path/_shard=i``; all documents with _old, _shard and _slot, and the path.
 
-    A shard whose rows all stay and that gains none is still read from there: it is written as it was.
+    A shard that keeps all its rows and gains none is not written; its rows are read from docs.
     """
     spark: SparkSession = docs.sparkSession
     path = path or shared_path(spark, "shards")
-    placed = assign(docs, shards, old_shard, id_col, text_col, block_rows)
-    placed.write.option("compression", "zstd").partitionBy("_shard").parquet(path)
-    schema = placed.drop("_shard").schema.add("_shard", "int")
-    return with_slots(spark.read.schema(schema).parquet(path)), path
+    placed, still = assign(docs, shards, old_shard, id_col, text_col, block_rows)
+    moved = placed.where(~F.col("_shard").isin(still)) if still else placed
+    moved.write.option("compression", "zstd").partitionBy("_shard").parquet(path)
+    written = spark.read.schema(placed.drop("_shard").schema.add("_shard", T.IntegerType())).parquet(path)
+    if still:
+        written = written.unionByName(placed.where(F.col("_shard").isin(still)))
+    return written, path
