@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinbridge.llm import bpe, decontaminate, lpf_dedup, resharding, secret_scan, simhash, substring_dedup, warc_archive
+from kinbridge.llm import bpe, decontaminate, lpf_dedup, quality_cnn, quality_rules, resharding, secret_scan, simhash, substring_dedup, warc_archive
 from kinbridge.llm.common import shared_path, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_documents(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, with_ids=False)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -34,6 +38,11 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_cnn.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc_archive.write(table(spark, sf_dir, "pages"), path)
@@ -64,9 +73,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_resharding": op4_resharding,
+    "op5_quality_cnn": op5_quality_cnn,
     "op6_warc_archive": op6_warc_archive,
     "op7_simhash": op7_simhash,
     "op8_lpf_dedup": op8_lpf_dedup,
