@@ -189,3 +189,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labels = named.join(names, "root").select("fp", "component_id")
     out = prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of the least id of each component, all columns kept; of rows that repeat that id, one.
+
+    A component whose ids are all null keeps one row.
+    """
+    named = near_duplicates(docs, shingle, radius, id_col, text_col)
+    # the representatives' ids are unique; a null stands for a component without ids
+    chosen = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.min("fingerprint").alias("_fp"))
+    chosen = chosen.withColumnRenamed(id_col, "_id")
+    kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id", "_fp")
+    return kept.dropDuplicates([id_col])
