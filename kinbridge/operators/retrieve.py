@@ -60,12 +60,12 @@ def union_candidates(parts: list[DataFrame], top_k: int | None = None) -> DataFr
 
 def merge_channels(parts: dict[str, DataFrame]) -> DataFrame:
     """One row a pair: s_<channel> and r_<channel> (null if absent), mask, s_sum, r_sum, n_cand, n_channels, s_best."""
-    rows = reduce(DataFrame.unionByName, [p.select("q", "t", "score", "rank", F.lit(i).alias("ch")) for i, p in enumerate(parts.values())])
+    rows = reduce(DataFrame.unionByName, [p.select("q", "t", "score", "rank", F.lit(i).alias("ch"), F.lit(1 << i).alias("bit")) for i, p in enumerate(parts.values())])
     of = lambda i, c: F.max(F.when(F.col("ch") == i, F.col(c)))
     columns = [x for i, n in enumerate(parts) for x in (of(i, "score").alias(f"s_{n}"), of(i, "rank").alias(f"r_{n}"))]
-    merged = rows.groupBy("q", "t").agg(*columns, F.bit_or(F.shiftleft(F.lit(1), F.col("ch"))).alias("mask"), F.round(F.sum("score"), 6).alias("s_sum"))
+    merged = rows.groupBy("q", "t").agg(*columns, F.bit_or("bit").cast("int").alias("mask"), F.round(F.sum("score"), 6).alias("s_sum"))
     all_of = Window.partitionBy("q")
-    return ranked(merged, score="s_sum", rank="r_sum").withColumns({"n_cand": F.count("*").over(all_of), "s_best": F.max("s_sum").over(all_of), "n_channels": F.bit_count("mask")})
+    return ranked(merged, score="s_sum", rank="r_sum").withColumns({"n_cand": F.count("*").over(all_of), "s_best": F.max("s_sum").over(all_of), "n_channels": F.bit_count("mask").cast("int")})
 
 
 def cap_merged(merged: DataFrame, cap: int) -> DataFrame:
