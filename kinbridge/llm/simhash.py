@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import cut, slices, text_bytes
+from kinbridge.llm.common import NULL_ID, cut, id_key, slices, text_bytes
 from kinbridge.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -85,80 +85,83 @@ def near_points(r: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what links within the radius connect; at most one a fingerprint."""
-    rest, a, b = fps, [], []
-    while len(rest) > 1:
-        front, rest = rest[:1], rest[1:]
-        top = front[0]
-        while len(front) and len(rest):
-            near = np.zeros(len(rest), bool)
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def forest(ids: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links within the radius connect; at most one a row."""
+    a, b = [], []
+    while len(ids) > 1:
+        top, front = ids[0], words[:1]
+        ids, words = ids[1:], words[1:]
+        while len(front) and len(ids):
+            near = np.zeros(len(ids), bool)
             for f in front:
-                near |= np.bitwise_count(rest ^ f) <= radius
+                near |= distances(words, f) <= radius
                 if near.all():
                     break
-            front, rest = rest[near], rest[~near]
+            front = words[near]
+            b.append(ids[near])
             a.append(np.full(len(front), top))
-            b.append(front)
+            ids, words = ids[~near], words[~near]
     if not a:
-        return np.empty(0, fps.dtype), np.empty(0, fps.dtype)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(a), np.concatenate(b)
 
 
-def bucket_links(radius: int, small: int = 24) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links in buckets, from rows (key, fp) sorted by both; a bucket may span batches."""
+def bucket_links(radius: int, words: int, small: int = 24) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) of ids in buckets, from rows (key, id, w0, ...) sorted by key and id; a bucket may span batches."""
 
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def links(key: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(edge, len(key)))
-        in_large = np.repeat(sizes > small, sizes)
+        few = np.repeat(sizes <= small, sizes)
         a, b = [], []
-        u, k = fp[~in_large], key[~in_large]
+        k, i, u = key[few], ids[few], x[few]
         for lag in range(1, small):
-            if len(u) <= lag:
+            hit = np.flatnonzero(k[lag:] == k[:-lag])
+            if not len(hit):
                 break
-            same = k[lag:] == k[:-lag]
-            if not same.any():
-                break
-            hit = np.flatnonzero(same)
-            hit = hit[np.bitwise_count(u[hit] ^ u[hit + lag]) <= radius]
-            a.append(u[hit])
-            b.append(u[hit + lag])
+            hit = hit[distances(u[hit], u[hit + lag]) <= radius]
+            a.append(i[hit])
+            b.append(i[hit + lag])
         for at, n in zip(edge[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-            x, y = forest(fp[at : at + n], radius)
-            a.append(x)
-            b.append(y)
-        x, y = (np.concatenate(v) if v else np.empty(0, np.uint64) for v in (a, b))
-        if not len(x):
+            for side, found in zip((a, b), forest(ids[at : at + n], x[at : at + n], radius), strict=True):
+                side.append(found)
+        if not sum(map(len, a)):
             return None
-        pairs = np.unique(np.stack([x, y], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], names=["a", "b"])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
-            held.append((batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)))
+            x = np.stack([batch[f"w{j}"].to_numpy().view(np.uint64) for j in range(words)], 1)
+            held.append((batch["key"].to_numpy(), batch["id"].to_numpy(), x))
             n += batch.num_rows
             if n < 1 << 17:
                 continue
-            key, fp = (np.concatenate(v) for v in zip(*held, strict=True))
+            key, ids, x = (np.concatenate(v) for v in zip(*held, strict=True))
             whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            if whole and (out := links(key[:whole], fp[:whole])) is not None:
-                yield out
-            held, n = [(key[whole:], fp[whole:])], len(key) - whole
-        if n:
-            key, fp = (np.concatenate(v) for v in zip(*held, strict=True))
-            if (out := links(key, fp)) is not None:
+            if whole and (out := links(key[:whole], ids[:whole], x[:whole])) is not None:
                 yield out
+            held, n = [(key[whole:], ids[whole:], x[whole:])], len(key) - whole
+        if n and (out := links(*(np.concatenate(v) for v in zip(*held, strict=True)))) is not None:
+            yield out
 
     return run
 
 
+def in_buckets(rows: DataFrame, radius: int, words: int) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(bucket_links(radius, words), "a long, b long")
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, crowded: int = 20_000) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column fp) within the radius."""
-    spark = fps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(radius))]))
     keyed = fps.select(keys.alias("key"), "fp")
     counts = keyed.groupBy("key").count().where(F.col("count") > crowded).select("key")
@@ -167,7 +170,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, crowded: int = 20_00
     many = not hot.isEmpty()
     if many:
         rows = keyed.join(hot, "key", "left_anti")
-    found = rows.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(bucket_links(radius), "a long, b long")
+    found = in_buckets(rows.select("key", F.col("fp").alias("id"), F.col("fp").alias("w0")), radius, 1)
     if many:
         members = keyed.join(hot, "key", "left_semi").select("fp").distinct()
         low, high = near_points(radius // 2), near_points(radius - radius // 2)
@@ -191,14 +194,91 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of the least id of each component, all columns kept; of rows that repeat that id, one.
+# ---- a wider sketch: near copies by the similarity of their shingle sets
+
+WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 128, 22
+#: Sampled blocks: so many keys of so many bits.  At the radius a pair shares one with a probability of
+#: 0.94, at the mean distance of a similarity of 0.8 (19 bits) of 0.99; near copies come in groups, and
+#: any link joins a group.
+WIDE_KEYS, WIDE_KEY_BITS = 128, 20
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def wide_sketch(words: list[bytes], shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
+    """128 bits of the set of shingles, as two signed integers; no words: zero."""
+    if not words:
+        return 0, 0
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+    h = np.fromiter(hashes, np.uint64, len(hashes))
+    out = []
+    with np.errstate(over="ignore"):
+        for c in _MIX:
+            g = h * np.uint64(c)
+            g ^= g >> np.uint64(32)
+            g *= np.uint64(0xBF58476D1CE4E5B9)
+            g ^= g >> np.uint64(29)
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(g), CHUNK):
+                ones += np.unpackbits(g[at : at + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * ones > len(g), bitorder="little").view(np.int64)[0]))
+    return out[0], out[1]
+
+
+def sampled_blocks(keys: int = WIDE_KEYS, bits: int = WIDE_KEY_BITS) -> np.ndarray:
+    """keys x bits places of the sketch, by a fixed generator."""
+    rng = np.random.default_rng(20)
+    return np.stack([rng.permutation(WIDE_BITS)[:bits] for _ in range(keys)])
+
+
+def wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, w0, w1) for each sampled block of each row (id, w0, w1)."""
+    blocks = sampled_blocks()
+    weights = 1 << np.arange(WIDE_KEY_BITS, dtype=np.int64)
+    for batch in batches:
+        x = np.stack([batch["w0"].to_numpy(), batch["w1"].to_numpy()], 1)
+        bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
+        key = bits[:, blocks].astype(np.int64) @ weights | np.arange(WIDE_KEYS, dtype=np.int64) << WIDE_KEY_BITS
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(batch[c].to_numpy(), WIDE_KEYS)) for c in ("id", "w0", "w1"))], names=["key", "id", "w0", "w1"])
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, tag, root): each distinct document and its group.
+
+    Two documents are near copies if their fingerprints link (``near_duplicates``), or if their sets of
+    five-word shingles have wide sketches within 22 of 128 bits, which stands for a similarity of 0.8.
+    """
+    keyed = docs.select(id_key(id_col).alias("d"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"), text_bytes(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(pc.binary_length(batch["text"]).to_pylist(), 1 << 22):
+                part = batch.slice(lo, hi - lo)
+                texts = [t.as_py() for t in part["text"]]
+                wide = np.array([wide_sketch(t.lower().split()) for t in texts], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part["d"], part["tag"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["d", "tag", "fp", "w0", "w1"])
+
+    prints = cut(keyed.mapInArrow(run, "d long, tag long, fp long, w0 long, w1 long"), "simhash-prints").withColumn("node", F.xxhash64("fp", "w0", "w1"))
+    nodes = prints.select("node", "fp", "w0", "w1").distinct()
+    # nodes of one fingerprint, and nodes of one sketch, are linked to the least of them
+    hub = lambda by: nodes.join(nodes.groupBy(*by).agg(F.min("node").alias("a")), by).where("a <> node").select("a", F.col("node").alias("b"))
+    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    links = fingerprint_links(of_fp.select("fp"))
+    links = links.join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    wide = nodes.groupBy("w0", "w1").agg(F.min("node").alias("id")).select("id", "w0", "w1")
+    spread = wide.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(wide_keys, "key long, id long, w0 long, w1 long")
+    edges = hub(["fp"]).unionByName(hub(["w0", "w1"])).unionByName(links).unionByName(in_buckets(spread, WIDE_RADIUS, 2))
+    roots = connected_components(edges)
+    return prints.join(roots, "node", "left").select("d", "tag", F.coalesce("root", F.col("node")).alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies, that of the least id; all columns are kept.
 
-    A component whose ids are all null keeps one row.
+    Ids that are null come last; documents that share an id go by their texts' hashes; a row that is
+    repeated stays once.
     """
-    named = near_duplicates(docs, shingle, radius, id_col, text_col)
-    # the representatives' ids are unique; a null stands for a component without ids
-    chosen = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.min("fingerprint").alias("_fp"))
-    chosen = chosen.withColumnRenamed(id_col, "_id")
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id", "_fp")
-    return kept.dropDuplicates([id_col])
+    groups = near_copy_groups(docs, id_col, text_col)
+    chosen = groups.groupBy("root").agg(F.min(F.struct((F.col("d") == NULL_ID).alias("n"), F.col("d").alias("_d"), F.col("tag").alias("_tag"))).alias("k")).select("k._d", "k._tag")
+    keyed = docs.withColumns({"_d": id_key(id_col), "_tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    return keyed.join(chosen, ["_d", "_tag"]).dropDuplicates(["_d", "_tag"]).select(*docs.columns)
