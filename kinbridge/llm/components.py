@@ -9,7 +9,7 @@ from kinbridge.llm.common import cut
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): each node of an edge (a, b) with the smallest node that it reaches.
+    """(node, root): each node of an edge (a, b), but the roots, with the smallest node that it reaches.
 
     Large-star, then small-star, until nothing changes; every round is written to the shared folder, so
     plans stay short and a lost executor costs one round at most.  Nothing is gathered on the driver

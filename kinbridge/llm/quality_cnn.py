@@ -191,8 +191,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 part = batch.slice(lo, hi - lo)
                 texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part[text_col]]
                 score = scores(model, tables, texts) if tables else np.full(len(texts), model)
-                yield pa.RecordBatch.from_arrays([*(part[n] for n in out), pa.array(score, pa.float64())], names=[*out, "_score"])
+                yield pa.RecordBatch.from_arrays([*(part[n] for n in out), pa.array(score, pa.float64())], names=[*out, "__kb_score"])
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
-    scored = scored.withColumns({"held_out": is_held_out(id_col), "score": F.col("_score"), "predicted": (F.col("_score") >= predict_at).cast("int")})
-    return scored.drop("_score")
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__kb_score", T.DoubleType())]))
+    scored = scored.withColumns({"held_out": is_held_out(id_col), "score": F.col("__kb_score"), "predicted": (F.col("__kb_score") >= predict_at).cast("int")})
+    return scored.drop("__kb_score")

@@ -113,41 +113,54 @@ def _deal(rows: list[tuple], moves: list[tuple[int, int, int, int]], need: list[
     return [(old, block, pieces) for (old, block), pieces in out.items()]
 
 
+#: Added columns; a document's own columns of these names are replaced.
+ADDED = ("_old", "_shard", "_slot")
+#: Prefix of columns that exist only inside.
+_P = "__kb_"
+
+
 def assign(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, list[int]]:
-    """The documents with columns _old, _shard and _slot (gapless from 0 in each shard); the shards that stay as they are."""
+    """The documents with columns _old, _shard and _slot (gapless from 0 in each shard); the shards that stay as they are.
+
+    A null old shard is shard -1.
+    """
     spark = docs.sparkSession
-    size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
-    keyed = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_hash": F.xxhash64(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    names = [c for c in docs.columns if c not in ADDED]
+    old, block, size, key, at, n = (f"{_P}{x}" for x in ("old", "block", "size", "hash", "at", "n"))
+    own_size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
+    keyed = docs.withColumns({old: F.coalesce(old_shard.cast("int"), F.lit(-1)), size: own_size, key: F.xxhash64(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     blocks = max(1, docs.count() // block_rows)
     # a block is a range of hashes in an old shard; there are as many ranges as the rows ask for
-    keyed = keyed.withColumn("_block", F.floor(F.shiftrightunsigned("_hash", 33).cast("double") / float(1 << 31) * blocks).cast("long"))
-    by_block = cut(keyed.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")), "reshard-blocks")
-    by_old = {r["_old"]: r["bytes"] for r in by_block.groupBy("_old").agg(F.sum("bytes").alias("bytes")).collect()}
+    keyed = keyed.withColumn(block, F.floor(F.shiftrightunsigned(key, 33).cast("double") / float(1 << 31) * blocks).cast("long"))
+    by_block = cut(keyed.groupBy(old, block).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")), "reshard-blocks")
+    by_old = {r[old]: r["bytes"] for r in by_block.groupBy(old).agg(F.sum("bytes").alias("bytes")).collect()}
     plan = solve(by_old, shards) if by_old else []
-    moves = spark.createDataFrame(plan, "_old int, from long, to long, shard int")
-    before = Window.partitionBy("_old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    at = by_block.withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    moves = spark.createDataFrame(plan, f"{old} int, from long, to long, {_P}shard int")
+    before = Window.partitionBy(old).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_block.withColumn(at, F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     # at most old shards + new shards moves: a fixed bound
-    inside = at.join(F.broadcast(moves), "_old").where("from <= at and at + bytes <= to").select("_old", "_block", "bytes", "rows", "shard")
-    above = Window.partitionBy("shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = cut(inside.withColumn("start", F.coalesce(F.sum("rows").over(above), F.lit(0))), "reshard-whole")
+    inside = starts.join(F.broadcast(moves), old).where(f"from <= {at} and {at} + bytes <= to").select(old, block, "bytes", "rows", f"{_P}shard")
+    above = Window.partitionBy(f"{_P}shard").orderBy(old, block).rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut(inside.withColumn(f"{_P}start", F.coalesce(F.sum("rows").over(above), F.lit(0))), "reshard-whole")
     # the few blocks in which a flow ends: a bounded number of rows, dealt so that the capacities are met closely
-    ending = at.join(whole.select("_old", "_block"), ["_old", "_block"], "left_anti").select("_old", "_block", "at")
-    split = keyed.select("_old", "_block", "_hash", F.col(id_col).alias("_id"), "_size").join(ending, ["_old", "_block"])
-    own = Window.partitionBy("_old", "_block").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = split.withColumn("at", F.col("at") + F.coalesce(F.sum("_size").over(own), F.lit(0))).orderBy("_old", "_block", "_hash", "_id").select("_old", "_block", "at", "_size").collect()
+    ending = starts.join(whole.select(old, block), [old, block], "left_anti").select(old, block, at)
+    split = keyed.select(old, block, key, F.col(id_col).alias("id"), size).join(ending, [old, block])
+    own = Window.partitionBy(old, block).orderBy(key, "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = split.withColumn(at, F.col(at) + F.coalesce(F.sum(size).over(own), F.lit(0))).orderBy(old, block, key, "id").select(old, block, at, size).collect()
     need, slots = capacities(sum(by_old.values()), shards), [0] * shards
-    for r in whole.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect():
-        need[r["shard"]] -= r["bytes"]
-        slots[r["shard"]] = r["rows"]
-    dealt = spark.createDataFrame(_deal([tuple(r) for r in rows], plan, need, slots), "_old int, _block long, pieces array<struct<shard:int,slot:long>>")
-    meta = whole.select("_old", "_block", "shard", "start", F.lit(None).cast("array<struct<shard:int,slot:long>>").alias("pieces")).unionByName(dealt.withColumns({"shard": F.lit(None).cast("int"), "start": F.lit(None).cast("long")}))
-    n = F.row_number().over(Window.partitionBy("_old", "_block").orderBy("_hash", id_col))
-    placed = keyed.join(meta, ["_old", "_block"]).withColumn("_n", n)
-    piece = F.element_at("pieces", F.col("_n"))
-    placed = placed.withColumns({"_shard": F.coalesce("shard", piece["shard"]), "_slot": F.coalesce(F.col("start") + F.col("_n") - 1, piece["slot"])})
+    for r in whole.groupBy(f"{_P}shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect():
+        need[r[0]] -= r["bytes"]
+        slots[r[0]] = r["rows"]
+    piece_type = "array<struct<shard:int,slot:long>>"
+    dealt = spark.createDataFrame(_deal([tuple(r) for r in rows], plan, need, slots), f"{old} int, {block} long, {_P}pieces {piece_type}")
+    meta = whole.select(old, block, f"{_P}shard", f"{_P}start", F.lit(None).cast(piece_type).alias(f"{_P}pieces"))
+    meta = meta.unionByName(dealt.withColumns({f"{_P}shard": F.lit(None).cast("int"), f"{_P}start": F.lit(None).cast("long")}))
+    place = F.row_number().over(Window.partitionBy(old, block).orderBy(key, id_col))
+    placed = keyed.join(meta, [old, block]).withColumn(n, place)
+    piece = F.get(f"{_P}pieces", F.col(n) - 1)
+    shard, slot = F.coalesce(F.col(f"{_P}shard"), piece["shard"]), F.coalesce(F.col(f"{_P}start") + F.col(n) - 1, piece["slot"])
     moving = {s for o, _, _, j in plan if o != j for s in (o, j)}
-    return placed.select(*docs.columns, "_old", "_shard", "_slot"), [o for o in by_old if o < shards and o not in moving]
+    return placed.select(*names, F.col(old).alias("_old"), shard.alias("_shard"), slot.alias("_slot")), [o for o in by_old if 0 <= o < shards and o not in moving]
 
 
 def reshard(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, str]:

@@ -111,11 +111,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK, **options) -> DataFrame:
     """The documents with the live spans of their texts replaced by ``mask``; other columns stay, null texts too."""
-    live = scan(docs, id_col=id_col, text_col=text_col, **options).select("d", "tag", F.filter("found", lambda s: s["live"]).alias("_spans")).where("size(_spans) > 0").dropDuplicates(["d", "tag"])
+    live = scan(docs, id_col=id_col, text_col=text_col, **options).select("d", "tag", F.filter("found", lambda s: s["live"]).alias("__kb_spans")).where("size(__kb_spans) > 0").dropDuplicates(["d", "tag"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     columns = docs.columns
-    keyed = docs.withColumns({"_d": id_key(id_col), "_tag": F.xxhash64(text)}).join(live.withColumnsRenamed({"d": "_d", "tag": "_tag"}), ["_d", "_tag"], "left")
+    keyed = docs.withColumns({"__kb_d": id_key(id_col), "__kb_tag": F.xxhash64(text)}).join(live.withColumnsRenamed({"d": "__kb_d", "tag": "__kb_tag"}), ["__kb_d", "__kb_tag"], "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
-    masked = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return keyed.withColumn(text_col, F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col(text_col))).select(*columns)
+    masked = F.aggregate("__kb_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return keyed.withColumn(text_col, F.when(F.col("__kb_spans").isNotNull(), masked).otherwise(F.col(text_col))).select(*columns)

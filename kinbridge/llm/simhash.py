@@ -279,6 +279,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated stays once.
     """
     groups = near_copy_groups(docs, id_col, text_col)
-    chosen = groups.groupBy("root").agg(F.min(F.struct((F.col("d") == NULL_ID).alias("n"), F.col("d").alias("_d"), F.col("tag").alias("_tag"))).alias("k")).select("k._d", "k._tag")
-    keyed = docs.withColumns({"_d": id_key(id_col), "_tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    return keyed.join(chosen, ["_d", "_tag"]).dropDuplicates(["_d", "_tag"]).select(*docs.columns)
+    chosen = groups.groupBy("root").agg(F.min(F.struct((F.col("d") == NULL_ID).alias("n"), F.col("d").alias("__kb_d"), F.col("tag").alias("__kb_tag"))).alias("k")).select("k.__kb_d", "k.__kb_tag")
+    keyed = docs.withColumns({"__kb_d": id_key(id_col), "__kb_tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    return keyed.join(chosen, ["__kb_d", "__kb_tag"]).dropDuplicates(["__kb_d", "__kb_tag"]).select(*docs.columns)

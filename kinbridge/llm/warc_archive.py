@@ -5,9 +5,9 @@
 payloads of ``least`` bytes or more is the response, the others revisit it.  ``read`` joins them back to
 whole records, verifies each payload against its strong digest, and parses the record's own headers.
 
-A null payload is empty; null ids sort first and are written as empty strings; repeated rows make a
-record each, the first is the response; header values have line breaks replaced by spaces; empty tables
-give empty archives; extra columns are ignored.
+A null payload is empty; null ids come last and are written as empty strings; rows that repeat an id and
+a payload make equal records; header values have line breaks replaced by spaces; empty tables give
+empty archives; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     light = keyed.select("id", "url", "strong", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest"))
     light.write.option("compression", "zstd").parquet(f"{path}/light")
     light = pages.sparkSession.read.schema(light.schema).parquet(f"{path}/light")
-    # the least id of each payload, and the copies of that id, which only one row may answer for
-    first = light.groupBy("strong").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.col("id").alias("id"))).alias("f")).select("strong", F.col("f.id").alias("first_id"), F.lit(True).alias("seen"))
+    # the least id of each payload answers for it
+    first = light.groupBy("strong").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))).alias("f")).select("strong", F.col("f.id").alias("first_id"))
     joined = light.join(first, "strong")
     own = F.col("id").eqNullSafe(F.col("first_id"))
     is_response = own | (F.col("size") < least)
