@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +78,15 @@ def source_mix(truth: DataFrame) -> DataFrame:
     return per.agg(F.sum("s2").alias("pairs_s2"), F.sum("s3").alias("pairs_s3"), F.sum(((F.col("s2") > 0) & (F.col("s3") > 0)).cast("long")).alias("queries_both"))
 
 
+def compatible_fold():
+    """A UDF: compatibility decomposition without marks, case folded; the profile's own folding, wider than the normaliser's."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).casefold())
+
+    return run
+
+
 def squash(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"[^a-z0-9]", "")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinbridge.functions import hashing, normalize, phonetic, rules, similarity
 from kinbridge.operators import decide, features, metrics, models, profile, retrieve, splits, tokens
+from kinbridge.plans import experiments
 from kinbridge.session import ship
 from kinbridge.sources import idlists, records
 
@@ -715,3 +716,51 @@ def feature_stats(spark, d):
 @query(f"WITH {MERGED}, a AS (SELECT q, t FROM merged WHERE r_sum < 5), b AS (SELECT q, t FROM npairs WHERE rank < 5) SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a SEMI JOIN b USING (q, t)) AS n_both")
 def top_overlap(spark, d):
     return models.top_overlap(retrieve.cap_merged(merged(spark, d), 5), name_pairs(spark, d).where("rank < 5"))
+
+
+# ---- studies
+
+@query(f"""WITH {PAIRS}, {TRUTH}, a AS (SELECT coalesce(n.q, k.q) AS q, coalesce(n.t, k.t) AS t, n.t IS NOT NULL AS c, k.t IS NOT NULL AS b FROM npairs n FULL JOIN kpairs k ON n.q = k.q AND n.t = k.t),
+  y AS (SELECT *, (q, t) IN (SELECT (q, t) FROM truth) AS y FROM a)
+  SELECT count(*) FILTER (c) AS n_channel, count(*) FILTER (b) AS n_base, count(*) FILTER (c AND b) AS n_both, count(*) FILTER (c AND NOT b) AS n_extra, count(*) FILTER (c AND y) AS true_channel,
+    count(*) FILTER (b AND y) AS true_base, count(*) FILTER (c AND NOT b AND y) AS true_extra FROM y""")
+def compare_channel(spark, d):
+    return experiments.compare_channel(name_pairs(spark, d), key_pairs(spark, d), truth(spark, d))
+
+
+@query(f"""WITH {PAIRS} SELECT q, p.t, coalesce(a.df, 0) AS q_key_df, coalesce(b.df, 0) AS t_key_df FROM npairs p JOIN docs x ON x.doc_id = q JOIN docs y ON y.doc_id = p.t
+  LEFT JOIN kdf a ON a.part = x.lang AND a.key = x.key LEFT JOIN kdf b ON b.part = y.lang AND b.key = y.key""")
+def key_df(spark, d):
+    q, tg = sides(spark, d)
+    return experiments.key_frequency(name_pairs(spark, d), q, tg, "lang", "doc_id", "key").select("q", "t", "q_key_df", "t_key_df")
+
+
+@query(f"WITH {PAIRS}, {TRUTH}, {RECALL}, f AS (SELECT k, {RECALL_COLUMNS} GROUP BY k) SELECT 'name' AS strategy, round(avg(oracle_f05), 6) AS mean_oracle_f05 FROM f WHERE k IN (1, 5)")
+def select_config(spark, d):
+    return experiments.select_config(recall_at_k(spark, d).withColumn("strategy", F.lit("name")), (1, 5), "strategy")
+
+
+@query("SELECT 'b' AS side, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def reproduction_differences(spark, d):
+    """Orders without the urgent ones against all orders."""
+    o = t(spark, d, "orders")
+    return experiments.differences(o.where("o_orderpriority <> '1-URGENT'").select("o_orderkey"), o.select("o_orderkey")).select("side", "o_orderkey")
+
+
+@query(f"WITH {MERGED}, {TRUTH} SELECT q, t, CAST((q, t) IN (SELECT (q, t) FROM truth) AS INTEGER) AS label, r_sum < 10 AS hard, 1.0::DOUBLE AS weight FROM merged")
+def training_rows(spark, d):
+    """With rates of 1 every pair stays."""
+    return experiments.training_rows(merged(spark, d), truth(spark, d), "x", 10, 1.0, 1.0).select("q", "t", "label", "hard", "weight")
+
+
+@query("SELECT o_orderkey AS q FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ORDER BY md5('u|' || o_orderkey), o_orderkey LIMIT 50")
+def select_unused(spark, d):
+    o, used = t(spark, d, "orders").withColumnRenamed("o_orderkey", "q"), t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return experiments.select_unused(o, o.join(used, "o_custkey"), 50, "u").select("q")
+
+
+@query()
+def evaluate_rankers(spark, d):
+    rows = _train_rows(spark, d).withColumn("weight", F.lit(1.0)).withColumn("hard", F.col("r_sum") < 10).persist()
+    found = experiments.train_variants(rows, FEATURES, {"deep": {"trees": 5, "depth": 4}, "flat": {"trees": 5, "depth": 2, "imbalance": "hard_only"}})
+    return experiments.evaluate_rankers(rows.drop("label", "weight", "hard"), found, FEATURES, truth(spark, d), asking(spark, d), [1, 5, None])

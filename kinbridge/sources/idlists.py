@@ -15,9 +15,10 @@ def id_lists(pairs: DataFrame, entities: DataFrame, id_col: str, target: str, or
     return entities.select(id_col).distinct().join(lists, id_col, "left").select(id_col, F.coalesce("ids", F.lit("")).alias("ids"))
 
 
-def write_id_lists(lists: DataFrame, path: str, id_col: str, header: tuple[str, str]) -> None:
-    """Range-sorted text parts, each with the header as its first line."""
-    lists.select(F.col(id_col).cast("string").alias(header[0]), F.col("ids").alias(header[1])).orderBy(header[0]).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="").csv(path)
+def write_id_lists(lists: DataFrame, path: str, id_col: str, header: tuple[str, str], single: bool = False) -> None:
+    """Range-sorted text parts, each with the header as its first line; single makes one part, for small results."""
+    rows = lists.select(F.col(id_col).cast("string").alias(header[0]), F.col("ids").alias(header[1])).orderBy(header[0])
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="").csv(path)
 
 
 def read_id_lists(spark: SparkSession, path: str, header: tuple[str, str]) -> DataFrame:

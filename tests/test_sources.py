@@ -118,3 +118,40 @@ def test_target_pool(spark):
     s3 = records.with_source(spark.createDataFrame([("S3-1", 0)], "entity_id string, pos long"), 3)
     assert [r["entity_id"] for r in records.target_pool(s2, s3).orderBy("row_idx").collect()] == ["S2-5", "S2-1", "S3-1"]
     assert F is not None
+
+
+def test_dataset_folder(spark, tmp_path, monkeypatch):
+    from kinbridge.sources import config
+
+    for f in config.FILES:
+        p = tmp_path / "data" / f
+        p.parent.mkdir(parents=True, exist_ok=True)
+        n = f[-5]
+        p.write_text(HEADER + f"S{n}-1\tACME Corp.\t12 Main St\tUS\nS{n}-2\tÉcole SARL\t\tFrance\n", encoding="utf-8")
+    (tmp_path / "data" / config.TRUTH_FILE).write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\t\n")
+    assert config.find_data_dir(str(tmp_path / "data")) == config.find_data_dir(search=str(tmp_path)) == str(tmp_path / "data")
+    monkeypatch.setenv(config.VARIABLE, str(tmp_path / "data"))
+    assert config.find_data_dir() == str(tmp_path / "data")
+    with pytest.raises(ValueError):
+        config.Config(str(tmp_path / "data"), str(tmp_path / "data/work")).validate()
+    c = config.Config(str(tmp_path / "data"), str(tmp_path / "work")).validate()
+    rows = {r["entity_id"]: r for r in config.normalized_table(spark, c, "train", 1).collect()}
+    assert rows["S1-1"]["name_key"] == "acme" and rows["S1-2"]["name_fold"] == "ecole sarl" and rows["S1-2"]["legal_forms"] == "sarl"
+    s1, pairs = config.truth_tables(spark, c)
+    assert s1.count() == 2 and pairs.count() == 2 and len(config.code_fingerprint()) == 64
+
+
+def test_experiments(spark):
+    from kinbridge.operators import profile
+    from kinbridge.plans import experiments
+
+    names = spark.createDataFrame([(1, "US", "राम मार्केटिंग", "devanagari"), (2, "US", "ram marketing", "latin")], "row_idx long, country string, name_fold string, name_script string")
+    skel = experiments.with_skeletons(names)
+    for channel, only in experiments.indic_channels().values():
+        found = experiments.retrieve_indic(skel.where("row_idx = 2"), skel.unionByName(names.where("row_idx = 2").selectExpr("9 as row_idx", "country", "'zen' as name_fold", "name_script", "'sn' as name_skel", "'sn' as name_skel_key")), channel, only, "country", "row_idx")
+        assert all(r["t"] in (1, 2) for r in found.collect())
+    a = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "q long, t long")
+    assert experiments.differences(a, a).count() == 0 and experiments.differences(a, a.distinct()).count() == 1
+    assert '"q": 1' in experiments.report(a)
+    folded = spark.createDataFrame([("Éﬁ",)], "x string")
+    assert folded.select(profile.compatible_fold()("x")).first()[0] == "efi"
