@@ -8,22 +8,47 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinbridge.functions.similarity import scorer, token_jaccard
+from kinbridge.functions.similarity import scorer
 from kinbridge.operators.metrics import nearest_rank
 
-# The shares that a profile reports and their patterns.
-PATTERNS = {
-    "upper": r"^[^a-z]*[A-Z][^a-z]*$", "lower": r"^[^A-Z]*[a-z][^A-Z]*$", "non_ascii": r"[^\x00-\x7F]", "punctuation": r"[.,;:!?]", "digit": r"[0-9]", "postcode_like": r"(^|[^0-9])[0-9]{5,6}([^0-9]|$)",
-    "landmark": r"(?i)(near|opposite|behind|next to)", "ampersand": r"&",
-}
+# What a profile counts.
+PUNCTUATION = r"[^\p{L}\p{N}_\p{Z}\s]"
+DIGIT = r"\p{Nd}"
+POSTCODE = r"(^|[^0-9])([0-9]{3}\s?[0-9]{3}|[0-9]{5}(-[0-9]{4})?)($|[^0-9])"
+LANDMARK = r"\b(near|nr|opp|opposite|behind|beside)\b"
+NAME_FORMS = (("pvt", "private"), ("ltd", "limited"), ("corp", "corporation"), ("inc", "incorporated"), ("co", "company"), ("&", "and"), ("intl", "international"), ("mfg", "manufacturing"))
+ADDRESS_FORMS = (("rd", "road"), ("st", "street"), ("ave", "avenue"), ("blvd", "boulevard"), ("dr", "drive"), ("ln", "lane"), ("nr", "near"), ("opp", "opposite"), ("apt", "apartment"))
+LEGAL_WORDS = ("pvt", "private", "ltd", "limited", "llc", "llp", "inc", "corp", "corporation", "co", "company", "plc", "sa", "sas", "sarl", "gmbh", "lp")
 # End of fixed values.
 
 
+def patterns(x: Column) -> dict[str, Column]:
+    """Formatting flags of a text that is not blank; letters decide upper and lower."""
+    return {
+        "upper": (x == F.upper(x)) & (x != F.lower(x)), "lower": (x == F.lower(x)) & (x != F.upper(x)), "non_ascii": x.rlike(r"[^\x00-\x7F]"), "punctuation": x.rlike(PUNCTUATION), "digit": x.rlike(DIGIT),
+        "postcode_like": x.rlike(POSTCODE), "landmark": F.lower(x).rlike(LANDMARK), "ampersand": F.contains(x, F.lit("&")),
+    }
+
+
 def pattern_shares(rows: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """The share of values that match each pattern, to six places; a group row for each value of ``by``."""
-    share = lambda p: F.round(F.avg(F.coalesce(F.col(column), F.lit("")).rlike(p).cast("double")), 6)
-    grouped = rows.groupBy(by) if by else rows.groupBy()
-    return grouped.agg(F.count("*").alias("n"), *[share(p).alias(n) for n, p in PATTERNS.items()])
+    """The share of values that are not blank and match each pattern, to six places; a row for each value of ``by``."""
+    kept = rows.where(F.trim(column) != "")
+    grouped = kept.groupBy(by) if by else kept.groupBy()
+    return grouped.agg(F.count("*").alias("n"), *[F.round(F.avg(p.cast("double")), 6).alias(n) for n, p in patterns(F.col(column)).items()])
+
+
+def profile_tokens(x: Column) -> Column:
+    """Runs of a-z and 0-9 and ampersands of a lower-cased text."""
+    return F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+|&)"), F.lit(1))
+
+
+def legal_word_shares(rows: DataFrame, column: str, k: int = 12) -> DataFrame:
+    """(word, share): the k legal words that end most values, and their share of all values; ties by word."""
+    words = profile_tokens(F.coalesce(F.col(column), F.lit("")))
+    ends = rows.select(F.try_element_at(words, F.lit(-1)).alias("word"))
+    total = ends.agg(F.count("*").alias("total"))
+    counts = ends.where(F.col("word").isin(*LEGAL_WORDS)).groupBy("word").agg(F.count("*").alias("n")).crossJoin(total)  # total is one row
+    return counts.select("word", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("share"), "word").limit(k)
 
 
 def describe(rows: DataFrame, value: Column) -> DataFrame:
@@ -87,30 +112,43 @@ def compatible_fold():
     return run
 
 
-def squash(x: Column) -> Column:
-    return F.regexp_replace(F.lower(x), r"[^a-z0-9]", "")
+def postcode(x: Column) -> Column:
+    """The first five digits of the first postcode-like number, or null."""
+    return F.nullif(F.substring(F.regexp_replace(F.regexp_extract(x, POSTCODE, 2), " ", ""), 1, 5), F.lit(""))
 
 
 def pair_noise(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds flags and scores of how two texts of a pair differ."""
+    """Adds flags and scores of how two texts of a pair differ; token sets of two empty texts agree."""
     x, y = F.col(a), F.col(b)
-    fold = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda t: t != ""))), " ")
-    return pairs.withColumns({"exact": x == y, "same_letters": F.lower(x) == F.lower(y), "same_squashed": squash(x) == squash(y), "same_tokens": fold(x) == fold(y), "jaccard": F.round(token_jaccard(fold(x), fold(y)), 6), "gestalt": scorer("gestalt")(x, y)})
+    t, u = profile_tokens(x), profile_tokens(y)
+    plain = lambda v: F.array_join(profile_tokens(v), " ")
+    either = F.size(F.array_union(t, u))
+    return pairs.withColumns({
+        "exact": x == y, "same_letters": F.lower(x) == F.lower(y), "same_squashed": plain(x) == plain(y), "same_tokens": F.array_sort(F.array_distinct(t)) == F.array_sort(F.array_distinct(u)),
+        "case_only": (x != y) & (F.lower(x) == F.lower(y)), "punctuation_only": (plain(x) == plain(y)) & (F.lower(x) != F.lower(y)), "share_token": F.size(F.array_intersect(t, u)) > 0,
+        "share_first": F.coalesce(F.try_element_at(t, F.lit(1)) == F.try_element_at(u, F.lit(1)), F.lit(False)), "postcode_both": postcode(x).isNotNull() & postcode(y).isNotNull(),
+        "postcode_equal": F.coalesce(postcode(x) == postcode(y), F.lit(False)), "jaccard": F.when(either == 0, 1.0).otherwise(F.round(F.size(F.array_intersect(t, u)) / F.greatest(either, F.lit(1)), 6)),
+        "gestalt": scorer("gestalt")(plain(x), plain(y)),
+    })
 
 
 def summarize_pairs(pairs: DataFrame, flags: list[str], figures: list[str]) -> DataFrame:
-    """One row: shares of flags; p10, median, mean and share of 0.9 and more of figures."""
+    """One row: shares of flags; p10 and median by index, mean and share of 0.9 and more of figures."""
     out = [F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_share") for c in flags]
     for c in figures:
-        out += [F.round(F.percentile(c, F.lit(0.1)), 6).alias(f"{c}_p10"), F.round(F.percentile(c, F.lit(0.5)), 6).alias(f"{c}_median"), F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.avg((F.col(c) >= 0.9).cast("double")), 6).alias(f"{c}_high")]
-    return pairs.agg(F.count("*").alias("n"), *out)
+        out += [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.avg((F.col(c) >= 0.9).cast("double")), 6).alias(f"{c}_high")]
+    summary = pairs.agg(F.count("*").alias("n"), *out)
+    for c in figures:
+        summary = summary.crossJoin(nearest_rank(pairs, c, {f"{c}_p10": 0.1, f"{c}_median": 0.5}))  # one row each
+    return summary
 
 
-def abbreviation_usage(rows: DataFrame, column: str, forms: DataFrame) -> DataFrame:
-    """(token, expansion, n_short, n_long): rows that use the short and the long form; forms has token, expansion."""
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower(column), r"[^\p{L}\p{N}]+"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    short, long = words.select(F.col("w").alias("token"), F.col("n").alias("n_short")), words.select(F.col("w").alias("expansion"), F.col("n").alias("n_long"))
-    return forms.join(short, "token", "left").join(long, "expansion", "left").select("token", "expansion", F.coalesce("n_short", F.lit(0)).alias("n_short"), F.coalesce("n_long", F.lit(0)).alias("n_long"))
+def abbreviation_usage(rows: DataFrame, column: str, forms: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(short, long, n_short, n_long): rows that use the short and the long form of each pair."""
+    words = rows.select(F.explode(F.array_distinct(profile_tokens(F.col(column)))).alias("w")).where(F.col("w").isin(*{w for f in forms for w in f})).groupBy("w").agg(F.count("*").alias("n"))
+    table = rows.sparkSession.createDataFrame(list(forms), "short string, long string")
+    short, long = words.select(F.col("w").alias("short"), F.col("n").alias("n_short")), words.select(F.col("w").alias("long"), F.col("n").alias("n_long"))
+    return table.join(short, "short", "left").join(long, "long", "left").select("short", "long", F.coalesce("n_short", F.lit(0)).alias("n_short"), F.coalesce("n_long", F.lit(0)).alias("n_long"))
 
 
 def non_ascii_by(rows: DataFrame, column: str, by: str) -> DataFrame:

@@ -78,13 +78,6 @@ def extra_pairs(more: DataFrame, base: DataFrame) -> DataFrame:
     return more.select("q", "t").join(base.select("q", "t"), ["q", "t"], "left_anti")
 
 
-def strategies(names: list[str]) -> dict[str, list[str]]:
-    """Every channel alone, every pair, and all together."""
-    out = {n: [n] for n in names}
-    out |= {f"{a}+{b}": [a, b] for i, a in enumerate(names) for b in names[i + 1 :]}
-    return out | {"all": names}
-
-
 def script_group(script: Column) -> Column:
     """latin, indic, mixed or other."""
     return F.when(script.isin("latin", "mixed"), script).when(script.isin("other", "empty"), F.lit("other")).otherwise(F.lit("indic"))

@@ -11,6 +11,7 @@ from kinbridge.operators import decide as d
 from kinbridge.operators import features as f
 from kinbridge.operators import models
 from kinbridge.operators import retrieve as r
+from kinbridge.operators.metrics import recall_at, truth_ranks
 from kinbridge.operators.tokens import postings, vocabulary
 
 
@@ -53,14 +54,12 @@ def link(plan: LinkPlan, queries: DataFrame, targets: DataFrame, stage1, stage2,
     return d.decide(scored.withColumn("p", F.round("p", 6)), plan.threshold).select("q", "t", "p")
 
 
-def study(plan: LinkPlan, queries: DataFrame, targets: DataFrame, truth: DataFrame, ks: list[int | None]) -> DataFrame:
-    """(strategy, k, ...) recall figures of every strategy over one pass of the channels."""
-    from kinbridge.operators.metrics import recall_at, truth_ranks
-
+def study(plan: LinkPlan, queries: DataFrame, targets: DataFrame, truth: DataFrame, ks: list[int | None], unions: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(strategy, k, ...) recall figures of every channel and union over one pass of the channels."""
     found = {c.name: r.retrieve(queries, targets, c, plan.part, plan.key).persist() for c in plan.channels}
     q = queries.select(F.col(plan.key).alias("q"))
     out = None
-    for name, members in r.strategies(list(found)).items():
+    for name, members in ({n: (n,) for n in found} | (unions or {"all": tuple(found)})).items():
         union = r.union_candidates([found[m] for m in members])
         rows = recall_at(truth_ranks(union, truth), q, ks).withColumn("strategy", F.lit(name))
         out = rows if out is None else out.unionByName(rows)

@@ -582,14 +582,22 @@ def validate_lists(spark, d):
 
 # ---- profiles
 
-@query("""SELECT lang, count(*) AS n, round(avg(CAST(regexp_matches(text, '^[^a-z]*[A-Z][^a-z]*$') AS DOUBLE)), 6) AS upper, round(avg(CAST(regexp_matches(text, '^[^A-Z]*[a-z][^A-Z]*$') AS DOUBLE)), 6) AS lower,
-  round(avg(CAST(regexp_matches(text, '[^\\x00-\\x7F]') AS DOUBLE)), 6) AS non_ascii, round(avg(CAST(regexp_matches(text, '[.,;:!?]') AS DOUBLE)), 6) AS punctuation, round(avg(CAST(regexp_matches(text, '[0-9]') AS DOUBLE)), 6) AS digit,
-  round(avg(CAST(regexp_matches(text, '(^|[^0-9])[0-9]{5,6}([^0-9]|$)') AS DOUBLE)), 6) AS postcode_like, round(avg(CAST(regexp_matches(text, '(?i)(near|opposite|behind|next to)') AS DOUBLE)), 6) AS landmark,
-  round(avg(CAST(contains(text, '&') AS DOUBLE)), 6) AS ampersand FROM documents GROUP BY lang""".replace("\\\\", "\\"))
+@query(r"""SELECT lang, count(*) AS n, round(avg(CAST(text = upper(text) AND text <> lower(text) AS DOUBLE)), 6) AS upper, round(avg(CAST(text = lower(text) AND text <> upper(text) AS DOUBLE)), 6) AS lower,
+  round(avg(CAST(regexp_matches(text, '[^\x00-\x7F]') AS DOUBLE)), 6) AS non_ascii, round(avg(CAST(regexp_matches(text, '[^\pL\pN_\pZ\s]') AS DOUBLE)), 6) AS punctuation, round(avg(CAST(regexp_matches(text, '\p{Nd}') AS DOUBLE)), 6) AS digit,
+  round(avg(CAST(regexp_matches(text, '(^|[^0-9])([0-9]{3}\s?[0-9]{3}|[0-9]{5}(-[0-9]{4})?)($|[^0-9])') AS DOUBLE)), 6) AS postcode_like, round(avg(CAST(regexp_matches(lower(text), '\b(near|nr|opp|opposite|behind|beside)\b') AS DOUBLE)), 6) AS landmark,
+  round(avg(CAST(contains(text, '&') AS DOUBLE)), 6) AS ampersand FROM documents WHERE trim(text) <> '' GROUP BY lang""")
 def pattern_shares(spark, d):
     return profile.pattern_shares(t(spark, d, "documents"), "text", "lang")
 
 
+@query("""WITH w AS (SELECT list_last(regexp_extract_all(lower(p_type || ' ' || split_part('inc co ltd', ' ', 1 + p_size % 4)), '([a-z0-9]+|&)', 1)) AS word FROM part)
+  SELECT word, round(count(*) / (SELECT count(*) FROM w), 6) AS share FROM w WHERE word IN ('inc', 'co', 'ltd') GROUP BY word""")
+def legal_word_shares(spark, d):
+    """Part types with a legal word added to most."""
+    p = t(spark, d, "part").select(F.concat_ws(" ", "p_type", F.split_part(F.lit("inc co ltd"), F.lit(" "), 1 + F.col("p_size") % 4)).alias("x"))
+    return profile.legal_word_shares(p, "x")
+
+
 NEAREST = "list_sort(list(v))[least(count(*) - 1, CAST(floor({} * count(*)) AS BIGINT)) + 1] AS {}"
 
 
@@ -639,9 +647,10 @@ def source_mix(spark, d):
     return profile.source_mix(truth(spark, d).join(src, "t"))
 
 
-NOISE = f"""SELECT a, b, a = b AS exact, lower(a) = lower(b) AS same_letters, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b), '[^a-z0-9]', '', 'g') AS same_squashed,
-  list_sort(list_distinct(string_split(lower(a), ' '))) = list_sort(list_distinct(string_split(lower(b), ' '))) AS same_tokens,
-  round(len(list_intersect(string_split(lower(a), ' '), string_split(lower(b), ' '))) / len(list_distinct(list_concat(string_split(lower(a), ' '), string_split(lower(b), ' ')))), 6) AS jaccard FROM ({PART_PAIRS})"""
+NOISE = f"""SELECT a, b, a = b AS exact, lower(a) = lower(b) AS same_letters, array_to_string(ta, ' ') = array_to_string(tb, ' ') AS same_squashed, list_sort(list_distinct(ta)) = list_sort(list_distinct(tb)) AS same_tokens,
+  a <> b AND lower(a) = lower(b) AS case_only, array_to_string(ta, ' ') = array_to_string(tb, ' ') AND lower(a) <> lower(b) AS punctuation_only, len(list_intersect(ta, tb)) > 0 AS share_token, coalesce(ta[1] = tb[1], false) AS share_first,
+  false AS postcode_both, false AS postcode_equal, CASE WHEN len(ta) + len(tb) = 0 THEN 1 ELSE round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) END AS jaccard
+  FROM (SELECT a, b, regexp_extract_all(lower(a), '([a-z0-9]+|&)', 1) AS ta, regexp_extract_all(lower(b), '([a-z0-9]+|&)', 1) AS tb FROM ({PART_PAIRS}))"""
 
 
 @query(NOISE)
@@ -649,17 +658,16 @@ def pair_noise(spark, d):
     return profile.pair_noise(_part_pairs(spark, d), "a", "b").drop("gestalt")
 
 
-@query(f"""SELECT count(*) AS n, round(avg(CAST(exact AS DOUBLE)), 6) AS exact_share, round(quantile_cont(jaccard, 0.1), 6) AS jaccard_p10, round(quantile_cont(jaccard, 0.5), 6) AS jaccard_median, round(avg(jaccard), 6) AS jaccard_mean,
-  round(avg(CAST(jaccard >= 0.9 AS DOUBLE)), 6) AS jaccard_high FROM ({NOISE})""")
+@query(f"""SELECT count(*) AS n, round(avg(CAST(exact AS DOUBLE)), 6) AS exact_share, round(avg(jaccard), 6) AS jaccard_mean, round(avg(CAST(jaccard >= 0.9 AS DOUBLE)), 6) AS jaccard_high,
+  list_sort(list(jaccard))[CAST(floor(0.1 * count(*)) AS BIGINT) + 1] AS jaccard_p10, list_sort(list(jaccard))[CAST(floor(0.5 * count(*)) AS BIGINT) + 1] AS jaccard_median FROM ({NOISE})""")
 def summarize_pairs(spark, d):
     return profile.summarize_pairs(pair_noise(spark, d), ["exact"], ["jaccard"])
 
 
-@query(f"""WITH f(token, expansion) AS (VALUES {_values(list(rules.ABBREVIATIONS["US"].items()))}), w AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents) GROUP BY w)
-  SELECT token, expansion, coalesce(a.n, 0) AS n_short, coalesce(b.n, 0) AS n_long FROM f LEFT JOIN w a ON a.w = token LEFT JOIN w b ON b.w = expansion""")
+@query(f"""WITH f(short, long) AS (VALUES {_values(list(profile.ADDRESS_FORMS))}), w AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+|&)', 1)) AS w FROM documents) GROUP BY w)
+  SELECT short, long, coalesce(a.n, 0) AS n_short, coalesce(b.n, 0) AS n_long FROM f LEFT JOIN w a ON a.w = short LEFT JOIN w b ON b.w = long""")
 def abbreviation_usage(spark, d):
-    forms = rules.abbreviation_frame(spark).where("country = 'US'").select("token", "expansion")
-    return profile.abbreviation_usage(t(spark, d, "documents"), "text", forms)
+    return profile.abbreviation_usage(t(spark, d, "documents"), "text", profile.ADDRESS_FORMS)
 
 
 @query(r"SELECT lang, count(*) AS n, round(avg(CAST(regexp_matches(text, '[^\x00-\x7F]') AS DOUBLE)), 6) AS share FROM documents GROUP BY lang")

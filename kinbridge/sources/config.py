@@ -16,22 +16,27 @@ from kinbridge.sources import records
 VARIABLE = "KINBRIDGE_DATA"
 FILES = [f"{split}/{split}_source{n}.tsv" for split in ("train", "test") for n in (1, 2, 3)]
 TRUTH_FILE = "train/train_ground_truth.tsv"
+EXPECTED = [*FILES, TRUTH_FILE]
 
 
 def is_dataset(path: str | os.PathLike) -> bool:
-    return all((Path(path) / f).is_file() for f in FILES)
+    return all((Path(path) / f).is_file() for f in EXPECTED)
 
 
 def find_data_dir(given: str | None = None, default: str | None = None, search: str | None = None) -> str:
-    """The first dataset of: the argument, the environment, the default, folders below ``search``."""
-    for path in (given, os.environ.get(VARIABLE), default):
+    """The argument, which must be a dataset; else the first dataset of: the environment, the default, folders below ``search``."""
+    if given is not None:
+        if not is_dataset(given):
+            raise FileNotFoundError(f"{given} lacks files of the dataset")
+        return str(given)
+    for path in (os.environ.get(VARIABLE), default):
         if path and is_dataset(path):
             return str(path)
     if search:
         for path in sorted(Path(search).glob("**/train/train_source1.tsv")):
             if is_dataset(path.parent.parent):
                 return str(path.parent.parent)
-    raise FileNotFoundError("no folder with the six source files was found")
+    raise FileNotFoundError("no folder with the dataset's files was found")
 
 
 @dataclass(frozen=True)

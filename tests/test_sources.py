@@ -102,7 +102,7 @@ def test_link_plan_and_stream(spark, tmp_path):
     stage2 = models.train(features.string_features(labelled, queries, targets), f2, trees=3, depth=2)
     out = link(plan, queries, targets, stage1, stage2, f1, f2).collect()
     assert all(r["p"] >= 0.5 for r in out) and len({r["t"] for r in out}) == len(out)
-    assert {r["strategy"] for r in study(plan, queries, targets, truth, [1, None]).collect()} == {"name", "key", "name+key", "all"}
+    assert {r["strategy"] for r in study(plan, queries, targets, truth, [1, None]).collect()} == {"name", "key", "all"}
     # the stream finds what the batch finds
     source = str(tmp_path / "in")
     queries.write.parquet(source)
@@ -132,6 +132,8 @@ def test_dataset_folder(spark, tmp_path, monkeypatch):
     assert config.find_data_dir(str(tmp_path / "data")) == config.find_data_dir(search=str(tmp_path)) == str(tmp_path / "data")
     monkeypatch.setenv(config.VARIABLE, str(tmp_path / "data"))
     assert config.find_data_dir() == str(tmp_path / "data")
+    with pytest.raises(FileNotFoundError):
+        config.find_data_dir(str(tmp_path))
     with pytest.raises(ValueError):
         config.Config(str(tmp_path / "data"), str(tmp_path / "data/work")).validate()
     c = config.Config(str(tmp_path / "data"), str(tmp_path / "work")).validate()
@@ -147,8 +149,8 @@ def test_experiments(spark):
 
     names = spark.createDataFrame([(1, "US", "राम मार्केटिंग", "devanagari"), (2, "US", "ram marketing", "latin")], "row_idx long, country string, name_fold string, name_script string")
     skel = experiments.with_skeletons(names)
-    for channel, only in experiments.indic_channels().values():
-        found = experiments.retrieve_indic(skel.where("row_idx = 2"), skel.unionByName(names.where("row_idx = 2").selectExpr("9 as row_idx", "country", "'zen' as name_fold", "name_script", "'sn' as name_skel", "'sn' as name_skel_key")), channel, only, "country", "row_idx")
+    for variant in experiments.INDIC_VARIANTS:
+        found = experiments.retrieve_indic(skel.where("row_idx = 2"), skel.unionByName(names.where("row_idx = 2").selectExpr("9 as row_idx", "country", "'zen' as name_fold", "name_script", "'sn' as name_skel", "'sn' as name_skel_key")), variant, "country", "row_idx")
         assert all(r["t"] in (1, 2) for r in found.collect())
     a = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "q long, t long")
     assert experiments.differences(a, a).count() == 0 and experiments.differences(a, a.distinct()).count() == 1
