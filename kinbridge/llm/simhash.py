@@ -35,26 +35,31 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 CHUNK = 1 << 14
 
 
+def shingle_places(words: list[bytes], shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by spaces, and where its shingles start and end; fewer words are one shingle."""
+    n = max(1, len(words) - shingle + 1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.zeros(len(words), np.int64)
+    np.cumsum(sizes[:-1], out=starts[1:])
+    return b" ".join(words), starts[:n], (starts + sizes - 1)[min(shingle, len(words)) - 1 :]
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit integer."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
         return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.zeros(len(words), np.int64)
-    np.cumsum(sizes[:-1], out=starts[1:])
-    last = starts + sizes - 1
-    ends = last[min(shingle, len(words)) - 1 :][:n]
+    joined, starts, ends = shingle_places(words, shingle)
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        a, b = starts[at : min(n, at + CHUNK)].tolist(), ends[at : at + CHUNK].tolist()
-        h = np.array([digest(joined[x:y], SEED) for x, y in zip(a, b, strict=True)], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +137,8 @@ def bucket_links(radius: int, words: int, small: int = 24) -> Callable[[Iterator
                 side.append(found)
         if not sum(map(len, a)):
             return None
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +214,9 @@ def wide_sketch(words: list[bytes], shingle: int = WIDE_SHINGLE) -> tuple[int, i
     """128 bits of the set of shingles, as two signed integers; no words: zero."""
     if not words:
         return 0, 0
+    joined, starts, ends = shingle_places(words, shingle)
     digest = xxhash.xxh64_intdigest
-    hashes = {digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-    h = np.fromiter(hashes, np.uint64, len(hashes))
+    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
     out = []
     with np.errstate(over="ignore"):
         for c in _MIX:
@@ -218,10 +224,7 @@ def wide_sketch(words: list[bytes], shingle: int = WIDE_SHINGLE) -> tuple[int, i
             g ^= g >> np.uint64(32)
             g *= np.uint64(0xBF58476D1CE4E5B9)
             g ^= g >> np.uint64(29)
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(g), CHUNK):
-                ones += np.unpackbits(g[at : at + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-            out.append(int(np.packbits(2 * ones > len(g), bitorder="little").view(np.int64)[0]))
+            out.append(majority(g))
     return out[0], out[1]
 
 
@@ -231,15 +234,25 @@ def sampled_blocks(keys: int = WIDE_KEYS, bits: int = WIDE_KEY_BITS) -> np.ndarr
     return np.stack([rng.permutation(WIDE_BITS)[:bits] for _ in range(keys)])
 
 
-def wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, w0, w1) for each sampled block of each row (id, w0, w1)."""
-    blocks = sampled_blocks()
-    weights = 1 << np.arange(WIDE_KEY_BITS, dtype=np.int64)
-    for batch in batches:
-        x = np.stack([batch["w0"].to_numpy(), batch["w1"].to_numpy()], 1)
-        bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
-        key = bits[:, blocks].astype(np.int64) @ weights | np.arange(WIDE_KEYS, dtype=np.int64) << WIDE_KEY_BITS
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(batch[c].to_numpy(), WIDE_KEYS)) for c in ("id", "w0", "w1"))], names=["key", "id", "w0", "w1"])
+def wide_keys(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, id, w0, w1) for each of some sampled blocks of each row (id, w0, w1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, n = sampled_blocks()[first:last], last - first
+        weights = 1 << np.arange(WIDE_KEY_BITS, dtype=np.int64)
+        for batch in batches:
+            x = np.stack([batch["w0"].to_numpy(), batch["w1"].to_numpy()], 1)
+            bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
+            key = bits[:, blocks].astype(np.int64) @ weights | np.arange(first, last, dtype=np.int64) << WIDE_KEY_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(batch[c].to_numpy(), n)) for c in ("id", "w0", "w1"))], names=["key", "id", "w0", "w1"])
+
+    return run
+
+
+def wide_links(sketches: DataFrame, first: int, last: int) -> DataFrame:
+    """Links between ids of sketches (id, w0, w1) within the radius that share one of some blocks."""
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_buckets(sketches.repartition(parts, "w0", "w1").mapInArrow(wide_keys(first, last), "key long, id long, w0 long, w1 long"), WIDE_RADIUS, 2)
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,10 +279,14 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = fingerprint_links(of_fp.select("fp"))
     links = links.join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     wide = nodes.groupBy("w0", "w1").agg(F.min("node").alias("id")).select("id", "w0", "w1")
-    spread = wide.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(wide_keys, "key long, id long, w0 long, w1 long")
-    edges = hub(["fp"]).unionByName(hub(["w0", "w1"])).unionByName(links).unionByName(in_buckets(spread, WIDE_RADIUS, 2))
-    roots = connected_components(edges)
-    return prints.join(roots, "node", "left").select("d", "tag", F.coalesce("root", F.col("node")).alias("root"))
+    # the first blocks join the dense groups; the others then only link what is still apart, so a group's links do not add up over all blocks
+    some = WIDE_KEYS // 8
+    roots = connected_components(hub(["fp"]).unionByName(hub(["w0", "w1"])).unionByName(links).unionByName(wide_links(wide, 0, some)))
+    group = cut(nodes.join(roots, "node", "left").select("node", "w0", "w1", F.coalesce("root", F.col("node")).alias("id")), "simhash-groups")
+    apart = group.groupBy("w0", "w1").agg(F.min("id").alias("id")).select("id", "w0", "w1")
+    more = connected_components(wide_links(apart, some, WIDE_KEYS)).withColumnsRenamed({"node": "id", "root": "last"})
+    final = group.join(more, "id", "left").select("node", F.coalesce("last", "id").alias("root"))
+    return prints.join(final, "node").select("d", "tag", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
