@@ -2,7 +2,7 @@
 
 Each item is split into its error budget plus one pieces, so a passage within the budget keeps one piece
 untouched.  Pieces are found exactly, by one Aho-Corasick automaton a block of items, and around each
-hit Myers' bit-parallel distance verifies the whole item.  Letters are lower-cased and white space
+hit Myers' bit-parallel distance verifies growing groups of pieces and at last the whole item.  Letters are lower-cased and white space
 becomes spaces, one for one, so spans are code points of the original text.
 
 Null, empty and blank texts and items match nothing; items too short for an error must occur exactly;
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kinbridge.llm.common import slices
 
 #: One error for so many characters of an item.
-CHARS_PER_ERROR = 20
+CHARS_PER_ERROR = 10
 #: Items of so many characters together make one block: the bound of what is broadcast at once.
 BLOCK_CHARS = 4_000_000
 FOUND = "distance int, budget int, start long, end long, n_places long"
@@ -40,11 +40,25 @@ def plain(text: str) -> str:
     return low
 
 
-def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """budget + 1 pieces of near equal length with their offsets; they cover the item."""
+def pieces(item: str, budget: int) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
+    """budget + 1 pieces of near equal length: (offset, piece, the groups above it); they cover the item.
+
+    A group of c neighbouring pieces may hold c - 1 errors.  Where a group keeps to that, one of its two
+    halves does too, so some piece is untouched and every group above it keeps to its share.  Groups are
+    (start, end, errors), from the smallest up, without the whole item.
+    """
     n = budget + 1
     edges = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    out = []
+    for i in range(n):
+        above, lo, hi = [], 0, n
+        while hi - lo > 1:
+            above.append((edges[lo], edges[hi], hi - lo - 1))
+            middle = (lo + hi) // 2
+            lo, hi = (lo, middle) if i < middle else (middle, hi)
+        if edges[i + 1] > edges[i]:
+            out.append((edges[i], item[edges[i] : edges[i + 1]], above[:0:-1]))
+    return out
 
 
 def letters(item: str) -> dict[str, int]:
@@ -77,6 +91,28 @@ def myers(masks: dict[str, int], m: int, text: str, budget: int) -> list[tuple[i
     return out
 
 
+def holds(masks: dict[str, int], start: int, m: int, text: str, budget: int) -> bool:
+    """Whether the pattern's part [start, start + m) ends somewhere in the text within the budget."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for c in text:
+        eq = (masks.get(c, 0) >> start) & full
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = down | (full & ~(xh | up))
+        mh = up & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score <= budget:
+                return True
+        ph <<= 1
+        up = ((mh << 1) & full) | (full & ~(xv | ph))
+        down = ph & xv & full
+    return False
+
+
 class Matcher:
     """Finds a block of items in texts."""
 
@@ -84,14 +120,14 @@ class Matcher:
         import ahocorasick
 
         self.items = []
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple]] = {}
         for key, raw in items:
             text = " ".join(plain(raw or "").split())
             if not text:
                 continue
             budget = len(text) // chars_per_error
-            for at, piece in pieces(text, budget):
-                where.setdefault(piece, []).append((len(self.items), at))
+            for at, piece, above in pieces(text, budget):
+                where.setdefault(piece, []).append((len(self.items), at, above))
             self.items.append((key, text, budget, letters(text), letters(text[::-1])))
         self.machine = ahocorasick.Automaton()
         for piece, uses in where.items():
@@ -108,9 +144,12 @@ class Matcher:
         windows: dict[int, list[list[int]]] = {}
         for last, (size, uses) in self.machine.iter(text):
             begin = last + 1 - size
-            for item, at in uses:
-                n, budget = len(self.items[item][1]), self.items[item][2]
-                a, b = max(0, begin - at - budget), min(len(text), begin - at + n + budget)
+            for item, at, above in uses:
+                _, pattern, budget, masks, _ = self.items[item]
+                n, origin = len(pattern), begin - at
+                if not all(holds(masks, s, e - s, text[max(0, origin + s - k) : origin + e + k], k) for s, e, k in above):
+                    continue
+                a, b = max(0, origin - budget), min(len(text), origin + n + budget)
                 windows.setdefault(item, []).append([a, b])
         out = []
         for item, spans in windows.items():

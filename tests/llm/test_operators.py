@@ -207,7 +207,7 @@ def test_decontaminate(spark, docs, messy):
             p = " ".join((raw or "").lower().split())
             if p and text:
                 n = brute.edit_distance_inside(p, decontaminate.plain(text)) if len(text) < 3000 else (0 if p in decontaminate.plain(text) else 99)
-                if n <= len(p) // 20:
+                if n <= len(p) // decontaminate.CHARS_PER_ERROR:
                     want[i, k] = n
     assert got == want and (10, 1) in got and (9, 4) in got
     kept = decontaminate.remove_contaminated(docs, bench)
@@ -220,7 +220,7 @@ def test_spans_hold_the_passage():
     for _ in range(150):
         item = prose(rng, rng.randint(1, 12))
         text = list(item)
-        for _ in range(rng.randint(0, len(item) // 20)):
+        for _ in range(rng.randint(0, len(item) // 10)):
             k, kind = rng.randrange(len(text)), rng.random()
             text[k : k + 1] = [] if kind < 0.3 else ["z", text[k]] if kind < 0.6 else ["z"]
         whole = prose(rng, 10) + "\n" + "".join(text) + " " + prose(rng, 10)
