@@ -132,6 +132,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM c""",
+    "op8_lpf_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 - 399 AS BIGINT))) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+        runs AS (
+          SELECT doc_id, i, sum(CASE WHEN i <= prev + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+          FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM r)),
+        spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
+        cuts AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM spans GROUP BY doc_id),
+        pieces AS (
+          SELECT s.doc_id, lag(b, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY a) AS x, a AS y FROM spans s
+          UNION ALL SELECT d.doc_id, coalesce(max(b), 0), max(len(h)) // 2 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id),
+        kept AS (
+          SELECT doc_id, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS k FROM pieces JOIN d USING (doc_id) WHERE y > x GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+        FROM d LEFT JOIN cuts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op10_substring_dedup": r"""
         WITH w AS (
           SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
