@@ -168,9 +168,14 @@ def only_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def random_pairs(queries: DataFrame, targets: DataFrame, truth: DataFrame, each: int, seed: str) -> DataFrame:
     """Each query with ``each`` targets drawn by keyed hash, true pairs taken out: a baseline, not a cross join.
 
-    Targets are numbered; a query's draws are hashes of it modulo their number.
+    Targets are numbered within hash ranges, whose counts alone are ordered in one place; a query's draws
+    are hashes of it modulo the targets' number.
     """
-    numbered = targets.select("t").withColumn("n", F.row_number().over(Window.orderBy("t")) - 1)
+    keyed = targets.select("t", F.pmod(F.xxhash64("t"), F.lit(4096)).alias("range"))
+    counts = keyed.groupBy("range").agg(F.count("*").alias("k"))
+    starts = counts.select("range", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("t")) - 1
+    numbered = keyed.withColumn("place", place).join(starts, "range").select("t", (F.col("start") + F.col("place")).alias("n"))
     total = targets.count()
     draw = F.explode(F.transform(F.sequence(F.lit(1), F.lit(each)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("q"), i), F.lit(max(1, total)))))
     return queries.select("q", draw.alias("n")).distinct().join(numbered, "n").select("q", "t").join(truth.select("q", "t"), ["q", "t"], "left_anti")
