@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from kinbridge.llm.common import cut, shared_path
 
 #: Rows that a block holds on average.
-BLOCK_ROWS = 5_000
+BLOCK_ROWS = 1_000
 
 
 def capacities(total: int, shards: int) -> list[int]:
@@ -129,9 +129,10 @@ def assign(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_i
     old, block, size, key, at, n = (f"{_P}{x}" for x in ("old", "block", "size", "hash", "at", "n"))
     own_size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
     keyed = docs.withColumns({old: F.coalesce(old_shard.cast("int"), F.lit(-1)), size: own_size, key: F.xxhash64(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    blocks = max(1, docs.count() // block_rows)
-    # a block is a range of hashes in an old shard; there are as many ranges as the rows ask for
-    keyed = keyed.withColumn(block, F.floor(F.shiftrightunsigned(key, 33).cast("double") / float(1 << 31) * blocks).cast("long"))
+    # a block is a range of hashes in an old shard, which has as many ranges as its rows ask for
+    sizes = {r[0]: r["count"] for r in keyed.groupBy(old).count().collect()}
+    ranges = F.element_at(F.create_map(*[F.lit(x) for o, n_rows in sorted(sizes.items()) for x in (o, max(1, n_rows // block_rows))]), F.col(old)) if sizes else F.lit(1)
+    keyed = keyed.withColumn(block, F.floor(F.shiftrightunsigned(key, 33).cast("double") / float(1 << 31) * ranges).cast("long"))
     by_block = cut(keyed.groupBy(old, block).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")), "reshard-blocks")
     by_old = {r[old]: r["bytes"] for r in by_block.groupBy(old).agg(F.sum("bytes").alias("bytes")).collect()}
     plan = solve(by_old, shards) if by_old else []
