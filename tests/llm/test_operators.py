@@ -172,6 +172,34 @@ def test_keep_one(docs, messy):
     assert {6, 8} & ids == {6} and not {7, 9, 21, 22} & ids and len({1, 2, 3} & ids) == 1 and {4, 5, 12, 15, 16} <= ids
 
 
+def test_wide_sketch_links_near_copies_only(spark):
+    rng = random.Random(12)
+    rows, group = [], {}
+    for g in range(12):
+        base = prose(rng, 300).split()
+        for c in range(6):
+            words = list(base)
+            for _ in range(c and 3):
+                words[rng.randrange(300)] = "changed"
+            rows.append((len(rows), " ".join(words)))
+            group[rows[-1][0]] = g
+    rows += [(1000 + i, prose(rng, 300)) for i in range(60)]
+    found = {r["d"]: r["root"] for r in simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for g in range(12):
+        assert len({found[i] for i, x in group.items() if x == g}) == 1
+    assert len(set(found.values())) == 12 + 60
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {6 * g for g in range(12)} | {1000 + i for i in range(60)}
+
+
+def test_ids_that_are_null_or_shared_are_told_apart(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    df = spark.createDataFrame([(None, a), (None, b), (None, a), (7, c), (7, b), (8, c)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect()))
+    assert got == sorted([(True, 0, a), (False, 7, b), (False, 7, c)])
+
+
 # ---- 2
 
 def test_bpe_equals_tiktoken(spark, docs, messy):
