@@ -497,7 +497,7 @@ def normalize_addresses(spark, d):
     return rows.withColumn("a", normalize.address_udf()("raw", "country")).select("raw", "country", "a.missing", "a.norm", "a.postcode", "a.house_numbers", "a.unit_numbers")
 
 
-@query(f"SELECT country, kind, spelling, label FROM (VALUES {_values([(c, k, s, lb) for k, tb in (('suffix', rules.SUFFIXES), ('prefix', rules.PREFIXES)) for c, fs in tb.items() for lb, al in fs.items() for s in al.split('|')])}) v(country, kind, spelling, label)")
+@query(f"SELECT country, kind, spelling, label FROM (VALUES {_values([(c, k, s, lb) for k, tb in (('suffix', rules.SUFFIXES), ('prefix', rules.PREFIXES)) for c, fs in tb.items() for lb, al in fs.items() for s in al])}) v(country, kind, spelling, label)")
 def legal_form_table(spark, d):
     return rules.legal_form_frame(spark)
 
