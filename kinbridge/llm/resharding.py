@@ -4,7 +4,7 @@ Rows belong to old shards; each is cut into blocks by a hash of the id.  From th
 the new capacities a minimum-cost flow (a byte that stays costs nothing, any other 1) tells how many bytes
 go from each old shard to each new one.  Within an old shard, in order of blocks, bytes stay first
 and then fill the flows in turn, so blocks move whole; rows of the few blocks in which a flow ends are
-dealt one by one, so that sizes come close to the capacities.  Rows are ordered only within their
+dealt one by one, some to other shards than their flow's, so that sizes come close to the capacities.  Rows are ordered only within their
 blocks.  Affected shards are written anew.
 
 A null text is empty; null ids are hashed as a value; repeated rows are rows of their own; a row's size
@@ -86,6 +86,20 @@ def solve(old_sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, i
     return out
 
 
+def _level(sizes: list[int], shard: list[int], need: list[int]) -> None:
+    """Single rows go from the fullest shard to the emptiest while that brings the two closer."""
+    for _ in range(16 * len(need)):
+        to = max(range(len(need)), key=lambda j: (need[j], -j))
+        moves = ((abs(need[to] - need[s] - 2 * size), i) for i, (s, size) in enumerate(zip(shard, sizes, strict=True)) if need[s] < 0 and size < need[to] - need[s])
+        best = min(moves, default=None)
+        if best is None or need[to] <= 0:
+            return
+        i = best[1]
+        need[shard[i]] += sizes[i]
+        need[to] -= sizes[i]
+        shard[i] = to
+
+
 def _deal(rows: list[tuple], moves: list[tuple[int, int, int, int]], need: list[int], slots: list[int]) -> list[tuple]:
     """(old, block, [(shard, slot)] in row order) of blocks in which flows end.
 
@@ -106,6 +120,7 @@ def _deal(rows: list[tuple], moves: list[tuple[int, int, int, int]], need: list[
             allowed[key] = [j for o, a, b, j in moves if o == old and a < ends[key] and b > low]
         shard[i] = max(allowed[key], key=lambda j: (need[j], -j))
         need[shard[i]] -= size
+    _level([r[3] for r in rows], shard, need)
     out: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, (old, block, _, _) in enumerate(rows):
         out.setdefault((old, block), []).append((shard[i], slots[shard[i]]))
