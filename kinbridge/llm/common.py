@@ -11,6 +11,8 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,9 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints/kinbridge"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or "file:///tmp/checkpoints/kinbridge").rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -101,3 +100,10 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if at < len(sizes):
         yield at, len(sizes)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts add up to at most ``most`` bytes, one row at least."""
+    for batch in batches:
+        for lo, hi in slices(pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist(), most):
+            yield batch.slice(lo, hi - lo)

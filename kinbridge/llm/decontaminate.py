@@ -16,11 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import slices
+from kinbridge.llm.common import small_batches
 
 #: One error for so many characters of an item.
 CHARS_PER_ERROR = 10
@@ -217,20 +216,18 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = None
-            for batch in batches:
+            for part in small_batches(batches):
                 matcher = matcher or Matcher(shared.value, chars_per_error)
-                for lo, hi in slices(pc.binary_length(batch["text"]).to_pylist(), 1 << 22):
-                    part = batch.slice(lo, hi - lo)
-                    rows, own = [], []
-                    for i, text in enumerate(part["text"]):
-                        for row in matcher.find(text.as_py()):
-                            rows.append(row)
-                            own.append(i)
-                    if rows:
-                        columns = list(zip(*rows, strict=True))
-                        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                        ids = part["doc_id"].take(pa.array(own))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(columns[0], pa.int64() if item_key == "bigint" else None), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "item_id", "distance", "budget", "start", "end", "n_places"])
+                rows, own = [], []
+                for i, text in enumerate(part["text"]):
+                    for row in matcher.find(text.as_py()):
+                        rows.append(row)
+                        own.append(i)
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    ids = part["doc_id"].take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(columns[0], pa.int64() if item_key == "bigint" else None), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "item_id", "distance", "budget", "start", "end", "n_places"])
 
         return source.mapInArrow(run, schema)
 

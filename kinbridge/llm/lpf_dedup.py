@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import id_key, text_bytes, text_tag
+from kinbridge.llm.common import id_key, small_batches, text_bytes, text_tag
 from kinbridge.llm.superkmers import Units, covered, find_runs
 
 WINDOW, GRAM = 400, 64
@@ -141,7 +141,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", i
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for text, found in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
                 gone, kept, at = 0, [], 0

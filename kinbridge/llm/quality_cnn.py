@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinbridge.llm.common import slices, text_bytes
+from kinbridge.llm.common import small_batches, text_bytes
 from kinbridge.llm.quality_rules import is_held_out, labelled_sample
 
 WIDTH, FILTERS, HIDDEN = 4, 8, 12
@@ -186,12 +185,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         tables = model.pair_tables() if isinstance(model, Network) else None
-        for batch in batches:
-            for lo, hi in slices(pc.fill_null(pc.binary_length(batch[text_col]), 0).to_pylist(), 1 << 22):
-                part = batch.slice(lo, hi - lo)
-                texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part[text_col]]
-                score = scores(model, tables, texts) if tables else np.full(len(texts), model)
-                yield pa.RecordBatch.from_arrays([*(part[n] for n in out), pa.array(score, pa.float64())], names=[*out, "__kb_score"])
+        for part in small_batches(batches, text_col):
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part[text_col]]
+            score = scores(model, tables, texts) if tables else np.full(len(texts), model)
+            yield pa.RecordBatch.from_arrays([*(part[n] for n in out), pa.array(score, pa.float64())], names=[*out, "__kb_score"])
 
     scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__kb_score", T.DoubleType())]))
     scored = scored.withColumns({"held_out": is_held_out(id_col), "score": F.col("__kb_score"), "predicted": (F.col("__kb_score") >= predict_at).cast("int")})

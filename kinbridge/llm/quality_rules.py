@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import cut, slices
+from kinbridge.llm.common import cut, small_batches
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -171,12 +170,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist(), 1 << 22):
-                part = batch.slice(lo, hi - lo)
-                counts, features = zip(*(statistics(t.as_py() or "") for t in part["text"]), strict=True)
-                names = [c.split()[0] for c in STATS.split(", ")]
-                yield pa.RecordBatch.from_arrays([part["id"], *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(features, pa.list_(pa.float64()))], names=["id", *names, "x"])
+        for part in small_batches(batches):
+            counts, features = zip(*(statistics(t.as_py() or "") for t in part["text"]), strict=True)
+            names = [c.split()[0] for c in STATS.split(", ")]
+            yield pa.RecordBatch.from_arrays([part["id"], *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(features, pa.list_(pa.float64()))], names=["id", *names, "x"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {key}, {STATS}, x array<double>")
 

@@ -22,12 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import NULL_ID, cut, id_key, slices, text_bytes
+from kinbridge.llm.common import NULL_ID, cut, id_key, small_batches, text_bytes
 from kinbridge.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -67,10 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(pc.binary_length(batch["text"]).to_pylist(), 1 << 22):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([fingerprint(t.as_py(), shingle) for t in part["text"]], pa.int64())], names=["doc_id", "fp"])
+        for part in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([fingerprint(t.as_py(), shingle) for t in part["text"]], pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"doc_id {key}, fp long")
 
@@ -264,12 +261,10 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(id_key(id_col).alias("d"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"), text_bytes(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(pc.binary_length(batch["text"]).to_pylist(), 1 << 22):
-                part = batch.slice(lo, hi - lo)
-                texts = [t.as_py() for t in part["text"]]
-                wide = np.array([wide_sketch(t.lower().split()) for t in texts], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part["d"], part["tag"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["d", "tag", "fp", "w0", "w1"])
+        for part in small_batches(batches):
+            texts = [t.as_py() for t in part["text"]]
+            wide = np.array([wide_sketch(t.lower().split()) for t in texts], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part["d"], part["tag"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["d", "tag", "fp", "w0", "w1"])
 
     prints = cut(keyed.mapInArrow(run, "d long, tag long, fp long, w0 long, w1 long"), "simhash-prints").withColumn("node", F.xxhash64("fp", "w0", "w1"))
     nodes = prints.select("node", "fp", "w0", "w1").distinct()

@@ -27,12 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import COUNT_BITS, START_BITS, cut, id_key, slices, text_bytes, text_tag
+from kinbridge.llm.common import COUNT_BITS, START_BITS, cut, id_key, small_batches, text_bytes, text_tag
 
 POS_MASK = np.uint64((1 << 31) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,19 +196,17 @@ def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        for batch in batches:
-            for lo, hi in slices(pc.binary_length(batch["text"]).to_pylist(), 4 * BATCH_BYTES):
-                cell = batch.slice(lo, hi - lo)
-                part, size = [], 0
-                for tile in tiles(cell["d"].to_pylist(), cell["tag"].to_pylist(), cell["text"].to_pylist()):
-                    part.append(tile)
-                    size += len(tile[3]) * (1 if units.kind == "bytes" else 6)
-                    if size >= BATCH_BYTES:
-                        if (out := flush(part, memo)) is not None:
-                            yield out
-                        part, size = [], 0
-                if (out := flush(part, memo)) is not None:
-                    yield out
+        for batch in small_batches(batches):
+            part, size = [], 0
+            for tile in tiles(batch["d"].to_pylist(), batch["tag"].to_pylist(), batch["text"].to_pylist()):
+                part.append(tile)
+                size += len(tile[3]) * (1 if units.kind == "bytes" else 6)
+                if size >= BATCH_BYTES:
+                    if (out := flush(part, memo)) is not None:
+                        yield out
+                    part, size = [], 0
+            if (out := flush(part, memo)) is not None:
+                yield out
 
     return run
 
@@ -270,7 +267,7 @@ def pack_up(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     """Cut the packed strings of the representatives out of their texts; of hot buckets one window each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out: list[tuple] = []
             size = 0
             for text, d, tag, reps in zip(*(batch[c].to_pylist() for c in ("text", "d", "tag", "reps")), strict=True):
