@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import NULL_ID, cut, id_key, small_batches, text_bytes
+from kinbridge.llm import jaccard
+from kinbridge.llm.common import NULL_ID, cut, id_key, shingle_places, small_batches, text_bytes
 from kinbridge.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -34,15 +35,6 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 CHUNK = 1 << 14
 
 
-def shingle_places(words: list[bytes], shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words joined by spaces, and where its shingles start and end; fewer words are one shingle."""
-    n = max(1, len(words) - shingle + 1)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.zeros(len(words), np.int64)
-    np.cumsum(sizes[:-1], out=starts[1:])
-    return b" ".join(words), starts[:n], (starts + sizes - 1)[min(shingle, len(words)) - 1 :]
-
-
 def majority(h: np.ndarray) -> int:
     """The bits set in over half of the hashes, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
@@ -197,91 +189,47 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.withColumnRenamed("doc_id", id_col)
 
 
-# ---- a wider sketch: near copies by the similarity of their shingle sets
-
-WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 128, 24
-#: Sampled blocks: so many keys of so many bits.  At the radius a pair shares one with a probability of
-#: 0.87, at the mean distance of a similarity of 0.8 (19 bits) of 0.99; near copies come in groups, and
-#: any link joins a group.
-WIDE_KEYS, WIDE_KEY_BITS = 128, 20
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def wide_sketch(words: list[bytes], shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
-    """128 bits of the set of shingles, as two signed integers; no words: zero."""
-    if not words:
-        return 0, 0
-    joined, starts, ends = shingle_places(words, shingle)
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
-    out = []
-    with np.errstate(over="ignore"):
-        for c in _MIX:
-            g = h * np.uint64(c)
-            g ^= g >> np.uint64(32)
-            g *= np.uint64(0xBF58476D1CE4E5B9)
-            g ^= g >> np.uint64(29)
-            out.append(majority(g))
-    return out[0], out[1]
-
-
-def sampled_blocks(keys: int = WIDE_KEYS, bits: int = WIDE_KEY_BITS) -> np.ndarray:
-    """keys x bits places of the sketch, by a fixed generator."""
-    rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(WIDE_BITS)[:bits] for _ in range(keys)])
-
-
-def wide_keys(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, id, w0, w1) for each of some sampled blocks of each row (id, w0, w1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, n = sampled_blocks()[first:last], last - first
-        weights = 1 << np.arange(WIDE_KEY_BITS, dtype=np.int64)
-        for batch in batches:
-            x = np.stack([batch["w0"].to_numpy(), batch["w1"].to_numpy()], 1)
-            bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
-            key = bits[:, blocks].astype(np.int64) @ weights | np.arange(first, last, dtype=np.int64) << WIDE_KEY_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(batch[c].to_numpy(), n)) for c in ("id", "w0", "w1"))], names=["key", "id", "w0", "w1"])
-
-    return run
-
-
-def wide_links(sketches: DataFrame, first: int, last: int) -> DataFrame:
-    """Links between ids of sketches (id, w0, w1) within the radius that share one of some blocks."""
-    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return in_buckets(sketches.repartition(parts, "w0", "w1").mapInArrow(wide_keys(first, last), "key long, id long, w0 long, w1 long"), WIDE_RADIUS, 2)
+# ---- near copies: what SimHash links, and beyond it what shares four fifths of its shingles
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, tag, root): each distinct document and its group.
 
     Two documents are near copies if their fingerprints link (``near_duplicates``), or if their sets of
-    five-word shingles have wide sketches within 24 of 128 bits, which stands for a similarity of 0.8.
+    five-word shingles have a Jaccard similarity of 0.8 or more (``jaccard``); both are exact.
     """
     keyed = docs.select(id_key(id_col).alias("d"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"), text_bytes(text_col).alias("text"))
+    common, counts = jaccard.common_shingles(keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for part in small_batches(batches):
             texts = [t.as_py() for t in part["text"]]
-            wide = np.array([wide_sketch(t.lower().split()) for t in texts], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part["d"], part["tag"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["d", "tag", "fp", "w0", "w1"])
-
-    prints = cut(keyed.mapInArrow(run, "d long, tag long, fp long, w0 long, w1 long"), "simhash-prints").withColumn("node", F.xxhash64("fp", "w0", "w1"))
-    nodes = prints.select("node", "fp", "w0", "w1").distinct()
-    # nodes of one fingerprint, and nodes of one sketch, are linked to the least of them
-    hub = lambda by: nodes.join(nodes.groupBy(*by).agg(F.min("node").alias("a")), by).where("a <> node").select("a", F.col("node").alias("b"))
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    links = fingerprint_links(of_fp.select("fp"))
-    links = links.join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    wide = nodes.groupBy("w0", "w1").agg(F.min("node").alias("id")).select("id", "w0", "w1")
-    # the first blocks join the dense groups; the others then only link what is still apart, so a group's links do not add up over all blocks
-    some = WIDE_KEYS // 8
-    roots = connected_components(hub(["fp"]).unionByName(hub(["w0", "w1"])).unionByName(links).unionByName(wide_links(wide, 0, some)))
-    group = cut(nodes.join(roots, "node", "left").select("node", "w0", "w1", F.coalesce("root", F.col("node")).alias("id")), "simhash-groups")
-    apart = group.groupBy("w0", "w1").agg(F.min("id").alias("id")).select("id", "w0", "w1")
-    more = connected_components(wide_links(apart, some, WIDE_KEYS)).withColumnsRenamed({"node": "id", "root": "last"})
-    final = group.join(more, "id", "left").select("node", F.coalesce("last", "id").alias("root"))
-    return prints.join(final, "node").select("d", "tag", "root")
+            sets = [jaccard.shingle_set(t) for t in texts]
+            ids = [jaccard.set_id(h) for h in sets]
+            firsts = []
+            for i, h in zip(ids, sets, strict=True):
+                firsts.append(None if i in given else jaccard.prefix(h, common, counts).view(np.int64))
+                if len(given) < 1 << 17:
+                    given.add(i)
+            yield pa.RecordBatch.from_arrays(
+                [part["d"], part["tag"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["d", "tag", "fp", "set", "n", "prefix"],
+            )
+
+    prints = cut(keyed.mapInArrow(run, "d long, tag long, fp long, set long, n long, prefix array<long>"), "simhash-prints").withColumn("node", F.xxhash64("fp", "set"))
+    nodes = prints.select("node", "fp", "set").distinct()
+    # nodes of one fingerprint, and nodes of one set, are linked to the least of them
+    hub = lambda by: nodes.join(nodes.groupBy(by).agg(F.min("node").alias("a")), by).where("a <> node").select("a", F.col("node").alias("b"))
+
+    def of_nodes(links: DataFrame, by: str) -> DataFrame:
+        least = nodes.groupBy(by).agg(F.min("node").alias("node"))
+        one = lambda end, name: least.select(F.col(by).alias(end), F.col("node").alias(name))
+        return links.join(one("a", "x"), "a").join(one("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    edges = of_nodes(fingerprint_links(nodes.select("fp").distinct()), "fp").unionByName(of_nodes(jaccard.jaccard_links(prints, keyed), "set"))
+    roots = connected_components(hub("fp").unionByName(hub("set")).unionByName(edges))
+    return prints.join(roots, "node", "left").select("d", "tag", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
