@@ -1,8 +1,9 @@
 """Links between documents whose sets of word shingles have a Jaccard similarity of 4/5 or more, exactly.
 
 Sets that are so similar share one of the first n - ceil(4n/5) + 1 shingles of either, in any order that
-is common to all sets (prefix filter), and the smaller has 4/5 of the larger's size at least.  Every pair
-that passes both is a candidate; each candidate's similarity is computed from its texts before it links.
+is common to all sets (prefix filter), and after the first that they share enough must be left in both
+(positional filter, which implies the length filter).  Every pair that passes is a candidate; each
+candidate's similarity is computed from its texts before it links.
 
 The order is by hash, but shingles that occur twice or more in a sample of documents come last, so that a
 common passage is no key of the documents that hold it.  The sample decides on cost alone, not on results.
@@ -79,8 +80,17 @@ def common_shingles(keyed: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return h[order], n[order]
 
 
-def size_fits(m: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    return 5 * np.minimum(m, n) >= 4 * np.maximum(m, n)
+#: A posting's size of set and place in its prefix are one long.
+PLACE_BITS = 31
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    """Whether two sets may be alike that share their first shingle at these places; x and y: size, place.
+
+    Implies the length filter.  At a later shared shingle it may refuse what it let pass at the first.
+    """
+    m, n, last = x >> PLACE_BITS, y >> PLACE_BITS, (1 << PLACE_BITS) - 1
+    return 9 * np.minimum(m - (x & last), n - (y & last)) >= 4 * (m + n)
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int = 1 << 17) -> Iterator[list[np.ndarray]]:
@@ -126,19 +136,19 @@ def first_pairs(few: int) -> Run:
                 hit = np.flatnonzero(k[lag:] == k[:-lag])
                 if not len(hit):
                     break
-                hit = hit[size_fits(m[hit], m[hit + lag])]
+                hit = hit[may_be_alike(m[hit], m[hit + lag])]
                 a.append(i[hit])
                 b.append(i[hit + lag])
             for at, size in zip(edge[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
                 i, m = ids[at : at + size], n[at : at + size]
-                fits = size_fits(m[1:], m[0])
+                fits = may_be_alike(m[1:], m[0])
                 a.append(np.full(fits.sum(), i[0]))
                 b.append(i[1:][fits])
                 if int(key[at]) % 8 == 0:  # neighbours in an order of this bucket's own
                     with np.errstate(over="ignore"):
                         order = np.argsort((i ^ key[at]) * np.int64(0x9E3779B97F4A7C1) >> np.int64(7))
                     x, y = order[:-1], order[1:]
-                    fits = size_fits(m[x], m[y])
+                    fits = may_be_alike(m[x], m[y])
                     a.append(np.minimum(i[x], i[y])[fits])
                     b.append(np.maximum(i[x], i[y])[fits])
             if sum(map(len, a)):
@@ -165,7 +175,7 @@ def pairs_across() -> Run:
                 ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
                 end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
                 for at in range(int(ends[-2])):
-                    hit = end[at] + np.flatnonzero(size_fits(m[end[at] :], m[at]))
+                    hit = end[at] + np.flatnonzero(may_be_alike(m[end[at] :], m[at]))
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[at], i[hit])), pa.array(np.maximum(i[at], i[hit]))], names=["a", "b"])
 
@@ -173,34 +183,37 @@ def pairs_across() -> Run:
 
 
 def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) that are alike, from both ends' rows (a, b, id, text) sorted by a and b."""
-    sets: dict[int, np.ndarray] = {}
-    last, seen = None, set()
+    """The pairs (a, id) that are alike, from rows (a, salt, id, text) sorted so that a's own text comes before its partners'."""
+    group = last = None
+    first = np.empty(0, np.uint64)
     for batch in batches:
         out = []
-        for a, b, own, text in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["id"].to_pylist(), batch["text"], strict=True):
-            if (a, b) != last:
-                last, seen = (a, b), set()
-                sets = {i: s for i, s in sets.items() if i == a}
-            if own in seen:
+        for a, salt, own, text in zip(batch["a"].to_pylist(), batch["salt"].to_pylist(), batch["id"].to_pylist(), batch["text"], strict=True):
+            if (a, salt, own) == last:  # a document listed twice
                 continue
-            seen.add(own)
-            if own not in sets:
-                sets[own] = shingle_set(text.as_py())
-            if len(seen) == 2 and alike(sets[a], sets[b]):
-                out.append(last)
+            last = (a, salt, own)
+            if (a, salt) != group:
+                if a != own:
+                    raise RuntimeError("a pair without its first text")
+                group, first = (a, salt), shingle_set(text.as_py())
+            elif alike(first, shingle_set(text.as_py())):
+                out.append((a, own))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are alike; holders: (id, d, tag), a document of each set; keyed: d, tag, text."""
+def verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame, most: int = 256) -> DataFrame:
+    """The pairs (a < b) of sets that are alike; holders: (id, d, tag), a document of each set; keyed: d, tag, text.
+
+    The text of a travels once for its partners, or once for about ``most`` of them.
+    """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut(pairs.distinct(), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("id"), "a", "b").unionByName(pairs.select(F.col("b").alias("id"), "a", "b"))
+    salted = pairs.join(pairs.groupBy("a").count(), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / most)).alias("salt"), "b")
+    ends = salted.select("a", "salt", F.col("b").alias("id")).unionByName(salted.select("a", "salt", F.col("a").alias("id")).distinct())
     needed = cut(holders.join(ends.select("id").distinct(), "id"), "jaccard-needed")
     texts = keyed.join(needed, ["d", "tag"]).select("id", "text")
-    rows = ends.join(texts, "id").select("a", "b", "id", "text")
-    return cut(rows.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(check_pairs, "a long, b long"), "jaccard-links")
+    rows = ends.join(texts, "id").select("a", "salt", "id", "text")
+    return cut(rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "id").mapInArrow(check_pairs, "a long, b long"), "jaccard-links")
 
 
 def jaccard_links(prints: DataFrame, keyed: DataFrame, few: int = 24) -> DataFrame:
@@ -209,7 +222,8 @@ def jaccard_links(prints: DataFrame, keyed: DataFrame, few: int = 24) -> DataFra
     prints: d, tag, set, n, prefix (null where the task gave the set's prefix before); keyed: d, tag, text.
     """
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posts = prints.where("prefix is not null").select(F.explode("prefix").alias("key"), F.col("set").alias("id"), "n")
+    posts = prints.where("prefix is not null").select(F.posexplode("prefix").alias("place", "key"), F.col("set").alias("id"), "n")
+    posts = posts.select("key", "id", F.shiftleft("n", PLACE_BITS).bitwiseOR(F.col("place")).alias("n"))
     found = cut(posts.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(first_pairs(few), FOUND), "jaccard-found", ["crowded"])
     holders = prints.groupBy(F.col("set").alias("id")).agg(F.min(F.struct("d", "tag")).alias("h")).select("id", "h.d", "h.tag")
     links = verified(found.where("not crowded").select("a", "b"), keyed, holders)

@@ -2,9 +2,12 @@
 
 import random
 
-from kinbridge.llm import simhash
+import numpy as np
+import pytest
+
+from kinbridge.llm import jaccard, simhash
 from tests.llm import brute
-from tests.llm.conftest import prose
+from tests.llm.conftest import SF, prose
 
 
 def shingles(text):
@@ -51,3 +54,28 @@ def test_similar_but_not_near_copies_stay(spark):
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, copies(rng, base, edits))]
     kept, want = kept_and_wanted(spark, rows)
     assert kept == want and len(rows) // 2 < len(kept) < len(rows)
+
+
+@pytest.mark.parametrize(("few", "sampled"), [(2, True), (2, False), (24, True)])
+def test_links_find_every_pair_of_crowded_and_small_buckets(spark, few, sampled, monkeypatch):
+    """Groups chained at the limit, a passage that many share, short texts; crowded buckets or not, with and without
+    shingles that a sample puts last."""
+    rng, rows = random.Random(32), []
+    passage = prose(rng, 40)
+    for n in (12, 60, 150):
+        base = prose(rng, n).split()
+        rows += [(len(rows) + i, copies(rng, base, rng.randint(0, n // 30))) for i in range(40)]
+    rows += [(len(rows) + i, passage + " " + prose(rng, rng.choice((3, 8, 60)))) for i in range(60)]
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, " ", "one two", "One  two", "a b c d e f", "a b c d e f g", "a b c d e f g h i", "a b c d e f g h"])]
+    exact = jaccard.jaccard_links
+    monkeypatch.setattr(jaccard, "jaccard_links", lambda prints, keyed: exact(prints, keyed, few))
+    if not sampled:
+        monkeypatch.setattr(jaccard, "common_shingles", lambda keyed: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    kept, want = kept_and_wanted(spark, rows)
+    assert kept == want
+
+
+def test_stage_on_a_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    kept, want = kept_and_wanted(spark, sorted(rows))
+    assert kept == want
