@@ -497,6 +497,28 @@ def normalize_addresses(spark, d):
     return rows.withColumn("a", normalize.address_udf()("raw", "country")).select("raw", "country", "a.missing", "a.norm", "a.postcode", "a.house_numbers", "a.unit_numbers")
 
 
+def _raw_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(origin, id, raw, country) of every row: part, customer and supplier names, and documents with their language."""
+    nation = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+    part = t(spark, d, "part").select(F.lit("part").alias("origin"), F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("raw"), F.lit("").alias("country"))
+    for table, c in (("customer", "c_cust"), ("supplier", "s_supp")):
+        rows = t(spark, d, table).join(nation, F.col(f"{c[0]}_nationkey") == F.col("n_nationkey"), "left")
+        part = part.unionByName(rows.select(F.lit(table).alias("origin"), F.col(f"{c}key").cast("long").alias("id"), F.col(f"{c[0]}_name").alias("raw"), "country"))
+    return part.unionByName(t(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("text").alias("raw"), F.col("lang").alias("country")))
+
+
+@query()
+def normalize_table_names(spark, d):
+    """The name normaliser over whole tables; SQL has no form of it."""
+    return _raw_texts(spark, d).withColumn("n", normalize.name_udf()("raw", "country")).select("origin", "id", "n.*")
+
+
+@query()
+def normalize_table_addresses(spark, d):
+    """The address normaliser over whole tables; they have no address column, so it reads the same texts."""
+    return _raw_texts(spark, d).withColumn("a", normalize.address_udf()("raw", "country")).select("origin", "id", "a.missing", "a.norm", "a.postcode", "a.house_numbers", "a.unit_numbers")
+
+
 @query(f"SELECT country, kind, spelling, label FROM (VALUES {_values([(c, k, s, lb) for k, tb in (('suffix', rules.SUFFIXES), ('prefix', rules.PREFIXES)) for c, fs in tb.items() for lb, al in fs.items() for s in al])}) v(country, kind, spelling, label)")
 def legal_form_table(spark, d):
     return rules.legal_form_frame(spark)
