@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from kinbridge.session import ship
 
 NULL_ID = -(2**63)
-#: A document's place is one long: text tag (21 bits), unit offset (31 bits), window count (11 bits).
-TAG_BITS, START_BITS, COUNT_BITS = 21, 31, 11
+#: A run's place in its text is one long: unit offset (31 bits), window count (11 bits).
+START_BITS, COUNT_BITS = 31, 11
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -88,7 +88,7 @@ def id_key(col: str = "doc_id") -> Column:
 
 
 def text_tag(col: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("")))
 
 
 def shingle_places(words: list[bytes], shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:

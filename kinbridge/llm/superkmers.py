@@ -36,8 +36,8 @@ from kinbridge.llm.common import COUNT_BITS, START_BITS, cut, id_key, small_batc
 POS_MASK = np.uint64((1 << 31) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-RUNS = "d long, place long"
-ROWS = "kind byte, h long, sig long, d long, place long"
+RUNS = "d long, tag long, place long"
+ROWS = "kind byte, h long, sig long, d long, tag long, place long"
 #: Texts are hashed in tiles of so many units; windows that cross a border are seen once.
 TILE = 1 << 19
 BATCH_BYTES = 1 << 20
@@ -138,8 +138,8 @@ def super_kmers(codes: np.ndarray, owner_end: np.ndarray, units: Units) -> tuple
     return h[at[first]], first, count
 
 
-def place_of(tag: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (((tag << START_BITS) | start) << COUNT_BITS) | count
+def place_of(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start << COUNT_BITS) | count
 
 
 def _table(**columns: np.ndarray) -> pa.RecordBatch:
@@ -178,13 +178,14 @@ def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
         own = np.searchsorted(ends, first, side="right")
         start = first - (ends - sizes)[own] + np.array([p[2] for p in part])[own]
         d = np.array([p[0] for p in part], np.int64)[own]
-        place = place_of(np.array([p[1] for p in part], np.int64)[own], start, count)
+        tag = np.array([p[1] for p in part], np.int64)[own]
+        place = place_of(start, count)
         h = h.view(np.int64)
-        order = np.lexsort((place, d, sig, h))
-        h, sig, d, place = h[order], sig[order], d[order], place[order]
+        order = np.lexsort((place, tag, d, sig, h))
+        h, sig, d, tag, place = (x[order] for x in (h, sig, d, tag, place))
         fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1])
-        h, sig, d, place = h[fresh], sig[fresh], d[fresh], place[fresh]
+        fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
+        h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
         lead = np.ones(len(h), bool)
         lead[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
         settled = ~lead
@@ -192,7 +193,7 @@ def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
             settled[:-1] |= ~lead[1:]
         kind = np.concatenate([np.zeros(lead.sum(), np.int8), np.ones(settled.sum(), np.int8)])
         # settled runs only pass through: any spread of bucket hashes will do for them
-        return _table(kind=kind, h=np.concatenate([h[lead], d[settled] * np.int64(0x9E3779B1)]), sig=np.concatenate([sig[lead], np.zeros(settled.sum(), np.int64)]), d=np.concatenate([d[lead], d[settled]]), place=np.concatenate([place[lead], place[settled]]))
+        return _table(kind=kind, h=np.concatenate([h[lead], d[settled] * np.int64(0x9E3779B1)]), sig=np.concatenate([sig[lead], np.zeros(settled.sum(), np.int64)]), d=np.concatenate([d[lead], d[settled]]), tag=np.concatenate([tag[lead], tag[settled]]), place=np.concatenate([place[lead], place[settled]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -211,56 +212,56 @@ def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-FOUND = "rep boolean, h long, d long, place long"
+FOUND = "rep boolean, h long, d long, tag long, place long"
 
 
 def gather(mode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Streams sorted buckets; out: settled runs, and a representative for each string of a mixed bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # h, sig, d, place of the last string's first row; mixed; settled
+        last: tuple | None = None  # h, sig, d, tag, place of the last string's first row; mixed; settled
         for batch in batches:
-            kind, h, sig, d, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("kind", "h", "sig", "d", "place"))
+            kind, h, sig, d, tag, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("kind", "h", "sig", "d", "tag", "place"))
             if (done := kind == 1).any():
-                yield _table(rep=np.zeros(done.sum(), bool), h=h[done], d=d[done], place=place[done])
-                h, sig, d, place = (x[~done] for x in (h, sig, d, place))
+                yield _table(rep=np.zeros(done.sum(), bool), h=h[done], d=d[done], tag=tag[done], place=place[done])
+                h, sig, d, tag, place = (x[~done] for x in (h, sig, d, tag, place))
             if not len(h):
                 continue
             carried = last is not None
             if carried:
-                h, sig, d, place = (np.concatenate([[v], x]) for v, x in zip(last[:4], (h, sig, d, place), strict=True))
+                h, sig, d, tag, place = (np.concatenate([[v], x]) for v, x in zip(last[:5], (h, sig, d, tag, place), strict=True))
             fresh = np.ones(len(h), bool)  # the same document listed twice
-            fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1])
-            h, sig, d, place = (x[fresh] for x in (h, sig, d, place))
+            fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
+            h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
             lead = np.ones(len(h), bool)
             lead[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
             settled = ~lead
             if mode == "all":
                 settled[:-1] |= ~lead[1:]
-            if carried and settled[0] and last[5]:
+            if carried and settled[0] and last[6]:
                 settled[0] = False
             top = np.ones(len(h), bool)
             top[1:] = h[1:] != h[:-1]
             group = np.cumsum(top) - 1
             strings = np.bincount(group, weights=lead).astype(np.int64)
             mixed = strings > 1
-            if carried and last[4]:
+            if carried and last[5]:
                 mixed[0] = True
             rep = lead & mixed[group]
-            if carried and last[4]:
+            if carried and last[5]:
                 rep[0] = False
             if settled.any() or rep.any():
                 pick = np.concatenate([np.flatnonzero(settled), np.flatnonzero(rep)])
-                yield _table(rep=np.arange(len(pick)) >= settled.sum(), h=h[pick], d=d[pick], place=place[pick])
+                yield _table(rep=np.arange(len(pick)) >= settled.sum(), h=h[pick], d=d[pick], tag=tag[pick], place=place[pick])
             end = int(np.flatnonzero(lead)[-1])
             # of the last string: its first row, whether its bucket is mixed (then it is out already), whether it is settled
-            was = bool(carried and end == 0 and last[5])
-            last = (h[end], sig[end], d[end], place[end], bool(mixed[-1]), bool(settled[end]) or was or end < len(h) - 1)
+            was = bool(carried and end == 0 and last[6])
+            last = (h[end], sig[end], d[end], tag[end], place[end], bool(mixed[-1]), bool(settled[end]) or was or end < len(h) - 1)
 
     return run
 
 
-PACKED = "h long, packed binary, d long, place long"
+PACKED = "h long, packed binary, d long, tag long, place long"
 
 
 def pack_up(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -278,7 +279,7 @@ def pack_up(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     step = 1 if rep["hot"] else count
                     for at in range(start, start + count, step):
                         packed = units.pack(seq[at : at + step + units.window - 1])
-                        out.append((xxhash.xxh3_64_intdigest(packed) - (1 << 63) if rep["hot"] else h, packed, d, (((tag << START_BITS) | at) << COUNT_BITS) | step))
+                        out.append((xxhash.xxh3_64_intdigest(packed) - (1 << 63) if rep["hot"] else h, packed, d, tag, (at << COUNT_BITS) | step))
                         size += len(packed)
                     if size > 2 * BATCH_BYTES:
                         yield _packed(out)
@@ -290,8 +291,8 @@ def pack_up(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    h, packed, d, place = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(packed, pa.binary()), pa.array(d, pa.int64()), pa.array(place, pa.int64())], names=["h", "packed", "d", "place"])
+    h, packed, d, tag, place = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(packed, pa.binary()), pa.array(d, pa.int64()), pa.array(tag, pa.int64()), pa.array(place, pa.int64())], names=["h", "packed", "d", "tag", "place"])
 
 
 Solve = Callable[[list[bytes], str], tuple[np.ndarray, np.ndarray]]
@@ -312,14 +313,14 @@ def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES /
         first[1:] = (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1)
         at = np.flatnonzero(first)
         count = np.diff(np.append(at, len(string)))
-        place = np.array([r[3] for r in rows], np.int64)[string[at]]
-        return _table(d=np.array([r[2] for r in rows], np.int64)[string[at]], place=((place >> COUNT_BITS) + window[at] << COUNT_BITS) | count)
+        place = np.array([r[4] for r in rows], np.int64)[string[at]]
+        return _table(d=np.array([r[2] for r in rows], np.int64)[string[at]], tag=np.array([r[3] for r in rows], np.int64)[string[at]], place=((place >> COUNT_BITS) + window[at] << COUNT_BITS) | count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, last, seen = 0, None, None
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("h", "packed", "d", "place")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("h", "packed", "d", "tag", "place")), strict=True):
                 if (row[0], *row[2:]) == seen:  # the same document listed twice
                     continue
                 seen = (row[0], *row[2:])
@@ -342,18 +343,17 @@ def find_runs(docs: DataFrame, units: Units, mode: str, solve: Solve, id_col: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(id_key(id_col).alias("d"), text_tag(text_col).alias("tag"), text_bytes(text_col).alias("text"))
     rows = keyed.mapInArrow(scatter(units, mode), ROWS)
-    found = rows.repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "place").mapInArrow(gather(mode), FOUND)
+    found = rows.repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "tag", "place").mapInArrow(gather(mode), FOUND)
     found = cut(found, f"{units.kind}-found", ["rep"])
     reps = found.where("rep")
     crowded = reps.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
-    tag_of = F.shiftright("place", START_BITS + COUNT_BITS)
-    wanted = reps.join(crowded, "h", "left").groupBy("d", tag_of.alias("tag")).agg(F.collect_list(F.struct("place", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("reps"))
+    wanted = reps.join(crowded, "h", "left").groupBy("d", "tag").agg(F.collect_list(F.struct("place", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("reps"))
     packed = keyed.join(wanted, ["d", "tag"]).select("d", "tag", "text", "reps").mapInArrow(pack_up(units), PACKED)
-    runs = packed.repartition(parts, "h").sortWithinPartitions("h", "d", "place")
+    runs = packed.repartition(parts, "h").sortWithinPartitions("h", "d", "tag", "place")
     solved = cut(runs.mapInArrow(settle(units, mode, solve), RUNS), f"{units.kind}-runs")
-    both = found.where("not rep").select("d", "place").unionByName(solved)
+    both = found.where("not rep").select("d", "tag", "place").unionByName(solved)
     start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
-    return both.groupBy("d", tag_of.alias("tag")).agg(F.collect_list(F.struct(start.alias("start"), F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("count"))).alias("runs"))
+    return both.groupBy("d", "tag").agg(F.collect_list(F.struct(start.alias("start"), F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("count"))).alias("runs"))
 
 
 def covered(runs: list[dict], window: int, n: int) -> list[tuple[int, int]]:
