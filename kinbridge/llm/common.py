@@ -1,13 +1,16 @@
 """Shared folder, row keys and Arrow batching used by the operators of this subpackage.
 
 Row identity.  A document is a (doc_id, text) pair: rows that repeat both are one document listed
-twice and get equal results; rows that share only the id are told apart by a hash of the text.  A
-null id is ordered before every other id.  A null text is an empty text.
+twice and get equal results; rows that share only the id are told apart by 64 bits of the text's hash.
+Documents whose id is null have no id to share: they go by 127 bits of their text's hash.  Ids may be of
+any type that sorts.  Null ids come before all ids from 0 on, in order of their hashes.  A null text is
+an empty text.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,9 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinbridge.session import ship
 
+#: The highest bit: it is set in the keys of documents without an id.
 NULL_ID = -(2**63)
 #: A run's place in its text is one long: unit offset (31 bits), window count (11 bits).
 START_BITS, COUNT_BITS = 31, 11
@@ -26,8 +31,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, as in tests, one of our own.
+
+    On a cluster a folder of our own would be each machine's, so there the setting must be there.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or "file:///tmp/checkpoints/kinbridge").rstrip("/")
 
 
@@ -70,7 +80,14 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     schema = df.schema
     del df, writer
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._kinbridge_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``cut`` has written for df; nothing may read it any more."""
+    drop_path(df.sparkSession, df._kinbridge_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,12 +100,25 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
-def id_key(col: str = "doc_id") -> Column:
-    return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
+def text_hash(col: str = "text", *salt: int) -> Column:
+    """64 bits of the text's hash; a null text is empty."""
+    return F.xxhash64(*map(F.lit, salt), F.coalesce(F.col(col).cast("string"), F.lit("")))
+
 
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d: str = "d", tag: str = "tag") -> DataFrame:
+    """Adds the two longs that name a document: d, in order of the ids, and tag.
 
-def text_tag(col: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("")))
+    Ids that are no whole numbers are numbered in their order; the numbers are written to the shared folder.
+    """
+    nameless = text_hash(text_col, 1).bitwiseOR(F.lit(NULL_ID))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        number = F.col(id_col).cast("long")
+    else:
+        ids = docs.select(F.col(id_col).alias("__kb_id")).where("__kb_id is not null").distinct()
+        numbers = ids.repartitionByRange("__kb_id").sortWithinPartitions("__kb_id").withColumn("__kb_n", F.monotonically_increasing_id())
+        docs = docs.join(cut(numbers, "ids"), F.col(id_col) == F.col("__kb_id"), "left")
+        number = F.col("__kb_n")
+    return docs.withColumns({d: F.when(F.col(id_col).isNotNull(), number).otherwise(nameless), tag: text_hash(text_col)}).drop("__kb_id", "__kb_n")
 
 
 def shingle_places(words: list[bytes], shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:

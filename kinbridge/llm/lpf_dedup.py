@@ -1,28 +1,27 @@
 """Suffix-array deduplication over bytes by longest-previous-factor (LPF) arrays.
 
-Candidate strings come from super-k-mer buckets (see ``superkmers``); within whole buckets a suffix
-array by prefix doubling orders the places, the previous and next smaller places in suffix order give
-each place's earlier matches, and the longer of both is its LPF.  A place whose LPF reaches the window
-repeats an earlier one.  ``later`` removes those copies and keeps the first; ``all`` also removes the
-earlier matches.
-
-Null texts are empty; texts shorter than the window lose nothing; a null id orders before all others;
-repeated rows (equal id and text) are one document and get equal results; an empty table gives an
-empty result; extra columns are ignored.
+Super-k-mer buckets bring together all strings that could match (see ``superkmers``).  Within whole
+buckets a suffix array by prefix doubling orders the places, the previous and next smaller places in
+suffix order give each place's earlier matches, and the longer of both is its LPF.  A place whose LPF
+reaches the window repeats an earlier one.  ``later`` removes those copies and keeps the first; ``all``
+also removes the earlier matches.  Every bucket is decided so; of equal strings the first two take part, and
+those after them go as the second does.  Suffixes are ordered by as many bytes as the window has, equal
+ones by place: matches beyond the window's length make no difference.
+
+Null texts are empty; texts shorter than the window lose nothing; documents without an id come before the
+ids from 0 on, and equal texts without ids are documents of their own; repeated rows (equal id and text) are one
+document and get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kinbridge.llm.common import id_key, small_batches, text_bytes, text_tag
-from kinbridge.llm.superkmers import Units, covered, find_runs
+from kinbridge.llm.superkmers import Units, clean_texts, covered
 
 WINDOW, GRAM = 400, 64
 
@@ -126,34 +125,24 @@ def lpf_windows(window: int):
     return solve
 
 
-def byte_runs(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
-    return find_runs(docs, Units("bytes", window, max(1, min(GRAM, window // 2))), mode, lpf_windows(window), id_col, text_col, hot)
-
-
 CLEANED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
     """One row a document: its id, bytes, removed bytes and spans, and the bytes that stay, concatenated."""
-    runs = byte_runs(docs, window, mode, id_col, text_col, hot)
-    key = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("d"), text_tag(text_col).alias("tag"), text_bytes(text_col).alias("text"))
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            rows = []
-            for text, found in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-                gone, kept, at = 0, [], 0
-                cuts = covered(found or [], window, len(text))
-                for a, b in cuts:
-                    kept.append(text[at:a])
-                    gone, at = gone + b - a, b
-                out = b"".join([*kept, text[at:]])
-                rows.append((len(text), gone, len(cuts), hashlib.sha256(out).hexdigest(), [{"start": a, "end": b} for a, b in cuts], out))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), spans, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-
-    done = keyed.join(runs, ["d", "tag"], "left").select("id", "text", "runs").mapInArrow(clean, f"id {key}, {CLEANED}")
-    return done.withColumnRenamed("id", id_col)
+
+    def clean(texts: list[bytes], runs: list) -> list[pa.Array]:
+        rows = []
+        for text, found in zip(texts, runs, strict=True):
+            gone, kept, at = 0, [], 0
+            cuts = covered(found or [], window, len(text))
+            for a, b in cuts:
+                kept.append(text[at:a])
+                gone, at = gone + b - a, b
+            out = b"".join([*kept, text[at:]])
+            rows.append((len(text), gone, len(cuts), hashlib.sha256(out).hexdigest(), [{"start": a, "end": b} for a, b in cuts], out))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), SPANS, pa.binary()), strict=True)]
+
+    return clean_texts(docs, Units("bytes", window, max(1, min(GRAM, window // 2))), mode, lpf_windows(window), clean, CLEANED, id_col, text_col, hot)

@@ -1,25 +1,24 @@
 """Substring deduplication over words by super-k-mer partitioning.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a window is ``window`` consecutive words of one document.  Windows that
-share a minimiser travel as one packed string to its bucket, where sorting counts them exactly.
+share a minimiser travel as one packed string to its bucket, where sorting counts them exactly; of
+equal strings the first two travel, and those after them go as the second does (see ``superkmers``).
 
-Null or empty texts have no words and stay empty; texts shorter than a window lose nothing; a null id
-orders before all others; repeated rows (equal id and text) are one document and get equal results;
-an empty table gives an empty result; extra columns are ignored.
+Null or empty texts have no words and stay empty; texts shorter than a window lose nothing; documents
+without an id come before the ids from 0 on, and equal texts without ids are documents of their own; repeated
+rows (equal id and text) are one document and get equal results; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kinbridge.llm.common import id_key, small_batches, text_bytes, text_tag
-from kinbridge.llm.superkmers import Units, covered, find_runs
+from kinbridge.llm.superkmers import Units, clean_texts, covered
 
 WINDOW, GRAM = 20, 5
 
@@ -45,32 +44,23 @@ def sorted_windows(window: int):
     return solve
 
 
-def word_runs(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
-    return find_runs(docs, Units("words", window, min(GRAM, window)), mode, sorted_windows(window), id_col, text_col, hot)
-
-
 CLEANED = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
     """One row a document: its id, words, removed words, and the words that stay, joined by one space."""
-    runs = word_runs(docs, window, mode, id_col, text_col, hot)
-    key = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("d"), text_tag(text_col).alias("tag"), text_bytes(text_col).alias("text"))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            rows = []
-            for text, found in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-                words = text.split()
-                gone, kept, at = 0, [], 0
-                for a, b in covered(found or [], window, len(words)):
-                    kept += words[at:a]
-                    gone, at = gone + b - a, b
-                out = b" ".join(kept + words[at:])
-                rows.append((len(words), gone, hashlib.sha256(out).hexdigest(), out.decode("utf-8", "replace")))
-            n, gone, sha, out = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    done = keyed.join(runs, ["d", "tag"], "left").select("id", "text", "runs").mapInArrow(clean, f"id {key}, {CLEANED}")
-    return done.withColumnRenamed("id", id_col)
+
+    def clean(texts: list[bytes], runs: list) -> list[pa.Array]:
+        rows = []
+        for text, found in zip(texts, runs, strict=True):
+            words = text.split()
+            gone, kept, at = 0, [], 0
+            for a, b in covered(found or [], window, len(words)):
+                kept += words[at:a]
+                gone, at = gone + b - a, b
+            out = b" ".join(kept + words[at:])
+            rows.append((len(words), gone, hashlib.sha256(out).hexdigest(), out.decode("utf-8", "replace")))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+
+    return clean_texts(docs, Units("words", window, min(GRAM, window)), mode, sorted_windows(window), clean, CLEANED, id_col, text_col, hot)

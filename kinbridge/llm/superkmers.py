@@ -5,17 +5,19 @@ consecutive units of one document; its minimiser is the leftmost k-gram of least
 depends on the window's content alone, so equal windows always meet in the bucket of their minimiser.
 Consecutive windows with the same minimiser occurrence form a super-k-mer, packed as one string.
 
-Three passes find every repeated window exactly:
-
-1. ``scatter`` sends each super-k-mer to its bucket as (bucket, digest, document, place).  Equal strings
-   in one batch are combined before the shuffle, so a hot string travels once per batch.
-2. ``gather`` streams each bucket, sorted, in constant memory.  Equal strings settle each other there.
-   Only buckets with two or more different strings leave one representative for each.
-3. The strings of those representatives travel packed to their buckets, where the caller's ``solve``
-   decides each window.  A bucket with over ``hot`` strings is dealt anew, one window each, by the
-   window's own hash.
-
-Results are runs of windows (document key, tag, first window, count).  ``mode`` is ``later`` (every
+Equal strings count once and a second time, whatever their number:
+
+1. ``scatter`` sends each super-k-mer to its bucket as (bucket, digest, document, place).  Of the equal
+   strings of a batch only the first two travel; whatever comes after two equals is repeated for sure.
+2. ``gather`` streams each bucket, sorted, in constant memory, and again keeps the first two places of each
+   string, of the buckets that have two places or more.
+3. The strings of those places travel packed to their buckets, where the caller's ``solve`` decides each
+   of their windows.
+4. Of a bucket of over ``hot`` strings, as of a passage that many texts surround differently, each window
+   first goes through steps 1 and 2 by itself, as a bucket of its own.
+
+Two digests of 64 bits, the bucket's and the string's, must agree for a string to count as a third equal.
+Results are runs of windows (document key d, tag, first window, count).  ``mode`` is ``later`` (every
 occurrence of a window but the first, in order of document and place) or ``all`` (every occurrence of
 a window that occurs twice or more).
 """
@@ -31,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import COUNT_BITS, START_BITS, cut, id_key, small_batches, text_bytes, text_tag
+from kinbridge.llm.common import COUNT_BITS, NULL_ID, START_BITS, cut, small_batches, text_bytes, text_hash, with_key
 
 POS_MASK = np.uint64((1 << 31) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 RUNS = "d long, tag long, place long"
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ROWS = "kind byte, h long, sig long, d long, tag long, place long"
 #: Texts are hashed in tiles of so many units; windows that cross a border are seen once.
 TILE = 1 << 19
@@ -146,7 +149,23 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
-def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def combined(h: np.ndarray, sig: np.ndarray, d: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """The first two places of each string (kind 0), and those after two equals (kind 1), which are settled."""
+    h, sig = h.view(np.int64), sig.view(np.int64)
+    order = np.lexsort((place, tag, d, sig, h))
+    h, sig, d, tag, place = (x[order] for x in (h, sig, d, tag, place))
+    fresh = np.ones(len(h), bool)  # the same document listed twice
+    fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
+    h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
+    third = np.zeros(len(h), bool)
+    third[2:] = (h[2:] == h[:-2]) & (sig[2:] == sig[:-2])
+    # settled rows only pass through: any spread of bucket hashes will do for them
+    with np.errstate(over="ignore"):
+        h = np.where(third, d * np.int64(0x9E3779B1) ^ place, h)
+    return _table(kind=third.astype(np.int8), h=h, sig=np.where(third, 0, sig), d=d, tag=tag, place=place)
+
+
+def scatter(units: Units) -> Run:
     """Rows (kind 0: bucket hash, digest, document, place; kind 1: a run that is settled already)."""
 
     def tiles(d: list[int], tag: list[int], texts: list[bytes]):
@@ -174,26 +193,12 @@ def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
         wide = 1 if units.kind == "bytes" else 8
         digest = xxhash.xxh3_64_intdigest
         a, b = first * wide, (first + count + units.window - 1) * wide
-        sig = np.fromiter((digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64)
+        sig = np.fromiter((digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
         own = np.searchsorted(ends, first, side="right")
         start = first - (ends - sizes)[own] + np.array([p[2] for p in part])[own]
         d = np.array([p[0] for p in part], np.int64)[own]
         tag = np.array([p[1] for p in part], np.int64)[own]
-        place = place_of(start, count)
-        h = h.view(np.int64)
-        order = np.lexsort((place, tag, d, sig, h))
-        h, sig, d, tag, place = (x[order] for x in (h, sig, d, tag, place))
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
-        h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
-        lead = np.ones(len(h), bool)
-        lead[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
-        settled = ~lead
-        if mode == "all":
-            settled[:-1] |= ~lead[1:]
-        kind = np.concatenate([np.zeros(lead.sum(), np.int8), np.ones(settled.sum(), np.int8)])
-        # settled runs only pass through: any spread of bucket hashes will do for them
-        return _table(kind=kind, h=np.concatenate([h[lead], d[settled] * np.int64(0x9E3779B1)]), sig=np.concatenate([sig[lead], np.zeros(settled.sum(), np.int64)]), d=np.concatenate([d[lead], d[settled]]), tag=np.concatenate([tag[lead], tag[settled]]), place=np.concatenate([place[lead], place[settled]]))
+        return combined(h, sig, d, tag, place_of(start, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -212,84 +217,106 @@ def scatter(units: Units, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-FOUND = "rep boolean, h long, d long, tag long, place long"
+FOUND = "rep boolean, h long, n int, d long, tag long, place long"
 
 
-def gather(mode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams sorted buckets; out: settled runs, and a representative for each string of a mixed bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # h, sig, d, tag, place of the last string's first row; mixed; settled
-        for batch in batches:
-            kind, h, sig, d, tag, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("kind", "h", "sig", "d", "tag", "place"))
-            if (done := kind == 1).any():
-                yield _table(rep=np.zeros(done.sum(), bool), h=h[done], d=d[done], tag=tag[done], place=place[done])
-                h, sig, d, tag, place = (x[~done] for x in (h, sig, d, tag, place))
-            if not len(h):
-                continue
-            carried = last is not None
-            if carried:
-                h, sig, d, tag, place = (np.concatenate([[v], x]) for v, x in zip(last[:5], (h, sig, d, tag, place), strict=True))
-            fresh = np.ones(len(h), bool)  # the same document listed twice
-            fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
-            h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
-            lead = np.ones(len(h), bool)
-            lead[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
-            settled = ~lead
-            if mode == "all":
-                settled[:-1] |= ~lead[1:]
-            if carried and settled[0] and last[6]:
-                settled[0] = False
-            top = np.ones(len(h), bool)
-            top[1:] = h[1:] != h[:-1]
-            group = np.cumsum(top) - 1
-            strings = np.bincount(group, weights=lead).astype(np.int64)
-            mixed = strings > 1
-            if carried and last[5]:
-                mixed[0] = True
-            rep = lead & mixed[group]
-            if carried and last[5]:
-                rep[0] = False
-            if settled.any() or rep.any():
-                pick = np.concatenate([np.flatnonzero(settled), np.flatnonzero(rep)])
-                yield _table(rep=np.arange(len(pick)) >= settled.sum(), h=h[pick], d=d[pick], tag=tag[pick], place=place[pick])
-            end = int(np.flatnonzero(lead)[-1])
-            # of the last string: its first row, whether its bucket is mixed (then it is out already), whether it is settled
-            was = bool(carried and end == 0 and last[6])
-            last = (h[end], sig[end], d[end], tag[end], place[end], bool(mixed[-1]), bool(settled[end]) or was or end < len(h) - 1)
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams sorted buckets; out: settled runs, and the first two places of each string (rep), numbered in their bucket.
 
-    return run
+    A bucket of one place gives nothing.
+    """
+    held: tuple | None = None  # the last row; its rank among its equals; its number; whether it waits for a second row
+    for batch in batches:
+        kind, h, sig, d, tag, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("kind", "h", "sig", "d", "tag", "place"))
+        if (done := kind == 1).any():
+            yield _table(rep=np.zeros(done.sum(), bool), h=h[done], n=np.zeros(done.sum(), np.int32), d=d[done], tag=tag[done], place=place[done])
+            h, sig, d, tag, place = (x[~done] for x in (h, sig, d, tag, place))
+        if not len(h):
+            continue
+        if held is not None:
+            h, sig, d, tag, place = (np.concatenate([[v], x]) for v, x in zip(held[0], (h, sig, d, tag, place), strict=True))
+        fresh = np.ones(len(h), bool)  # the same document listed twice, in different tasks
+        fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
+        h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
+        top, lead = np.ones(len(h), bool), np.ones(len(h), bool)
+        top[1:] = h[1:] != h[:-1]
+        lead[1:] = top[1:] | (sig[1:] != sig[:-1])
+        at = np.arange(len(h))
+        rank = at - np.maximum.accumulate(np.where(lead, at, 0))
+        first_string, bucket = np.cumsum(lead) == 1, np.cumsum(top) - 1
+        if held is not None:
+            rank[first_string] += held[1]
+        rep = rank < 2
+        number = np.cumsum(rep) - 1
+        number = number - number[top][bucket]
+        several = np.bincount(bucket) > 1
+        if held is not None:
+            number[bucket == 0] += held[2]
+            several[0] |= not held[3]
+        out = several[bucket]
+        last = (h[-1], sig[-1], d[-1], tag[-1], place[-1]), min(int(rank[-1]), 2), int(number[-1]), not several[-1]
+        if held is not None and not held[3]:
+            out[0] = False  # it is out already
+        held = last
+        if out.any():
+            yield _table(rep=rep[out], h=h[out], n=number[out].astype(np.int32), d=d[out], tag=tag[out], place=place[out])
 
 
 PACKED = "h long, packed binary, d long, tag long, place long"
 
 
-def pack_up(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cut the packed strings of the representatives out of their texts; of hot buckets one window each."""
+def _reps(batch: pa.RecordBatch, units: Units) -> Iterator[tuple]:
+    """(units of the text, d, tag, bucket hash, first window, windows) of each wanted place."""
+    for text, d, tag, reps in zip(*(batch[c].to_pylist() for c in ("text", "d", "tag", "reps")), strict=True):
+        seq = units.read(text)
+        for rep in reps:
+            place = rep["place"]
+            yield seq, d, tag, rep["h"], (place >> COUNT_BITS) & ((1 << START_BITS) - 1), place & ((1 << COUNT_BITS) - 1)
+
+
+def pack_up(units: Units) -> Run:
+    """The packed strings of the wanted places, cut out of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out: list[tuple] = []
             size = 0
-            for text, d, tag, reps in zip(*(batch[c].to_pylist() for c in ("text", "d", "tag", "reps")), strict=True):
-                seq = units.read(text)
-                for rep in reps:
-                    place, h = rep["place"], rep["h"]
-                    start, count = (place >> COUNT_BITS) & ((1 << START_BITS) - 1), place & ((1 << COUNT_BITS) - 1)
-                    step = 1 if rep["hot"] else count
-                    for at in range(start, start + count, step):
-                        packed = units.pack(seq[at : at + step + units.window - 1])
-                        out.append((xxhash.xxh3_64_intdigest(packed) - (1 << 63) if rep["hot"] else h, packed, d, tag, (at << COUNT_BITS) | step))
-                        size += len(packed)
-                    if size > 2 * BATCH_BYTES:
-                        yield _packed(out)
-                        out, size = [], 0
+            for seq, d, tag, h, start, count in _reps(batch, units):
+                out.append((h, units.pack(seq[start : start + count + units.window - 1]), d, tag, (start << COUNT_BITS) | count))
+                size += len(out[-1][1])
+                if size > 2 * BATCH_BYTES:
+                    yield _packed(out)
+                    out, size = [], 0
             if out:
                 yield _packed(out)
 
     return run
 
 
+def single_windows(units: Units, most: int = 50_000) -> Run:
+    """Each window of the wanted places as a bucket of its own, named by its hash."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        h, sig, d, tag, start = zip(*out, strict=True)
+        return combined(np.array(h, np.uint64), np.array(sig, np.uint64), np.array(d, np.int64), np.array(tag, np.int64), place_of(np.array(start, np.int64), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        out: list[tuple] = []
+        for batch in small_batches(batches):
+            for seq, d, tag, _, start, count in _reps(batch, units):
+                for at in range(start, start + count):
+                    window = units.pack(seq[at : at + units.window])
+                    out.append((digest(window), digest(window, 1), d, tag, at))
+                if len(out) > most:
+                    yield rows(out)
+                    out = []
+        if out:
+            yield rows(out)
+
+    return run
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     h, packed, d, tag, place = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(packed, pa.binary()), pa.array(d, pa.int64()), pa.array(tag, pa.int64()), pa.array(place, pa.int64())], names=["h", "packed", "d", "tag", "place"])
@@ -298,7 +325,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 Solve = Callable[[list[bytes], str], tuple[np.ndarray, np.ndarray]]
 
 
-def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES // 4) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES // 4) -> Run:
     """Runs of windows that ``solve`` finds among the strings of whole buckets.
 
     solve(strings, mode) gets strings in order of bucket, document and place and returns (string,
@@ -337,25 +364,77 @@ def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES /
     return run
 
 
-def find_runs(docs: DataFrame, units: Units, mode: str, solve: Solve, id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
-    """Rows (d, tag, runs: array of (start, count)), one for each document with a run."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(id_key(id_col).alias("d"), text_tag(text_col).alias("tag"), text_bytes(text_col).alias("text"))
-    rows = keyed.mapInArrow(scatter(units, mode), ROWS)
-    found = rows.repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "tag", "place").mapInArrow(gather(mode), FOUND)
-    found = cut(found, f"{units.kind}-found", ["rep"])
-    reps = found.where("rep")
-    crowded = reps.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
-    wanted = reps.join(crowded, "h", "left").groupBy("d", "tag").agg(F.collect_list(F.struct("place", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("reps"))
-    packed = keyed.join(wanted, ["d", "tag"]).select("d", "tag", "text", "reps").mapInArrow(pack_up(units), PACKED)
-    runs = packed.repartition(parts, "h").sortWithinPartitions("h", "d", "tag", "place")
-    solved = cut(runs.mapInArrow(settle(units, mode, solve), RUNS), f"{units.kind}-runs")
-    both = found.where("not rep").select("d", "tag", "place").unionByName(solved)
+#: Reps of a bucket that meet in one key when hot buckets are marked.
+MARKED = 256
+
+
+def find_runs(texts: DataFrame, units: Units, mode: str, solve: Solve, hot: int = 4000) -> DataFrame:
+    """Rows (d, tag, runs: array of (start, count)), one for each document with a run; texts has d, tag, text."""
+    if units.span >> COUNT_BITS:
+        raise ValueError(f"a super-k-mer may hold {units.span} windows, over {(1 << COUNT_BITS) - 1}: choose longer k-grams")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def found_in(rows: DataFrame, name: str) -> DataFrame:
+        return cut(rows.repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "tag", "place").mapInArrow(gather, FOUND), f"{units.kind}-{name}", ["rep"])
+
+    def with_texts(reps: DataFrame) -> DataFrame:
+        wanted = reps.groupBy("d", "tag").agg(F.collect_list(F.struct("place", "h")).alias("reps"))
+        return texts.join(wanted, ["d", "tag"]).select("d", "tag", "text", "reps")
+
+    found = found_in(texts.select("d", "tag", "text").mapInArrow(scatter(units), ROWS), "found")
+    settled, reps = found.where("not rep"), found.where("rep")
+    crowded = reps.where(F.col("n") == hot).select("h")
+    if not crowded.isEmpty():
+        # what comes after the hot-th is hot for sure; the others of its bucket are told in groups, so no key is heavy
+        groups = crowded.select("h", F.explode(F.sequence(F.lit(0), F.lit((hot - 1) // MARKED))).alias("g"), F.lit(True).alias("hot"))
+        told = reps.where(F.col("n") < hot).withColumn("g", F.floor(F.col("n") / MARKED).cast("int")).join(groups, ["h", "g"], "left")
+        heavy = told.where("hot").select(*reps.columns).unionByName(reps.where(F.col("n") >= hot))
+        windows = found_in(with_texts(heavy).mapInArrow(single_windows(units), ROWS), "windows")
+        settled = settled.unionByName(windows.where("not rep"))
+        reps = told.where("hot is null").select(*reps.columns).unionByName(windows.where("rep"))
+    packed = with_texts(reps).mapInArrow(pack_up(units), PACKED).repartition(parts, "h").sortWithinPartitions("h", "d", "tag", "place")
+    solved = cut(packed.mapInArrow(settle(units, mode, solve), RUNS), f"{units.kind}-runs")
+    both = settled.select("d", "tag", "place").unionByName(solved)
     start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
     return both.groupBy("d", "tag").agg(F.collect_list(F.struct(start.alias("start"), F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("count"))).alias("runs"))
 
 
+#: Of (texts, runs of each or None) the result's columns after the id.
+Clean = Callable[[list[bytes], list[list[dict] | None]], list[pa.Array]]
+
+
+def clean_texts(docs: DataFrame, units: Units, mode: str, solve: Solve, clean: Clean, schema: str, id_col: str, text_col: str, hot: int) -> DataFrame:
+    """A row a document: its id and what ``clean`` makes of its text and runs.
+
+    Equal texts without ids are documents of their own, but after the second all fare alike: they are counted,
+    two take part, and the result of the second stands for the rest.
+    """
+    key = docs.schema[id_col].dataType.simpleString()
+    named = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").withColumn("text", text_bytes("text"))
+    texts, alone = named, None
+    if not docs.where(F.col(id_col).isNull()).isEmpty():
+        named = texts = named.where("id is not null")
+        counted = docs.where(F.col(id_col).isNull()).select(text_bytes(text_col).alias("text"), text_hash(text_col).alias("x"), text_hash(text_col, 1).alias("y"))
+        counted = cut(counted.groupBy("x", "y").agg(F.first("text").alias("text"), F.count("*").alias("n")), f"{units.kind}-nameless")
+        each = F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(1).alias("copy"), (F.col("n") - 1).alias("n")))).alias("c")
+        alone = counted.select("x", "y", "text", each).select(F.xxhash64("y", "c.copy").bitwiseOR(F.lit(NULL_ID)).alias("d"), F.col("x").alias("tag"), "text", "c.n").where("n > 0")
+        texts = texts.select("d", "tag", "text").unionByName(alone.select("d", "tag", "text"))
+    runs = find_runs(texts, units, mode, solve, hot)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch["id"], *clean(batch["text"].to_pylist(), batch["runs"].to_pylist())], names=["id", *names])
+
+    done = named.join(runs, ["d", "tag"], "left").select("id", "text", "runs").mapInArrow(run, f"id {key}, {schema}")
+    if alone is not None:
+        more = alone.join(runs, ["d", "tag"], "left").select(F.col("n").alias("id"), "text", "runs").mapInArrow(run, f"id long, {schema}")
+        blocks = more.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("id") - 1) / 10_000))).alias("block")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rest = F.least(F.lit(10_000).cast("long"), F.col("id") - 10_000 * F.col("block"))
+        done = done.unionByName(blocks.select(F.explode(F.sequence(F.lit(1).cast("long"), rest)).alias("k"), *names).select(F.lit(None).cast(key).alias("id"), *names))
+    return done.withColumnRenamed("id", id_col)
+
+
 def covered(runs: list[dict], window: int, n: int) -> list[tuple[int, int]]:
     """Maximal ranges of units that the windows of the runs cover."""
     out: list[list[int]] = []
