@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinbridge.llm import jaccard
-from kinbridge.llm.common import NULL_ID, cut, id_key, shingle_places, small_batches, text_bytes
+from kinbridge.llm.common import cut, shingle_places, small_batches, text_bytes, with_key
 from kinbridge.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -193,12 +193,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, tag, root): each distinct document and its group.
+    """(d, tag, nameless, root): each document's key, whether its id is null, and its group.
 
     Two documents are near copies if their fingerprints link (``near_duplicates``), or if their sets of
     five-word shingles have a Jaccard similarity of 0.8 or more (``jaccard``); both are exact.
     """
-    keyed = docs.select(id_key(id_col).alias("d"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"), text_bytes(text_col).alias("text"))
+    return _groups(_keyed(with_key(docs, id_col, text_col, "__kb_d", "__kb_tag"), id_col, text_col))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col("__kb_d").alias("d"), F.col("__kb_tag").alias("tag"), F.col(id_col).isNull().alias("nameless"), text_bytes(text_col).alias("text"))
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
     common, counts = jaccard.common_shingles(keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +220,11 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if len(given) < 1 << 17:
                     given.add(i)
             yield pa.RecordBatch.from_arrays(
-                [part["d"], part["tag"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["d", "tag", "fp", "set", "n", "prefix"],
+                [part["d"], part["tag"], part["nameless"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["d", "tag", "nameless", "fp", "set", "n", "prefix"],
             )
 
-    prints = cut(keyed.mapInArrow(run, "d long, tag long, fp long, set long, n long, prefix array<long>"), "simhash-prints").withColumn("node", F.xxhash64("fp", "set"))
+    prints = cut(keyed.mapInArrow(run, "d long, tag long, nameless boolean, fp long, set long, n long, prefix array<long>"), "simhash-prints").withColumn("node", F.xxhash64("fp", "set"))
     nodes = prints.select("node", "fp", "set").distinct()
     # nodes of one fingerprint, and nodes of one set, are linked to the least of them
     hub = lambda by: nodes.join(nodes.groupBy(by).agg(F.min("node").alias("a")), by).where("a <> node").select("a", F.col("node").alias("b"))
@@ -229,7 +236,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     edges = of_nodes(fingerprint_links(nodes.select("fp").distinct()), "fp").unionByName(of_nodes(jaccard.jaccard_links(prints, keyed), "set"))
     roots = connected_components(hub("fp").unionByName(hub("set")).unionByName(edges))
-    return prints.join(roots, "node", "left").select("d", "tag", F.coalesce("root", "node").alias("root"))
+    return prints.join(roots, "node", "left").select("d", "tag", "nameless", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +245,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Ids that are null come last; documents that share an id go by their texts' hashes; a row that is
     repeated stays once.
     """
-    groups = near_copy_groups(docs, id_col, text_col)
-    chosen = groups.groupBy("root").agg(F.min(F.struct((F.col("d") == NULL_ID).alias("n"), F.col("d").alias("__kb_d"), F.col("tag").alias("__kb_tag"))).alias("k")).select("k.__kb_d", "k.__kb_tag")
-    keyed = docs.withColumns({"__kb_d": id_key(id_col), "__kb_tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    keyed = with_key(docs, id_col, text_col, "__kb_d", "__kb_tag")
+    groups = _groups(_keyed(keyed, id_col, text_col))
+    chosen = groups.groupBy("root").agg(F.min(F.struct("nameless", F.col("d").alias("__kb_d"), F.col("tag").alias("__kb_tag"))).alias("k")).select("k.__kb_d", "k.__kb_tag")
     return keyed.join(chosen, ["__kb_d", "__kb_tag"]).dropDuplicates(["__kb_d", "__kb_tag"]).select(*docs.columns)
