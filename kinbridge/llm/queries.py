@@ -49,7 +49,7 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_archive.read(spark, path)
     refers = F.regexp_extract(warc_archive.field(F.col("header"), "WARC-Refers-To"), r"<urn:record:(-?\d+)>", 1)
     return records.select(
-        F.col("id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), warc_archive.base32_sha1(F.col("payload")).alias("payload_digest"),
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
         warc_archive.field(F.col("header"), "WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"),
     )
 
@@ -107,8 +107,8 @@ ORACLE_SQL: dict[str, str] = {
         outside AS (
           SELECT * FROM (SELECT *, max(CASE WHEN ord < 3 THEN e END) OVER (PARTITION BY doc_id ORDER BY s, ord, e, v ROWS UNBOUNDED PRECEDING) AS reach FROM spans)
           WHERE ord < 3 OR reach IS NULL OR s >= reach),
-        owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n FROM outside GROUP BY v),
-        judged AS (SELECT o.doc_id, ord, s, e, n < 3 AS live FROM outside o JOIN owners USING (v) WHERE ord < 3 OR n < 3),
+        owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS r FROM outside GROUP BY v),
+        judged AS (SELECT o.doc_id, ord, s, e, n < 3 AND r < 50 AS live FROM outside o JOIN owners USING (v) WHERE ord < 3 OR (n < 3 AND r < 50)),
         names AS (SELECT ['assign', 'access', 'hex', 'owned'] AS ns),
         agg AS (
           SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,

@@ -64,12 +64,14 @@ def field(header: Column, name: str) -> Column:
 
 
 def read(spark: SparkSession, path: str, payload_of_revisits: bool = True) -> DataFrame:
-    """Records: id, header, payload (a revisit's is its response's), and the record's exact bytes."""
+    """Records: id, header, payload (a revisit's is its response's), its size and digest, and the record's exact bytes.
+
+    Each payload is verified once, before the records that share it are joined to it.
+    """
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    joined = headers.join(payloads, "strong")
     verified = F.when(F.sha2("payload", 256) == F.col("strong"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("strong"))))
-    text = F.decode("header", "UTF-8")
-    out = joined.select("id", text.alias("header"), verified.alias("payload"))
+    sound = payloads.select("strong", verified.alias("payload")).withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
+    out = headers.join(sound, "strong").select("id", F.decode("header", "UTF-8").alias("header"), "payload", "payload_bytes", "payload_digest")
     stored = F.when(field(F.col("header"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     out = out.withColumn("record", F.concat(F.encode("header", "UTF-8"), stored, F.lit(b"\r\n\r\n")))
     return out if payload_of_revisits else out.withColumn("payload", stored)
