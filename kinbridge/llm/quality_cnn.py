@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,8 @@ from kinbridge.llm.quality_rules import is_held_out, labelled_sample
 WIDTH, FILTERS, HIDDEN = 4, 8, 12
 #: A chunk is two halves; each half belongs to two chunks.
 HALF = 256
-#: The sample: so many labelled rows, of texts up to so many bytes.
-TRAIN_ROWS, TRAIN_BYTES = 3_000, 1 << 15
+#: The sample: so many labelled rows, whole texts of any length, until their bytes together reach the second figure.
+TRAIN_ROWS, TRAIN_BYTES = 3_000, 1 << 26
 PREDICT_AT = 0.3
 
 
@@ -165,11 +165,17 @@ def scores(net: Network, tables: tuple[np.ndarray, np.ndarray], texts: list[byte
     return forward(net, chunk, chunks)[3]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Network | float:
-    """A network, or the score of every text if the labels are of one class."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Network | float:
+    """A network, or the score of every text if the labels are of one class.
+
+    The sample goes by least hash of the id, so what either bound leaves out does not depend on a text's length.
+    """
     sample = labelled_sample(labels, train_rows, id_col, label_col)
-    texts = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= TRAIN_BYTES).select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("id").collect()
+    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(F.broadcast(sample), "id")
+    one = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # at most train_rows rows meet in this window
+    before = F.sum(F.length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = one.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes).orderBy("id").collect()
     y = np.array([r["y"] for r in rows])
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
