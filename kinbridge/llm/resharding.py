@@ -7,7 +7,8 @@ and then fill the flows in turn, so blocks move whole; rows of the few blocks in
 dealt one by one, some to other shards than their flow's, so that sizes come close to the capacities.  Rows are ordered only within their
 blocks.  Affected shards are written anew.
 
-A null text is empty; null ids are hashed as a value; repeated rows are rows of their own; a row's size
+A null text is empty; null ids are hashed as a value; repeated rows are rows of their own, counted where single
+rows are dealt; a row's size
 is the bytes of its text plus one, so empty texts are placed too; an empty table gives empty shards; extra
 columns are kept in the written files.
 """
@@ -100,31 +101,55 @@ def _level(sizes: list[int], shard: list[int], need: list[int]) -> None:
         shard[i] = to
 
 
+def _share(count: int, size: int, allowed: list[int], need: list[int]) -> dict[int, int]:
+    """How many of ``count`` equal rows each allowed shard gets, so that their needs end near level."""
+    if count == 1:
+        return {max(allowed, key=lambda j: (need[j], -j)): 1}
+    taking = sorted(allowed, key=lambda j: (-need[j], j))
+    while len(taking) > 1 and need[taking[-1]] <= (sum(need[j] for j in taking) - count * size) / len(taking):
+        taking.pop()
+    level = (sum(need[j] for j in taking) - count * size) / len(taking)
+    got, left = {}, count
+    for j in taking:
+        got[j] = min(left, max(0, int((need[j] - level) / size)))
+        left -= got[j]
+    for k in range(left):
+        got[taking[k % len(taking)]] += 1
+    return {j: n for j, n in got.items() if n}
+
+
 def _deal(rows: list[tuple], moves: list[tuple[int, int, int, int]], need: list[int], slots: list[int]) -> list[tuple]:
-    """(old, block, [(shard, slot)] in row order) of blocks in which flows end.
+    """(old, block, [(first row, shard, slot of it)] in row order) of blocks in which flows end.
 
-    rows: (old, block, first byte, size) in order of old, block and row.  The largest rows go first, each to
-    that of its block's shards that still needs most.
+    rows: (old, block, first byte, size, equal rows) in order of old, block and row.  The largest rows go first,
+    each to that of its block's shards that still needs most; equal rows are dealt as one.
     """
     order = sorted(range(len(rows)), key=lambda i: (-rows[i][3], i))
-    ends: dict[tuple[int, int], int] = {}
-    for old, block, at, size in rows:
-        ends[old, block] = max(ends.get((old, block), 0), at + size)
-    allowed: dict[tuple[int, int], list[int]] = {}
-    shard = [0] * len(rows)
+    low: dict[tuple[int, int], int] = {}
+    high: dict[tuple[int, int], int] = {}
+    for old, block, at, size, count in rows:
+        low.setdefault((old, block), at)
+        high[old, block] = at + size * count
+    allowed = {k: [j for o, a, b, j in moves if o == k[0] and a < high[k] and b > low[k]] for k in low}
+    dealt: list[dict[int, int]] = [{}] * len(rows)
     for i in order:
-        old, block, at, size = rows[i]
-        key = old, block
-        if key not in allowed:
-            low = min(r[2] for r in rows if r[:2] == key)
-            allowed[key] = [j for o, a, b, j in moves if o == old and a < ends[key] and b > low]
-        shard[i] = max(allowed[key], key=lambda j: (need[j], -j))
-        need[shard[i]] -= size
-    _level([r[3] for r in rows], shard, need)
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, (old, block, _, _) in enumerate(rows):
-        out.setdefault((old, block), []).append((shard[i], slots[shard[i]]))
-        slots[shard[i]] += 1
+        old, block, _, size, count = rows[i]
+        dealt[i] = _share(count, size, allowed[old, block], need)
+        for j, n in dealt[i].items():
+            need[j] -= n * size
+    single = [i for i in range(len(rows)) if rows[i][4] == 1]
+    shard = [next(iter(dealt[i])) for i in single]
+    _level([rows[i][3] for i in single], shard, need)
+    for i, j in zip(single, shard, strict=True):
+        dealt[i] = {j: 1}
+    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    place: dict[tuple[int, int], int] = {}
+    for i, (old, block, _, _, _) in enumerate(rows):
+        for j, n in sorted(dealt[i].items()):
+            at = place.get((old, block), 0)
+            out.setdefault((old, block), []).append((at, j, slots[j]))
+            place[old, block] = at + n
+            slots[j] += n
     return [(old, block, pieces) for (old, block), pieces in out.items()]
 
 
@@ -158,23 +183,24 @@ def assign(docs: DataFrame, shards: int, old_shard: Column, id_col: str = "doc_i
     inside = starts.join(F.broadcast(moves), old).where(f"from <= {at} and {at} + bytes <= to").select(old, block, "bytes", "rows", f"{_P}shard")
     above = Window.partitionBy(f"{_P}shard").orderBy(old, block).rowsBetween(Window.unboundedPreceding, -1)
     whole = cut(inside.withColumn(f"{_P}start", F.coalesce(F.sum("rows").over(above), F.lit(0))), "reshard-whole")
-    # the few blocks in which a flow ends: a bounded number of rows, dealt so that the capacities are met closely
+    # the few blocks in which a flow ends: a bounded number of distinct rows, dealt so that the capacities are met closely
     ending = starts.join(whole.select(old, block), [old, block], "left_anti").select(old, block, at)
     split = keyed.select(old, block, key, F.col(id_col).alias("id"), size).join(ending, [old, block])
-    own = Window.partitionBy(old, block).orderBy(key, "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = split.withColumn(at, F.col(at) + F.coalesce(F.sum(size).over(own), F.lit(0))).orderBy(old, block, key, "id").select(old, block, at, size).collect()
+    split = split.groupBy(old, block, at, key, "id", size).agg(F.count("*").alias("equal"))
+    own = Window.partitionBy(old, block).orderBy(key, "id", size).rowsBetween(Window.unboundedPreceding, -1)
+    rows = split.withColumn(at, F.col(at) + F.coalesce(F.sum(F.col(size) * F.col("equal")).over(own), F.lit(0))).orderBy(old, block, key, "id", size).select(old, block, at, size, "equal").collect()
     need, slots = capacities(sum(by_old.values()), shards), [0] * shards
     for r in whole.groupBy(f"{_P}shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect():
         need[r[0]] -= r["bytes"]
         slots[r[0]] = r["rows"]
-    piece_type = "array<struct<shard:int,slot:long>>"
+    piece_type = "array<struct<first:long,shard:int,slot:long>>"
     dealt = spark.createDataFrame(_deal([tuple(r) for r in rows], plan, need, slots), f"{old} int, {block} long, {_P}pieces {piece_type}")
     meta = whole.select(old, block, f"{_P}shard", f"{_P}start", F.lit(None).cast(piece_type).alias(f"{_P}pieces"))
     meta = meta.unionByName(dealt.withColumns({f"{_P}shard": F.lit(None).cast("int"), f"{_P}start": F.lit(None).cast("long")}))
-    place = F.row_number().over(Window.partitionBy(old, block).orderBy(key, id_col))
+    place = F.row_number().over(Window.partitionBy(old, block).orderBy(key, id_col, size)) - 1
     placed = keyed.join(meta, [old, block]).withColumn(n, place)
-    piece = F.get(f"{_P}pieces", F.col(n) - 1)
-    shard, slot = F.coalesce(F.col(f"{_P}shard"), piece["shard"]), F.coalesce(F.col(f"{_P}start") + F.col(n) - 1, piece["slot"])
+    piece = F.try_element_at(F.filter(f"{_P}pieces", lambda p: p["first"] <= F.col(n)), F.lit(-1))
+    shard, slot = F.coalesce(F.col(f"{_P}shard"), piece["shard"]), F.coalesce(F.col(f"{_P}start") + F.col(n), piece["slot"] + F.col(n) - piece["first"])
     moving = {s for o, _, _, j in plan if o != j for s in (o, j)}
     return placed.select(*names, F.col(old).alias("_old"), shard.alias("_shard"), slot.alias("_slot")), [o for o in by_old if 0 <= o < shards and o not in moving]
 
