@@ -2,8 +2,9 @@
 
 Each item is split into its error budget plus one pieces, so a passage within the budget keeps one piece
 untouched.  Pieces are found exactly, by one Aho-Corasick automaton a block of items, and around each
-hit Myers' bit-parallel distance verifies growing groups of pieces and at last the whole item.  Letters are lower-cased and white space
-becomes spaces, one for one, so spans are code points of the original text.
+hit Myers' bit-parallel distance verifies growing groups of pieces and at last the whole item.  Letters
+are lower-cased and runs of white space are one space, in items and in documents; spans are code points of
+the original text.
 
 Null, empty and blank texts and items match nothing; items too short for an error must occur exactly;
 repeated items and repeated documents each get their own rows, ties go to the earliest end; a
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,16 @@ def plain(text: str) -> str:
     return low
 
 
+def squeezed(text: str) -> tuple[str, np.ndarray | None]:
+    """Runs of spaces as one, and where each character left was; None if there is no run."""
+    if "  " not in text:
+        return text, None
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
+    return codes[keep].tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero(keep)
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
     """budget + 1 pieces of near equal length: (offset, piece, the groups above it); they cover the item.
 
@@ -139,7 +151,7 @@ class Matcher:
         """(item key, distance, budget, start, end, places) of each item that the text holds."""
         if self.empty or not raw:
             return []
-        text = plain(raw)
+        text, origin_of = squeezed(plain(raw))
         windows: dict[int, list[list[int]]] = {}
         for last, (size, uses) in self.machine.iter(text):
             begin = last + 1 - size
@@ -183,6 +195,8 @@ class Matcher:
                 low = max(low, end - len(pattern) - budget)
                 tail = min(x for x in myers(backward, len(pattern), text[low:end][::-1], budget) if x[1] == distance)
                 out.append((key, distance, budget, end - tail[0], end, places))
+        if origin_of is not None:
+            out = [(*row[:3], int(origin_of[row[3]]), int(origin_of[row[4] - 1]) + 1, row[5]) for row in out]
         return out
 
 
@@ -249,7 +263,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = None
-            for batch in batches:
+            for batch in small_batches(batches, text_col):
                 matcher = matcher or Matcher(shared.value, chars_per_error)
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch[text_col]], pa.bool_()))
 
