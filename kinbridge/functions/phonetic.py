@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -12,12 +11,20 @@ from pyspark.sql import functions as F
 
 from kinbridge.functions import rules
 
-# Sounds that the Unicode names do not give, and the ordered rewrites.
-SOUNDS = {
-    "NGA": "n", "NYA": "n", "CA": "ch", "CHA": "chh", "TTA": "t", "TTHA": "th", "DDA": "d", "DDHA": "dh", "NNA": "n", "NNNA": "n", "RRA": "r", "LLA": "l", "LLLA": "l", "SSA": "sh",
-    "KHHA": "kh", "GHHA": "g", "DDDHA": "r", "RHA": "rh", "YYA": "y", "VOCALIC R": "ri", "VOCALIC RR": "ri", "VOCALIC L": "li", "VOCALIC LL": "li",
-    "CANDRA A": "e", "CANDRA E": "e", "SHORT E": "e", "CANDRA O": "o", "SHORT O": "o", "SHORT A": "a", "A": "a", "CANDRABINDU": "n", "INVERTED CANDRABINDU": "n", "ANUSVARA": "n", "VISARGA": "h", "OM": "om",
+# The sounds of Indic letters, and the ordered rewrites.
+#: Devanagari by code point; the other blocks have the same letters at the same places, and what is not here is dropped.
+ROMAN = {
+    0x0900: "n", 0x0901: "n", 0x0902: "n", 0x0903: "h",
+    0x0904: "a", 0x0905: "a", 0x0906: "aa", 0x0907: "i", 0x0908: "ii", 0x0909: "u", 0x090A: "uu", 0x090B: "ri", 0x090C: "li", 0x090D: "e", 0x090E: "e", 0x090F: "e", 0x0910: "ai", 0x0911: "o", 0x0912: "o", 0x0913: "o", 0x0914: "au",
+    0x0915: "k", 0x0916: "kh", 0x0917: "g", 0x0918: "gh", 0x0919: "n", 0x091A: "ch", 0x091B: "chh", 0x091C: "j", 0x091D: "jh", 0x091E: "n", 0x091F: "t", 0x0920: "th", 0x0921: "d", 0x0922: "dh", 0x0923: "n", 0x0924: "t", 0x0925: "th", 0x0926: "d", 0x0927: "dh", 0x0928: "n", 0x0929: "n", 0x092A: "p", 0x092B: "ph", 0x092C: "b", 0x092D: "bh", 0x092E: "m", 0x092F: "y", 0x0930: "r", 0x0931: "r", 0x0932: "l", 0x0933: "l", 0x0934: "l", 0x0935: "v", 0x0936: "sh", 0x0937: "sh", 0x0938: "s", 0x0939: "h",
+    0x093E: "aa", 0x093F: "i", 0x0940: "ii", 0x0941: "u", 0x0942: "uu", 0x0943: "ri", 0x0944: "ri", 0x0945: "e", 0x0946: "e", 0x0947: "e", 0x0948: "ai", 0x0949: "o", 0x094A: "o", 0x094B: "o", 0x094C: "au",
+    0x0950: "om",
+    0x0958: "q", 0x0959: "kh", 0x095A: "g", 0x095B: "z", 0x095C: "r", 0x095D: "rh", 0x095E: "f", 0x095F: "y",
+    0x0960: "ri", 0x0961: "li", 0x0962: "li", 0x0963: "li", 0x0964: " ", 0x0965: " ",
+    0x0966: "0", 0x0967: "1", 0x0968: "2", 0x0969: "3", 0x096A: "4", 0x096B: "5", 0x096C: "6", 0x096D: "7", 0x096E: "8", 0x096F: "9",
+    0x0972: "e",
 }
+#: Letters that differ from Devanagari's at their place.
 SPECIAL = {
     0x0A70: "n", 0x0A71: "", 0x0A72: "", 0x0A73: "", 0x09CE: "t", 0x0B71: "v", 0x0B83: "h", 0x0D7A: "n", 0x0D7B: "n", 0x0D7C: "r", 0x0D7D: "l", 0x0D7E: "l", 0x0D7F: "k", 0x0D4E: "r",
 }
@@ -36,27 +43,8 @@ SKELETON = [
 
 @lru_cache(1)
 def roman_table() -> dict[int, str]:
-    """Devanagari by its Unicode names, the other blocks by the same offset, what is left dropped."""
-    out: dict[int, str] = {}
-    for offset in range(0x80):
-        name = unicodedata.name(chr(0x0900 + offset), "").removeprefix("DEVANAGARI ")
-        kind, _, sound = name.partition(" ")
-        if name.startswith("VOWEL SIGN "):
-            sound = name.removeprefix("VOWEL SIGN ")
-        elif kind not in ("LETTER", "SIGN", "DIGIT"):
-            sound = "OM" if name == "OM" else ""
-        if kind == "DIGIT":
-            roman = str(unicodedata.digit(chr(0x0900 + offset)))
-        elif name in ("DANDA", "DOUBLE DANDA"):
-            roman = " "
-        elif sound in SOUNDS:
-            roman = SOUNDS[sound]
-        elif kind in ("LETTER", "VOWEL") and offset < 0x64:
-            roman = sound.lower() if sound.lower() in ("aa", "i", "ii", "u", "uu", "e", "ai", "o", "au") else sound.lower().removesuffix("a") if kind == "LETTER" else ""
-        else:
-            roman = ""
-        for block in rules.INDIC_SCRIPTS.values():
-            out[block + offset] = roman
+    """For str.translate: Devanagari's table shifted to all blocks, the special letters, nothing for what is left."""
+    out = {start + offset: ROMAN.get(0x0900 + offset, "") for start in rules.INDIC_SCRIPTS.values() for offset in range(0x80)}
     return out | SPECIAL
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +51,63 @@ def equal_conflict(a: Column, b: Column) -> tuple[Column, Column]:
     return F.coalesce((x == y).cast("int"), F.lit(0)), F.coalesce((x != y).cast("int"), F.lit(0))
 
 
-def record_features(pairs: DataFrame, queries: DataFrame, targets: DataFrame, key: str = "row_idx") -> DataFrame:
-    """Adds number agreement, scripts, country, source and missing flags; strings join only now, after top-K."""
-    columns = ["country", "name_script", "address_missing", "house_numbers", "unit_numbers", "postcode", "source"]
-    side = lambda df, p: df.select(F.col(key).alias(p), *[F.col(c).alias(f"_{p}_{c}") for c in columns])
-    out = pairs.join(side(queries, "q"), "q").join(side(targets, "t"), "t")
+#: What the features need of a record; texts stay behind.
+RECORD_COLUMNS = ("country", "name_script", "address_missing", "house_numbers", "unit_numbers", "postcode", "source")
+#: Stage-2 columns before the string scores.
+CONTEXT = ("s1_score", "s1_rank", "s1_gap", "s1_best", "s1_gap12", "s1_ntop")
+
+
+def stage1_names(channels: list[str]) -> list[str]:
+    """Five columns a channel, five of the union, six of number agreement, six of the records, seven counts."""
+    own = [f"{c}_{n}" for n in channels for c in ("s", "r", "qfrac", "tfrac", "wjac")]
+    union = ["s_sum", "r_sum", "s_rel", "log_n_cand", "n_channels"]
+    agree = [f"{n}_{c}" for n in ("house", "unit", "post") for c in ("eq", "conflict")]
+    return own + union + agree + ["t_source", "country", "q_script", "t_script", "q_addr_missing", "t_addr_missing", "q_name_ntok", "t_name_ntok", "q_addr_ntok", "t_addr_ntok", "q_name_maxidf", "q_key_df", "t_key_df"]
+
+
+def stage2_names(channels: list[str]) -> list[str]:
+    """All of stage 1 but the country, the context of the ranking, string scores and equalities."""
+    return [n for n in stage1_names(channels) if n != "country"] + [*CONTEXT, *[n for n, _, _ in STRING_FEATURES], "legal_form_equal", "stripped_first_token_equal"]
+
+
+Field = tuple[str, str]
+
+
+def side_statistics(records: DataFrame, posts: dict[Field, DataFrame], vocabs: dict[Field, DataFrame], masses: dict[str, tuple[Field, int | None]], name: str, address: str, key_field: str, key: str) -> DataFrame:
+    """A row a record: its columns for the features and its token statistics, 0 where it has no known token.
+
+    posts and vocabs go by text column and mode; masses: channel to its field and df cap.  A field's figures come
+    from one grouping, and the groupings meet in one, so a record is joined once.
+    """
+    parts, wanted = [], {f"mass_{c}": F.lit(0.0) for c in masses} | {"name_ntok": F.lit(0), "addr_ntok": F.lit(0), "name_maxidf": F.lit(0.0), "key_df": F.lit(0)}
+    for field in posts:
+        within = lambda cap: F.lit(True) if cap is None else F.col("df") <= cap
+        own = [F.round(F.sum(F.when(within(cap), F.col("idf"))), 6).alias(f"mass_{c}") for c, (f, cap) in masses.items() if f == field]
+        own += [F.count("*").alias("name_ntok"), F.max("idf").alias("name_maxidf")] if field == (name, "tokens") else []
+        own += [F.count("*").alias("addr_ntok")] if field == (address, "tokens") else []
+        own += [F.max("df").alias("key_df")] if field == (key_field, "key") else []
+        parts.append(posts[field].join(vocabs[field], ["part", "token"]).groupBy("doc").agg(*own))
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    found = together.groupBy("doc").agg(*[F.max(c).alias(c) for c in wanted])
+    out = records.select(F.col(key).alias("doc"), *RECORD_COLUMNS).join(found, "doc", "left")
+    return out.withColumns({c: F.coalesce(c, zero) for c, zero in wanted.items()})
+
+
+def stage1_features(pairs: DataFrame, channels: list[str], queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """The pairs (merged channels) with q, t and the columns of ``stage1_names``; queries and targets: ``side_statistics``."""
+    side = lambda df, p: df.select(F.col("doc").alias(p), *[F.col(c).alias(f"_{p}_{c}") for c in df.columns if c != "doc"])
+    out = union_features(pairs.join(side(queries, "q"), "q").join(side(targets, "t"), "t"))
+    for n in channels:
+        s, q, t = F.col(f"s_{n}"), F.col(f"_q_mass_{n}"), F.col(f"_t_mass_{n}")
+        out = out.withColumns({f"qfrac_{n}": ratio(s, q), f"tfrac_{n}": ratio(s, t), f"wjac_{n}": ratio(s, q + t - s)})
     for name, column in (("house", "house_numbers"), ("unit", "unit_numbers"), ("post", "postcode")):
         eq, conflict = equal_conflict(F.col(f"_q_{column}"), F.col(f"_t_{column}"))
         out = out.withColumns({f"{name}_eq": eq, f"{name}_conflict": conflict})
     out = out.withColumns({
         "t_source": F.col("_t_source").cast("int"), "country": code(F.col("_q_country"), COUNTRY_CODES, 2), "q_script": code(F.col("_q_name_script"), SCRIPT_CODES, 4), "t_script": code(F.col("_t_name_script"), SCRIPT_CODES, 4),
-        "q_addr_missing": F.col("_q_address_missing").cast("int"), "t_addr_missing": F.col("_t_address_missing").cast("int"),
-    })
-    return out.drop(*[c for c in out.columns if c.startswith(("_q_", "_t_"))])
+        "q_addr_missing": F.col("_q_address_missing").cast("int"), "t_addr_missing": F.col("_t_address_missing").cast("int"), "q_name_maxidf": F.round("_q_name_maxidf", 6),
+    } | {f"{p}_{c}": F.col(f"_{p}_{c}") for p in "qt" for c in ("name_ntok", "addr_ntok", "key_df")})
+    return out.select("q", "t", *stage1_names(channels))
 
 
 def rank_context(scored: DataFrame, score: str = "s1_score") -> DataFrame:

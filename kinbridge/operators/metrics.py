@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,38 @@ def recall_at(ranks: DataFrame, queries: DataFrame, ks: list[int | None], stratu
     )
 
 
+def candidate_counts(ranks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """One row over queries: candidates within the first k (columns q, rank), interpolated quantiles, total, percent without any."""
+    kept = ranks if k is None else ranks.where(F.col("rank") < k)
+    n = queries.select("q").distinct().join(kept.groupBy("q").agg(F.count("*").alias("n")), "q", "left").na.fill(0, ["n"])
+    at = lambda share, name: F.round(F.percentile("n", F.lit(share)), 6).alias(name)
+    return n.agg(
+        F.round(F.avg("n"), 2).alias("mean"), at(0.5, "median"), at(0.9, "p90"), at(0.95, "p95"), at(0.99, "p99"), F.max("n").alias("max"), F.sum("n").alias("total"),
+        F.round(100 * F.avg((F.col("n") == 0).cast("double")), 3).alias("pct_zero"),
+    )
+
+
+def pair_recall_by(ranks: DataFrame, stratum: str, k: int | None = None) -> DataFrame:
+    """(stratum, n_pairs, pair_recall) over true pairs with their ranks, null where they were not retrieved."""
+    hit = F.col("rank").isNotNull() if k is None else F.coalesce(F.col("rank") < k, F.lit(False))
+    return ranks.groupBy(stratum).agg(F.count("*").alias("n_pairs"), F.round(F.avg(hit.cast("double")), 4).alias("pair_recall"))
+
+
+def warnings(pred: DataFrame, truth_queries: DataFrame, candidates: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """(warning, n) of what an evaluation should tell: only warnings with a count.
+
+    unknown_query: predicted queries beyond the truth; unpredicted_query: queries of the truth without a row (rows: q of
+    all result lines, also empty ones; by default those with pairs); outside_candidates: queries with a predicted pair
+    that is no candidate.
+    """
+    asked, lines = truth_queries.select("q").distinct(), (rows if rows is not None else pred).select("q").distinct()
+    found = {"unknown_query": lines.join(asked, "q", "left_anti"), "unpredicted_query": asked.join(lines, "q", "left_anti")}
+    if candidates is not None:
+        found["outside_candidates"] = pred.select("q", "t").join(candidates.select("q", "t"), ["q", "t"], "left_anti").select("q").distinct()
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("warning"), "n") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, counts).where("n > 0")
+
+
 def paired_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 0) -> DataFrame:
     """One row from per-entity scores a and b: mean difference, 2.5 and 97.5 percentiles, better, worse and equal shares.
 

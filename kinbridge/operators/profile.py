@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinbridge.functions.hashing import md5_key
 from kinbridge.functions.similarity import scorer
 from kinbridge.operators.metrics import nearest_rank
 
@@ -37,17 +38,35 @@ def pattern_shares(rows: DataFrame, column: str, by: str | None = None) -> DataF
     return grouped.agg(F.count("*").alias("n"), *[F.round(F.avg(p.cast("double")), 6).alias(n) for n, p in patterns(F.col(column)).items()])
 
 
+def compatible_fold():
+    """A UDF: lower case, compatibility decomposition without marks; the profile's own folding, wider than the normaliser's."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v.lower()) if not unicodedata.combining(c)) if isinstance(v, str) else None)
+
+    return run
+
+
+def fold(x: Column) -> Column:
+    """Lower case without accents; only texts beyond ASCII go through Python."""
+    return F.coalesce(compatible_fold()(F.when(x.rlike(r"[^\x00-\x7F]"), x)), F.lower(x))
+
+
+def words_of(folded: Column) -> Column:
+    """Runs of a-z and 0-9 and ampersands of a folded text."""
+    return F.regexp_extract_all(folded, F.lit("([a-z0-9]+|&)"), F.lit(1))
+
+
 def profile_tokens(x: Column) -> Column:
-    """Runs of a-z and 0-9 and ampersands of a lower-cased text."""
-    return F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+|&)"), F.lit(1))
+    return words_of(fold(x))
 
 
 def legal_word_shares(rows: DataFrame, column: str, k: int = 12) -> DataFrame:
-    """(word, share): the k legal words that end most values, and their share of all values; ties by word."""
-    words = profile_tokens(F.coalesce(F.col(column), F.lit("")))
-    ends = rows.select(F.try_element_at(words, F.lit(-1)).alias("word"))
-    total = ends.agg(F.count("*").alias("total"))
-    counts = ends.where(F.col("word").isin(*LEGAL_WORDS)).groupBy("word").agg(F.count("*").alias("n")).crossJoin(total)  # total is one row
+    """(word, share): the k legal words that most values hold, anywhere, and the share of values that do; ties by word."""
+    held = F.array_intersect(profile_tokens(F.coalesce(F.col(column), F.lit(""))), F.array(*map(F.lit, LEGAL_WORDS)))
+    total = rows.agg(F.count("*").alias("total"))
+    counts = rows.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).crossJoin(total)  # total is one row
     return counts.select("word", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("share"), "word").limit(k)
 
 
@@ -103,15 +122,6 @@ def source_mix(truth: DataFrame) -> DataFrame:
     return per.agg(F.sum("s2").alias("pairs_s2"), F.sum("s3").alias("pairs_s3"), F.sum(((F.col("s2") > 0) & (F.col("s3") > 0)).cast("long")).alias("queries_both"))
 
 
-def compatible_fold():
-    """A UDF: compatibility decomposition without marks, case folded; the profile's own folding, wider than the normaliser's."""
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).casefold())
-
-    return run
-
-
 def postcode(x: Column) -> Column:
     """The first five digits of the first postcode-like number, or null."""
     return F.nullif(F.substring(F.regexp_replace(F.regexp_extract(x, POSTCODE, 2), " ", ""), 1, 5), F.lit(""))
@@ -119,17 +129,15 @@ def postcode(x: Column) -> Column:
 
 def pair_noise(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Adds flags and scores of how two texts of a pair differ; token sets of two empty texts agree."""
-    x, y = F.col(a), F.col(b)
-    t, u = profile_tokens(x), profile_tokens(y)
-    plain = lambda v: F.array_join(profile_tokens(v), " ")
-    either = F.size(F.array_union(t, u))
-    return pairs.withColumns({
-        "exact": x == y, "same_letters": F.lower(x) == F.lower(y), "same_squashed": plain(x) == plain(y), "same_tokens": F.array_sort(F.array_distinct(t)) == F.array_sort(F.array_distinct(u)),
-        "case_only": (x != y) & (F.lower(x) == F.lower(y)), "punctuation_only": (plain(x) == plain(y)) & (F.lower(x) != F.lower(y)), "share_token": F.size(F.array_intersect(t, u)) > 0,
+    x, y, t, u = (F.col(c) for c in (a, b, "_kb_t", "_kb_u"))
+    either, plain = F.size(F.array_union(t, u)), lambda v: F.array_join(v, " ")
+    return pairs.withColumns({"_kb_t": profile_tokens(x), "_kb_u": profile_tokens(y)}).withColumns({
+        "exact": x == y, "same_letters": F.lower(x) == F.lower(y), "same_squashed": plain(t) == plain(u), "same_tokens": F.array_sort(F.array_distinct(t)) == F.array_sort(F.array_distinct(u)),
+        "case_only": (x != y) & (F.lower(x) == F.lower(y)), "punctuation_only": (plain(t) == plain(u)) & (F.lower(x) != F.lower(y)), "share_token": F.size(F.array_intersect(t, u)) > 0,
         "share_first": F.coalesce(F.try_element_at(t, F.lit(1)) == F.try_element_at(u, F.lit(1)), F.lit(False)), "postcode_both": postcode(x).isNotNull() & postcode(y).isNotNull(),
         "postcode_equal": F.coalesce(postcode(x) == postcode(y), F.lit(False)), "jaccard": F.when(either == 0, 1.0).otherwise(F.round(F.size(F.array_intersect(t, u)) / F.greatest(either, F.lit(1)), 6)),
-        "gestalt": scorer("gestalt")(plain(x), plain(y)),
-    })
+        "gestalt": scorer("gestalt")(plain(t), plain(u)),
+    }).drop("_kb_t", "_kb_u")
 
 
 def summarize_pairs(pairs: DataFrame, flags: list[str], figures: list[str]) -> DataFrame:
@@ -168,14 +176,15 @@ def only_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def random_pairs(queries: DataFrame, targets: DataFrame, truth: DataFrame, each: int, seed: str) -> DataFrame:
     """Each query with ``each`` targets drawn by keyed hash, true pairs taken out: a baseline, not a cross join.
 
-    Targets are numbered within hash ranges, whose counts alone are ordered in one place; a query's draws
-    are hashes of it modulo the targets' number.
+    Targets are numbered in the order of their hashes within ranges of it, whose counts alone are ordered in
+    one place; a query's draws are hashes of it modulo the targets' number.
     """
-    keyed = targets.select("t", F.pmod(F.xxhash64("t"), F.lit(4096)).alias("range"))
+    keyed = targets.select("t", md5_key(F.col("t"), seed).alias("h")).withColumn("range", F.substring("h", 1, 3))
     counts = keyed.groupBy("range").agg(F.count("*").alias("k"))
     starts = counts.select("range", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("t")) - 1
+    place = F.row_number().over(Window.partitionBy("range").orderBy("h", "t")) - 1
     numbered = keyed.withColumn("place", place).join(starts, "range").select("t", (F.col("start") + F.col("place")).alias("n"))
-    total = targets.count()
-    draw = F.explode(F.transform(F.sequence(F.lit(1), F.lit(each)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("q"), i), F.lit(max(1, total)))))
+    total = max(1, targets.count())
+    one = lambda i: F.conv(F.substring(md5_key(F.concat_ws(":", F.col("q"), i), seed), 1, 12), 16, 10).cast("long") % total
+    draw = F.explode(F.transform(F.sequence(F.lit(1), F.lit(each)), one))
     return queries.select("q", draw.alias("n")).distinct().join(numbered, "n").select("q", "t").join(truth.select("q", "t"), ["q", "t"], "left_anti")

@@ -42,12 +42,27 @@ def ranked(scored: DataFrame, k: int | None = None, score: str = "score", rank:
     return out.withColumn(rank, (F.col("_n") - 1).cast("long")).drop("_n")
 
 
-def retrieve(queries: DataFrame, targets: DataFrame, channel: Channel, part: str, doc: str) -> DataFrame:
-    """(q, t, score, rank) of one channel; a query whose partition has no targets gets nothing."""
-    index = postings(targets, part, doc, channel.field, channel.mode)
-    vocab = vocabulary(index, targets, part)
-    asked = query_postings(postings(queries, part, doc, channel.field, channel.mode), vocab, channel.df_cap)
-    return ranked(score_pairs(asked, index), channel.top_k)
+@dataclass(frozen=True)
+class Index:
+    """One text column of both sides: target postings, their vocabulary, query postings."""
+
+    posts: DataFrame
+    vocab: DataFrame
+    asked: DataFrame
+
+
+def field_index(queries: DataFrame, targets: DataFrame, part: str, doc: str, field: str, mode: str = "tokens") -> Index:
+    posts = postings(targets, part, doc, field, mode)
+    return Index(posts, vocabulary(posts, targets, part), postings(queries, part, doc, field, mode))
+
+
+def retrieve(queries: DataFrame, targets: DataFrame, channel: Channel, part: str, doc: str, index: Index | None = None) -> DataFrame:
+    """(q, t, score, rank) of one channel; a query whose partition has no targets gets nothing.
+
+    Channels of one column can share its index.
+    """
+    index = index or field_index(queries, targets, part, doc, channel.field, channel.mode)
+    return ranked(score_pairs(query_postings(index.asked, index.vocab, channel.df_cap), index.posts), channel.top_k)
 
 
 def union_candidates(parts: list[DataFrame], top_k: int | None = None) -> DataFrame:

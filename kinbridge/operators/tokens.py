@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("tokens", "key")
+#: Document frequencies beyond which a vocabulary's tail is counted.
+TAILS = (100, 1_000, 10_000, 100_000)
 
 
 def tokenize(text: Column, mode: str = "tokens") -> Column:
@@ -44,7 +46,7 @@ def df_summary(vocab: DataFrame) -> DataFrame:
     share = lambda k: F.round(F.sum(F.when(F.col("df") > k, F.col("df")).otherwise(0)) / F.sum("df"), 6).alias(f"share_over_{k}")
     return vocab.groupBy("part").agg(
         F.max("n").alias("n_docs"), F.count("*").alias("n_tokens"), F.sum("df").alias("n_postings"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), q(0.999).alias("p999"),
-        F.max("df").alias("max_df"), over(100), over(1000), share(100), share(1000),
+        F.max("df").alias("max_df"), *[f(k) for k in TAILS for f in (over, share)],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +12,11 @@ from kinbridge.operators import features as f
 from kinbridge.operators import models
 from kinbridge.operators import retrieve as r
 from kinbridge.operators.metrics import recall_at, truth_ranks
-from kinbridge.operators.tokens import postings, vocabulary
 
 
 @dataclass(frozen=True)
 class LinkPlan:
-    """Channels and limits of one linking run."""
+    """Channels and limits of one linking run, and the records' text columns."""
 
     channels: tuple[r.Channel, ...]
     part: str = "country"
@@ -25,35 +24,56 @@ class LinkPlan:
     cap: int = 1000
     top_k: int = 200
     threshold: float = 0.66
-    features: tuple[str, ...] = field(default=())
+    name: str = "name_fold"
+    address: str = "address_norm"
+    key_field: str = "name_key"
 
+    @property
+    def names(self) -> list[str]:
+        return [c.name for c in self.channels]
 
-def candidates(plan: LinkPlan, queries: DataFrame, targets: DataFrame) -> DataFrame:
+
+Indexes = dict[tuple[str, str], r.Index]
+
+
+def indexes(plan: LinkPlan, queries: DataFrame, targets: DataFrame) -> Indexes:
+    """Each text column once, for all channels and statistics; equal plans let Spark reuse their exchanges."""
+    wanted = dict.fromkeys([*((c.field, c.mode) for c in plan.channels), (plan.name, "tokens"), (plan.address, "tokens"), (plan.key_field, "key")])
+    return {k: r.field_index(queries, targets, plan.part, plan.key, *k) for k in wanted}
+
+
+def candidates(plan: LinkPlan, queries: DataFrame, targets: DataFrame, index: Indexes | None = None) -> DataFrame:
     """Merged and capped candidates of all channels."""
-    found = {c.name: r.retrieve(queries, targets, c, plan.part, plan.key) for c in plan.channels}
+    index = index or indexes(plan, queries, targets)
+    found = {c.name: r.retrieve(queries, targets, c, plan.part, plan.key, index[c.field, c.mode]) for c in plan.channels}
     return r.cap_merged(r.merge_channels(found), plan.cap)
 
 
-def pair_features(plan: LinkPlan, queries: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds each channel's containment and Jaccard figures and the union figures."""
-    for c in plan.channels:
-        index = postings(targets, plan.part, plan.key, c.field, c.mode)
-        vocab = vocabulary(index, targets, plan.part)
-        asked = postings(queries, plan.part, plan.key, c.field, c.mode)
-        pairs = f.overlap_features(pairs, c.name, f.masses(asked, vocab, c.df_cap), f.masses(index, vocab, c.df_cap))
-    return f.union_features(pairs)
+def pair_features(plan: LinkPlan, queries: DataFrame, targets: DataFrame, pairs: DataFrame, index: Indexes | None = None) -> DataFrame:
+    """The pairs with all stage-1 features."""
+    index = index or indexes(plan, queries, targets)
+    masses = {c.name: ((c.field, c.mode), c.df_cap) for c in plan.channels}
+    vocabs = {k: i.vocab for k, i in index.items()}
+    side = lambda records, which: f.side_statistics(records, {k: getattr(i, which) for k, i in index.items()}, vocabs, masses, plan.name, plan.address, plan.key_field, plan.key)
+    return f.stage1_features(pairs, plan.names, side(queries, "asked"), side(targets, "posts"))
 
 
-def link(plan: LinkPlan, queries: DataFrame, targets: DataFrame, stage1, stage2, stage1_features: list[str], stage2_features: list[str]) -> DataFrame:
+def link(plan: LinkPlan, queries: DataFrame, targets: DataFrame, stage1, stage2, stage1_inputs: list[str] | None = None, stage2_inputs: list[str] | None = None) -> DataFrame:
     """(q, t, p) of the accepted pairs: both models applied, texts joined only to what the first one keeps."""
-    pairs = pair_features(plan, queries, targets, candidates(plan, queries, targets))
-    ranked = models.score(stage1, pairs, stage1_features, "s1_score", "_p1").withColumn("s1_score", F.round("s1_score", 6))
-    kept = f.rank_context(r.ranked(ranked, plan.top_k, "s1_score", "_r").drop("_r"))
-    full = f.string_features(kept, queries, targets, plan.key)
-    scored = models.score(stage2, full, stage2_features)
+    index = indexes(plan, queries, targets)
+    pairs = pair_features(plan, queries, targets, candidates(plan, queries, targets, index), index)
+    ranked = models.score(stage1, pairs, stage1_inputs or f.stage1_names(plan.names), "s1_score", "_p1").withColumn("s1_score", F.round("s1_score", 6))
+    full = stage2_features(plan, queries, targets, ranked)
+    scored = models.score(stage2, full, stage2_inputs or f.stage2_names(plan.names))
     return d.decide(scored.withColumn("p", F.round("p", 6)), plan.threshold).select("q", "t", "p")
 
 
+def stage2_features(plan: LinkPlan, queries: DataFrame, targets: DataFrame, scored: DataFrame) -> DataFrame:
+    """The first top_k pairs of each query by s1_score, with all stage-2 features."""
+    kept = f.rank_context(r.ranked(scored, plan.top_k, "s1_score", "_r").drop("_r"))
+    return f.string_features(kept, queries, targets, plan.key)
+
+
 def study(plan: LinkPlan, queries: DataFrame, targets: DataFrame, truth: DataFrame, ks: list[int | None], unions: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(strategy, k, ...) recall figures of every channel and union over one pass of the channels."""
     found = {c.name: r.retrieve(queries, targets, c, plan.part, plan.key).persist() for c in plan.channels}

@@ -1,7 +1,8 @@
 """Queries of the linking operators over the standard tables, with equal DuckDB SQL.
 
-Documents stand for records: source ``src0`` asks, the others are targets; ``lang`` is the partition;
-equal texts are the truth.
+Documents stand for records.  Where only retrieval is at stake source ``src0`` asks and the others are
+targets; where the truth is, even ids ask and odd ids are targets.  ``lang`` is the partition; equal texts
+are the truth.  Parts stand for records with short names, by brand.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from kinbridge.functions import hashing, normalize, phonetic, rules, similarity
 from kinbridge.operators import decide, features, metrics, models, profile, retrieve, splits, tokens
-from kinbridge.plans import experiments
+from kinbridge.plans import experiments, link, runs
 from kinbridge.session import ship
 from kinbridge.sources import idlists, records
 
-NAME = retrieve.Channel("name", "txt", df_cap=50, top_k=20)
+NAME = retrieve.Channel("name", "txt", df_cap=1000)
 KEY = retrieve.Channel("key", "key", mode="key", df_cap=None)
 SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
     def keep(fn):
         QUERIES[fn.__name__] = fn
         if sql is not None:
-            SQL[fn.__name__] = sql
+            SQL[fn.__name__] = sql.replace("{asks}", PARITY if TRUTH in sql else SOURCE)
         return fn
 
     return keep
@@ -47,51 +48,55 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("key", normalize.sorted_key(F.col("txt")))
 
 
-def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+#: The asking side: of retrieval, and of what is held against the truth.
+SOURCE, PARITY = "source = 'src0'", "doc_id % 2 = 0"
+
+
+def sides(spark: SparkSession, d: str, asks: str = SOURCE) -> tuple[DataFrame, DataFrame]:
     df = docs(spark, d)
-    return df.where("source = 'src0'"), df.where("source <> 'src0'")
+    return df.where(asks), df.where(f"not ({asks})")
 
 
-def name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    q, tg = sides(spark, d)
+def name_pairs(spark: SparkSession, d: str, asks: str = SOURCE) -> DataFrame:
+    q, tg = sides(spark, d, asks)
     return retrieve.retrieve(q, tg, NAME, "lang", "doc_id")
 
 
-def key_pairs(spark: SparkSession, d: str) -> DataFrame:
-    q, tg = sides(spark, d)
+def key_pairs(spark: SparkSession, d: str, asks: str = SOURCE) -> DataFrame:
+    q, tg = sides(spark, d, asks)
     return retrieve.retrieve(q, tg, KEY, "lang", "doc_id")
 
 
-def merged(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.merge_channels({"name": name_pairs(spark, d), "key": key_pairs(spark, d)})
+def merged(spark: SparkSession, d: str, asks: str = SOURCE) -> DataFrame:
+    return retrieve.merge_channels({"name": name_pairs(spark, d, asks), "key": key_pairs(spark, d, asks)})
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    q, tg = sides(spark, d)
+    q, tg = sides(spark, d, PARITY)
     return q.select("lang", "txt", F.col("doc_id").alias("q")).join(tg.select("lang", "txt", F.col("doc_id").alias("t")), ["lang", "txt"]).select("q", "t")
 
 
 def asking(spark: SparkSession, d: str) -> DataFrame:
-    return sides(spark, d)[0].select(F.col("doc_id").alias("q"), "lang")
+    return sides(spark, d, PARITY)[0].select(F.col("doc_id").alias("q"), "lang")
 
 
 def with_p(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with p: the union score over the query's best."""
-    return features.union_features(merged(spark, d)).select("q", "t", F.col("s_rel").alias("p"))
+    return features.union_features(merged(spark, d, PARITY)).select("q", "t", F.col("s_rel").alias("p"))
 
 
-DOCS = r"""docs AS (SELECT doc_id, lang, source, txt, array_to_string(list_sort(list_distinct(list_filter(string_split(txt, ' '), lambda x: x <> ''))), ' ') AS key
+DOCS = r"""docs AS (SELECT doc_id, lang, source, {asks} AS asks, txt, array_to_string(list_sort(list_distinct(list_filter(string_split(txt, ' '), lambda x: x <> ''))), ' ') AS key
     FROM (SELECT doc_id, lang, source, trim(regexp_replace(lower(text), '[\t-\r ]+', ' ', 'g')) AS txt FROM documents))"""
-POSTS = f"""{DOCS}, posts AS (SELECT DISTINCT lang AS part, doc_id AS doc, source, token
-    FROM (SELECT lang, doc_id, source, unnest(string_split(txt, ' ')) AS token FROM docs) WHERE token <> ''),
-  tposts AS (SELECT * FROM posts WHERE source <> 'src0'), qposts AS (SELECT * FROM posts WHERE source = 'src0'),
-  sizes AS (SELECT lang AS part, count(*) AS n FROM docs WHERE source <> 'src0' GROUP BY 1),
+POSTS = f"""{DOCS}, posts AS (SELECT DISTINCT lang AS part, doc_id AS doc, asks, token
+    FROM (SELECT lang, doc_id, asks, unnest(string_split(txt, ' ')) AS token FROM docs) WHERE token <> ''),
+  tposts AS (SELECT * FROM posts WHERE NOT asks), qposts AS (SELECT * FROM posts WHERE asks),
+  sizes AS (SELECT lang AS part, count(*) AS n FROM docs WHERE NOT asks GROUP BY 1),
   vocab AS (SELECT part, token, df, n, round(ln(n / df), 6) AS idf FROM (SELECT part, token, count(*) AS df FROM tposts GROUP BY 1, 2) JOIN sizes USING (part))"""
-PAIRS = f"""{POSTS}, npairs0 AS (SELECT q.doc AS q, t.doc AS t, round(sum(v.idf), 6) AS score FROM qposts q JOIN vocab v ON q.part = v.part AND q.token = v.token AND v.df <= 50
+PAIRS = f"""{POSTS}, npairs0 AS (SELECT q.doc AS q, t.doc AS t, round(sum(v.idf), 6) AS score FROM qposts q JOIN vocab v ON q.part = v.part AND q.token = v.token AND v.df <= 1000
     JOIN tposts t ON t.part = q.part AND t.token = q.token GROUP BY 1, 2),
-  npairs AS (SELECT q, t, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) - 1 AS rank FROM npairs0 WHERE score > 0 QUALIFY rank < 20),
-  kdf AS (SELECT lang AS part, key, count(*) AS df FROM docs WHERE source <> 'src0' AND key <> '' GROUP BY 1, 2),
-  kpairs0 AS (SELECT a.doc_id AS q, b.doc_id AS t, round(ln(n / df), 6) AS score FROM docs a JOIN docs b ON a.lang = b.lang AND a.key = b.key AND a.source = 'src0' AND b.source <> 'src0'
+  npairs AS (SELECT q, t, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) - 1 AS rank FROM npairs0 WHERE score > 0),
+  kdf AS (SELECT lang AS part, key, count(*) AS df FROM docs WHERE NOT asks AND key <> '' GROUP BY 1, 2),
+  kpairs0 AS (SELECT a.doc_id AS q, b.doc_id AS t, round(ln(n / df), 6) AS score FROM docs a JOIN docs b ON a.lang = b.lang AND a.key = b.key AND a.asks AND NOT b.asks
     JOIN kdf k ON k.part = a.lang AND k.key = a.key JOIN sizes s ON s.part = a.lang),
   kpairs AS (SELECT q, t, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) - 1 AS rank FROM kpairs0 WHERE score > 0)"""
 MERGED = f"""{PAIRS}, rows AS (SELECT *, 0 AS ch FROM npairs UNION ALL SELECT *, 1 AS ch FROM kpairs),
@@ -99,7 +104,7 @@ MERGED = f"""{PAIRS}, rows AS (SELECT *, 0 AS ch FROM npairs UNION ALL SELECT *,
     bit_or(1 << ch) AS mask, round(sum(score), 6) AS s_sum FROM rows GROUP BY q, t),
   merged AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s_sum DESC, t) - 1 AS r_sum, count(*) OVER (PARTITION BY q) AS n_cand, max(s_sum) OVER (PARTITION BY q) AS s_best,
     bit_count(mask) AS n_channels FROM m0)"""
-TRUTH = "truth AS (SELECT a.doc_id AS q, b.doc_id AS t FROM docs a JOIN docs b ON a.lang = b.lang AND a.txt = b.txt AND a.source = 'src0' AND b.source <> 'src0'), asking AS (SELECT doc_id AS q, lang FROM docs WHERE source = 'src0')"
+TRUTH = "truth AS (SELECT a.doc_id AS q, b.doc_id AS t FROM docs a JOIN docs b ON a.lang = b.lang AND a.txt = b.txt AND a.asks AND NOT b.asks), asking AS (SELECT doc_id AS q, lang FROM docs WHERE asks)"
 WITH_P = f"{MERGED}, {TRUTH}, ps AS (SELECT q, t, round(s_sum / s_best, 6) AS p FROM merged)"
 F05 = "CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN n_hit = 0 THEN 0.0 ELSE 1.25 * (n_hit / n_pred) * (n_hit / n_true) / (0.25 * (n_hit / n_pred) + n_hit / n_true) END"
 SCORES = f"""{WITH_P}, accepted AS (SELECT q, t FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p DESC, q) AS k FROM ps WHERE p >= 0.6) WHERE k = 1),
@@ -133,8 +138,7 @@ def df_idf(spark, d):
 
 @query(f"""WITH {POSTS} SELECT part, max(n) AS n_docs, count(*) AS n_tokens, CAST(sum(df) AS BIGINT) AS n_postings,
   CAST(floor(round(quantile_cont(df, 0.5), 6)) AS BIGINT) AS p50, CAST(floor(round(quantile_cont(df, 0.9), 6)) AS BIGINT) AS p90, CAST(floor(round(quantile_cont(df, 0.99), 6)) AS BIGINT) AS p99,
-  CAST(floor(round(quantile_cont(df, 0.999), 6)) AS BIGINT) AS p999, max(df) AS max_df, count(*) FILTER (df > 100) AS over_100, count(*) FILTER (df > 1000) AS over_1000,
-  round(coalesce(sum(df) FILTER (df > 100), 0) / sum(df), 6) AS share_over_100, round(coalesce(sum(df) FILTER (df > 1000), 0) / sum(df), 6) AS share_over_1000 FROM vocab GROUP BY part""")
+  CAST(floor(round(quantile_cont(df, 0.999), 6)) AS BIGINT) AS p999, max(df) AS max_df, {", ".join(f"count(*) FILTER (df > {k}) AS over_{k}, round(coalesce(sum(df) FILTER (df > {k}), 0) / sum(df), 6) AS share_over_{k}" for k in tokens.TAILS)} FROM vocab GROUP BY part""")
 def df_summary(spark, d):
     return tokens.df_summary(_vocab(spark, d))
 
@@ -144,9 +148,9 @@ def top_tokens(spark, d):
     return tokens.top_tokens(_vocab(spark, d), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {POSTS} SELECT q.part, q.doc, q.token, df, idf FROM qposts q JOIN vocab USING (part, token) WHERE df <= 50")
+@query(f"WITH {POSTS} SELECT q.part, q.doc, q.token, df, idf FROM qposts q JOIN vocab USING (part, token) WHERE df <= 1000")
 def query_vocab_join(spark, d):
-    return tokens.query_postings(tokens.postings(sides(spark, d)[0], "lang", "doc_id", "txt"), _vocab(spark, d), 50)
+    return tokens.query_postings(tokens.postings(sides(spark, d)[0], "lang", "doc_id", "txt"), _vocab(spark, d), 1000)
 
 
 # ---- retrieval
@@ -162,9 +166,9 @@ def channel_key(spark, d):
 
 
 @query(f"""WITH {PAIRS}, u AS (SELECT q, t, score, 1 AS bit FROM npairs UNION ALL SELECT q, t, score, 2 FROM kpairs)
-  SELECT q, t, round(sum(score), 6) AS score, CAST(bit_or(bit) AS INTEGER) AS mask, row_number() OVER (PARTITION BY q ORDER BY round(sum(score), 6) DESC, t) - 1 AS rank FROM u GROUP BY q, t QUALIFY rank < 10""")
+  SELECT q, t, round(sum(score), 6) AS score, CAST(bit_or(bit) AS INTEGER) AS mask, row_number() OVER (PARTITION BY q ORDER BY round(sum(score), 6) DESC, t) - 1 AS rank FROM u GROUP BY q, t QUALIFY rank < 200""")
 def union_mask(spark, d):
-    return retrieve.union_candidates([name_pairs(spark, d), key_pairs(spark, d)], 10)
+    return retrieve.union_candidates([name_pairs(spark, d), key_pairs(spark, d)], 200)
 
 
 @query(f"WITH {MERGED} SELECT q, t, s_name, r_name, s_key, r_key, CAST(mask AS INTEGER) AS mask, s_sum, r_sum, n_cand, s_best, CAST(n_channels AS INTEGER) AS n_channels FROM merged")
@@ -172,9 +176,9 @@ def merge_channels(spark, d):
     return merged(spark, d)
 
 
-@query(f"WITH {MERGED} SELECT q, t, r_sum, n_cand, s_best FROM merged WHERE r_sum < 5")
+@query(f"WITH {MERGED} SELECT q, t, r_sum, n_cand, s_best FROM merged WHERE r_sum < 200")
 def cap_prefix(spark, d):
-    return retrieve.cap_merged(merged(spark, d), 5).select("q", "t", "r_sum", "n_cand", "s_best")
+    return retrieve.cap_merged(merged(spark, d), 200).select("q", "t", "r_sum", "n_cand", "s_best")
 
 
 @query(f"WITH {PAIRS} SELECT q, t FROM npairs ANTI JOIN kpairs USING (q, t)")
@@ -184,19 +188,19 @@ def extra_beyond_union(spark, d):
 
 # ---- features
 
-@query(f"""WITH {MERGED}, masses AS (SELECT doc, p.source = 'src0' AS asks, round(coalesce(sum(idf) FILTER (df <= 50), 0), 6) AS mass FROM posts p JOIN vocab v USING (part, token) GROUP BY 1, 2)
+@query(f"""WITH {MERGED}, masses AS (SELECT doc, asks, round(coalesce(sum(idf) FILTER (df <= 1000), 0), 6) AS mass FROM posts p JOIN vocab v USING (part, token) GROUP BY 1, 2)
   SELECT q, t, round(s_name / nullif(a.mass, 0), 6) AS qfrac_name, round(s_name / nullif(b.mass, 0), 6) AS tfrac_name, round(s_name / nullif(a.mass + b.mass - s_name, 0), 6) AS wjac_name
   FROM merged LEFT JOIN masses a ON a.doc = q LEFT JOIN masses b ON b.doc = t""")
 def overlap_features(spark, d):
     q, tg = sides(spark, d)
     vocab = _vocab(spark, d)
-    mass = lambda x: features.masses(tokens.postings(x, "lang", "doc_id", "txt"), vocab, 50)
+    mass = lambda x: features.masses(tokens.postings(x, "lang", "doc_id", "txt"), vocab, 1000)
     return features.overlap_features(merged(spark, d), "name", mass(q), mass(tg)).select("q", "t", "qfrac_name", "tfrac_name", "wjac_name")
 
 
-@query(f"WITH {POSTS} SELECT doc, round(coalesce(sum(idf) FILTER (df <= 50), 0), 6) AS mass, count(*) AS ntok, max(idf) AS maxidf FROM posts JOIN vocab USING (part, token) GROUP BY doc")
+@query(f"WITH {POSTS} SELECT doc, round(coalesce(sum(idf) FILTER (df <= 1000), 0), 6) AS mass, count(*) AS ntok, max(idf) AS maxidf FROM posts JOIN vocab USING (part, token) GROUP BY doc")
 def record_masses(spark, d):
-    return features.masses(tokens.postings(docs(spark, d), "lang", "doc_id", "txt"), _vocab(spark, d), 50)
+    return features.masses(tokens.postings(docs(spark, d), "lang", "doc_id", "txt"), _vocab(spark, d), 1000)
 
 
 @query(f"WITH {MERGED} SELECT q, t, round(s_sum / nullif(s_best, 0), 6) AS s_rel, round(ln(1 + n_cand), 6) AS log_n_cand FROM merged")
@@ -221,7 +225,7 @@ def rank_context(spark, d):
 
 @query(f"WITH {PAIRS}, {TRUTH} SELECT q, t, CAST((q, t) IN (SELECT (q, t) FROM truth) AS INTEGER) AS label FROM npairs")
 def pair_labels(spark, d):
-    return features.labels(name_pairs(spark, d), truth(spark, d)).select("q", "t", "label")
+    return features.labels(name_pairs(spark, d, PARITY), truth(spark, d)).select("q", "t", "label")
 
 
 # ---- decisions and metrics
@@ -280,11 +284,11 @@ def tune_threshold(spark, d):
   SELECT round(sum(n_hit) / sum(n_true), 6) AS recall_ceiling, round(avg(CASE WHEN n_true = 0 THEN 1 WHEN n_hit = 0 THEN 0 ELSE 1.25 * (n_hit / n_true) / (0.25 + n_hit / n_true) END), 6) AS oracle_f05, CAST(sum(n_cand) AS BIGINT) AS total,
   round(avg(n_cand), 6) AS mean, max(n_cand) AS max, count(*) FILTER (n_cand = 0) AS none, round(quantile_cont(n_cand, 0.5), 6) AS median, list_sort(list(n_cand))[least(count(*) - 1, CAST(floor(0.95 * count(*)) AS BIGINT)) + 1] AS p95 FROM e""")
 def candidate_diagnostics(spark, d):
-    out = metrics.candidate_diagnostics(name_pairs(spark, d), truth(spark, d), asking(spark, d))
+    out = metrics.candidate_diagnostics(name_pairs(spark, d, PARITY), truth(spark, d), asking(spark, d))
     return out
 
 
-RECALL = """ks(k) AS (VALUES (1), (5), (10), (NULL)), tr AS (SELECT q, t, rank FROM truth LEFT JOIN npairs USING (q, t)),
+RECALL = """ks(k) AS (VALUES (1), (20), (50), (100), (200), (NULL)), tr AS (SELECT q, t, rank FROM truth LEFT JOIN npairs USING (q, t)),
   e AS (SELECT ks.k, a.q, a.lang, count(tr.t) AS n_true, count(CASE WHEN tr.rank IS NOT NULL AND (ks.k IS NULL OR tr.rank < ks.k) THEN 1 END) AS n_hit FROM asking a CROSS JOIN ks LEFT JOIN tr ON tr.q = a.q GROUP BY ks.k, a.q, a.lang)"""
 RECALL_COLUMNS = """count(*) AS n_queries, CAST(sum(n_true) AS BIGINT) AS n_pairs, round(sum(n_hit) / nullif(sum(n_true), 0), 6) AS pair_recall, round(avg(n_hit / n_true) FILTER (n_true > 0), 6) AS query_recall,
   round(avg(CASE WHEN n_true = 0 THEN 1 WHEN n_hit = 0 THEN 0 ELSE 1.25 * (n_hit / n_true) / (0.25 + n_hit / n_true) END), 6) AS oracle_f05, round(avg(CAST(n_hit = n_true AS DOUBLE)) FILTER (n_true > 0), 6) AS share_all,
@@ -293,12 +297,39 @@ RECALL_COLUMNS = """count(*) AS n_queries, CAST(sum(n_true) AS BIGINT) AS n_pair
 
 @query(f"WITH {PAIRS}, {TRUTH}, {RECALL} SELECT k, {RECALL_COLUMNS} GROUP BY k")
 def recall_at_k(spark, d):
-    return metrics.recall_at(metrics.truth_ranks(name_pairs(spark, d), truth(spark, d)), asking(spark, d), [1, 5, 10, None])
+    return metrics.recall_at(metrics.truth_ranks(name_pairs(spark, d, PARITY), truth(spark, d)), asking(spark, d), [1, 20, 50, 100, 200, None])
 
 
 @query(f"WITH {PAIRS}, {TRUTH}, {RECALL} SELECT k, lang, {RECALL_COLUMNS} GROUP BY k, lang")
 def recall_by_stratum(spark, d):
-    return metrics.recall_at(metrics.truth_ranks(name_pairs(spark, d), truth(spark, d)), asking(spark, d), [1, 5, 10, None], "lang")
+    return metrics.recall_at(metrics.truth_ranks(name_pairs(spark, d, PARITY), truth(spark, d)), asking(spark, d), [1, 20, 50, 100, 200, None], "lang")
+
+
+@query(f"""WITH {PAIRS}, {TRUTH}, c AS (SELECT q, count(*) AS n FROM npairs WHERE rank < 200 GROUP BY q), n AS (SELECT coalesce(n, 0) AS n FROM asking LEFT JOIN c USING (q))
+  SELECT round(avg(n), 2) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS max,
+    CAST(sum(n) AS BIGINT) AS total, round(100 * avg(CAST(n = 0 AS DOUBLE)), 3) AS pct_zero FROM n""")
+def candidate_counts(spark, d):
+    return metrics.candidate_counts(name_pairs(spark, d, PARITY), asking(spark, d), 200)
+
+
+@query(f"""WITH {PAIRS}, {TRUTH} SELECT CASE WHEN t % 4 = 1 THEN 's2' ELSE 's3' END AS target_source, count(*) AS n_pairs, round(avg(CAST(rank IS NOT NULL AND rank < 20 AS DOUBLE)), 4) AS pair_recall FROM truth LEFT JOIN npairs USING (q, t) GROUP BY 1""")
+def pair_recall_by_source(spark, d):
+    ranks = metrics.truth_ranks(name_pairs(spark, d, PARITY), truth(spark, d)).withColumn("target_source", F.when(F.col("t") % 4 == 1, "s2").otherwise("s3"))
+    return metrics.pair_recall_by(ranks, "target_source", 20)
+
+
+@query(f"""WITH {SCORES}, w AS (SELECT 'unknown_query' AS warning, count(DISTINCT q) AS n FROM accepted WHERE q NOT IN (SELECT q FROM asking) UNION ALL SELECT 'unpredicted_query', count(*) FROM asking WHERE q NOT IN (SELECT q FROM accepted)
+    UNION ALL SELECT 'outside_candidates', count(DISTINCT q) FROM accepted ANTI JOIN kpairs USING (q, t)) SELECT warning, n FROM w WHERE n > 0""")
+def evaluation_warnings(spark, d):
+    """Accepted pairs against the candidates of one channel only."""
+    return metrics.warnings(decide.decide(with_p(spark, d), 0.6), asking(spark, d), key_pairs(spark, d, PARITY))
+
+
+@query(f"""WITH {SCORES}, k AS (SELECT * FROM e WHERE n_pred > 0) SELECT count(*) AS n, round(avg(f05), 6) AS macro_f05, CAST(sum(n_hit) AS BIGINT) AS total_hit FROM k""")
+def evaluate_predicted(spark, d):
+    """Only queries with a prediction."""
+    scores = decide.entity_scores(decide.decide(with_p(spark, d), 0.6), truth(spark, d), asking(spark, d), only_predicted=True)
+    return metrics.evaluate(scores).select("n", "macro_f05", "total_hit")
 
 
 HYBRID = f"{WITH_P}, blocks AS (SELECT q, t, p, q % 3 AS block FROM ps)"
@@ -329,6 +360,12 @@ def finalize_lists(spark, d):
     return out.select("q", F.array_join(F.col("matches").cast("array<string>"), ",").alias("ids"))
 
 
+@query(f"""WITH {SCORES}, m AS (SELECT q, count(*) AS n FROM accepted GROUP BY q), c AS (SELECT q, count(*) AS n FROM ps GROUP BY q), f AS (SELECT q, coalesce(m.n, 0) AS n, coalesce(c.n, 0) AS k FROM asking LEFT JOIN m USING (q) LEFT JOIN c USING (q))
+  SELECT count(*) AS n_queries, count(*) FILTER (n > 0) AS n_matched, count(*) FILTER (n = 0) AS n_empty, CAST(sum(n) AS BIGINT) AS n_matches, max(n) AS most_matches, CAST(sum(k) AS BIGINT) AS n_candidates, count(*) FILTER (k = 0) AS n_without_candidates FROM f""")
+def final_summary(spark, d):
+    return decide.summary(decide.finalize(with_p(spark, d), asking(spark, d), 0.6))
+
+
 # ---- splits
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderpriority AS stratum FROM orders"
@@ -361,7 +398,7 @@ def holdout_mask(spark, d):
   r AS (SELECT *, CASE WHEN label = 1 THEN 1.0 WHEN r_sum < 10 THEN 0.5 ELSE 0.25 END AS rate, CAST('0x' || substr(md5('n|' || q || ':' || t), 1, 7) AS BIGINT) / 268435456.0 AS u FROM l)
   SELECT q, t, label, round(1 / rate, 6) AS weight FROM r WHERE label = 1 OR u < rate""")
 def sample_negatives(spark, d):
-    return splits.sample_negatives(features.labels(merged(spark, d), truth(spark, d)), "n", near=10, near_rate=0.5, far_rate=0.25).select("q", "t", "label", "weight")
+    return splits.sample_negatives(features.labels(merged(spark, d, PARITY), truth(spark, d)), "n", near=10, near_rate=0.5, far_rate=0.25).select("q", "t", "label", "weight")
 
 
 @query(f"""WITH {DOCS}, {TRUTH}, n AS (SELECT q, lang, count(t) AS n_matches FROM asking LEFT JOIN truth USING (q) GROUP BY 1, 2),
@@ -465,38 +502,6 @@ def skeleton_keys(spark, d):
     return names.select("name", phonetic.skeleton_key(phonetic.skeleton_udf()("name")).alias("skeleton_key"))
 
 
-GOLD_NAMES = [
-    ("Straße", "", "strasse", "strasse", "strasse", "", "latin"), ("McDonald’s Corp.", "", "mcdonalds corp", "mcdonalds corp", "mcdonalds", "corp", "latin"),
-    ("L'Atelier d'Anna", "France", "l atelier d anna", "l atelier d anna", "l atelier d anna", "", "latin"), ("U.S.A Foods", "", "usa foods", "usa foods", "usa foods", "", "latin"),
-    ("ACME Corp., Inc.", "US", "acme corp inc", "acme corp inc", "acme", "corp inc", "latin"), ("Tech Labs (OPC) Private Limited", "India", "tech labs opc private limited", "tech labs opc private limited", "tech labs", "opc pvt ltd", "latin"),
-    ("Établissements Dëleves EURL", "France", "établissements dëleves eurl", "etablissements deleves eurl", "deleves", "ets eurl", "latin"), ("Bordeaux Club SARL", "US", "bordeaux club sarl", "bordeaux club sarl", "bordeaux club sarl", "", "latin"),
-    ("Pvt Ltd", "India", "pvt ltd", "pvt ltd", "pvt", "ltd", "latin"), ("राम मार्केटिंग प्राइवेट लिमिटेड", "India", "राम मार्केटिंग प्राइवेट लिमिटेड", "राम मार्केटिंग प्राइवेट लिमिटेड", "राम मार्केटिंग", "pvt ltd", "devanagari"),
-    ("123 456", "", "123 456", "123 456", "123 456", "", "empty"), ("royal हॉस्पिटैलिटी", "", "royal हॉस्पिटैलिटी", "royal हॉस्पिटैलिटी", "royal हॉस्पिटैलिटी", "", "mixed"), ("東京", "", "東京", "東京", "東京", "", "other"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {_values(GOLD_NAMES)}) v(raw, country, norm, fold, stripped, legal_forms, script)")
-def normalize_names(spark, d):
-    ship(spark)
-    rows = spark.createDataFrame([r[:2] for r in GOLD_NAMES], "raw string, country string")
-    return rows.withColumn("n", normalize.name_udf()("raw", "country")).select("raw", "country", "n.*")
-
-
-GOLD_ADDRESSES = [
-    ("<NULL>, <NULL>", "US", True, "", "", "", ""), ("123 Main St Ste 200, Springfield, IL 62704-1234", "US", False, "123 main street suite 200 springfield il 62704 1234", "62704", "123", "200"),
-    ("17200 Bell Rd, Surprise, AZ", "US", False, "17200 bell road surprise az", "", "17200", ""), ("G-58/1, Benson Cross Road, Bangalore", "India", False, "g 58 1 benson cross road bangalore", "", "g-58-1", ""),
-    ("Shop No. 188, 1St Floor, Powai Plaza, Mumbai 400 076", "India", False, "shop no 188 1st floor powai plaza mumbai 400 76", "400076", "", "188"),
-    ("17 BIS RUE MAURICE TERRIEN, NANTES", "France", False, "17 bis rue maurice terrien nantes", "", "17bis", ""), ("12 Harbour Rd, Oslo, 0150", "Norway", False, "12 harbour road oslo 150", "0150", "12", ""),
-]
-
-
-@query(f"SELECT * FROM (VALUES {_values(GOLD_ADDRESSES)}) v(raw, country, missing, norm, postcode, house_numbers, unit_numbers)")
-def normalize_addresses(spark, d):
-    ship(spark)
-    rows = spark.createDataFrame([r[:2] for r in GOLD_ADDRESSES], "raw string, country string")
-    return rows.withColumn("a", normalize.address_udf()("raw", "country")).select("raw", "country", "a.missing", "a.norm", "a.postcode", "a.house_numbers", "a.unit_numbers")
-
-
 def _raw_texts(spark: SparkSession, d: str) -> DataFrame:
     """(origin, id, raw, country) of every row: part, customer and supplier names, and documents with their language."""
     nation = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("country"))
@@ -549,10 +554,105 @@ def token_jaccard(spark, d):
     return _part_pairs(spark, d).withColumn("jaccard", F.round(similarity.token_jaccard(F.col("a"), F.col("b")), 6))
 
 
-@query()
+def _scores_sql(pairs: str) -> str:
+    """CTEs up to ``scores``: the scorers of all distinct (a, b) by their quadratic definitions; needs WITH RECURSIVE."""
+    words = "list_filter(string_split({}, ' '), lambda w: w <> '')"
+    return f"""ab AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''),
+  tk AS (SELECT a, b, list_sort(list_distinct({words.format("a")})) AS x, list_sort(list_distinct({words.format("b")})) AS y FROM ab),
+  ts AS (SELECT a, b, shared, oa, ob, trim(shared || ' ' || oa) AS l, trim(shared || ' ' || ob) AS r FROM (SELECT a, b, array_to_string([w for w in x if list_contains(y, w)], ' ') AS shared,
+    array_to_string([w for w in x if NOT list_contains(y, w)], ' ') AS oa, array_to_string([w for w in y if NOT list_contains(x, w)], ' ') AS ob FROM tk)),
+  srt AS (SELECT a, b, array_to_string(list_sort({words.format("a")}), ' ') AS x, array_to_string(list_sort({words.format("b")}), ' ') AS y FROM ab),
+  sl AS (SELECT a, b, CASE WHEN length(b) < length(a) THEN b ELSE a END AS s, CASE WHEN length(b) < length(a) THEN a ELSE b END AS l FROM ab),
+  win AS (SELECT DISTINCT a, b, s, substr(l, greatest(0, i - length(s)) + 1, i - greatest(0, i - length(s))) AS w FROM (SELECT *, unnest(range(1, length(l) + length(s))) AS i FROM sl)),
+  ends AS (SELECT * FROM win WHERE w <> '' AND (contains(s, substr(w, 1, 1)) OR contains(s, right(w, 1)))),
+  need AS (SELECT a AS x, b AS y FROM ab UNION SELECT x, y FROM srt UNION SELECT l, r FROM ts UNION SELECT shared, l FROM ts WHERE shared <> '' UNION SELECT shared, r FROM ts WHERE shared <> '' UNION SELECT s, w FROM ends),
+  lcs AS (SELECT x, y, 0 AS i, [0 for j in range(length(y))] AS l FROM need
+    UNION ALL SELECT x, y, i, [list_max(c[1:j]) for j in range(1, len(c) + 1)] FROM (SELECT x, y, i + 1 AS i,
+      [greatest(l[j], CASE WHEN substr(y, j, 1) = substr(x, i + 1, 1) THEN coalesce(l[j - 1], 0) + 1 ELSE 0 END) for j in range(1, length(y) + 1)] AS c FROM lcs WHERE i < length(x))),
+  rt AS (SELECT x, y, 200.0 * l[-1] / (length(x) + length(y)) AS v FROM lcs WHERE i = length(x)),
+  best AS (SELECT a, b, max(v) AS v FROM ends JOIN rt ON x = s AND y = w GROUP BY a, b),
+  scores AS (SELECT ab.a, ab.b, round(r0.v, 6) AS ratio, round(r1.v, 6) AS token_sort,
+      round(CASE WHEN shared <> '' AND (oa = '' OR ob = '') THEN 100.0 WHEN shared <> '' THEN greatest(r2.v, r3.v, r4.v) ELSE r2.v END, 6) AS token_set, round(coalesce(best.v, 0), 6) AS partial,
+      round(100 * jaro_winkler_similarity(ab.a, ab.b), 6) AS jaro_winkler
+    FROM ab JOIN rt r0 ON r0.x = ab.a AND r0.y = ab.b JOIN srt ON srt.a = ab.a AND srt.b = ab.b JOIN rt r1 ON r1.x = srt.x AND r1.y = srt.y JOIN ts ON ts.a = ab.a AND ts.b = ab.b JOIN rt r2 ON r2.x = ts.l AND r2.y = ts.r
+      LEFT JOIN rt r3 ON r3.x = shared AND r3.y = ts.l LEFT JOIN rt r4 ON r4.x = shared AND r4.y = ts.r LEFT JOIN best ON best.a = ab.a AND best.b = ab.b)"""
+
+
+@query(f"WITH RECURSIVE {_scores_sql(PART_PAIRS)} SELECT a, b, ratio, token_sort, token_set, partial, jaro_winkler FROM scores")
 def string_scores(spark, d):
-    """All six scorers; their tests hold them against quadratic definitions."""
-    return _part_pairs(spark, d).withColumns({n: F.round(similarity.scorer(n)("a", "b"), 6) for n in similarity.SCORERS})
+    return _part_pairs(spark, d).withColumns({n: F.round(similarity.scorer(n)("a", "b"), 6) for n in ("ratio", "token_sort", "token_set", "partial", "jaro_winkler")})
+
+
+@query()
+def gestalt_scores(spark, d):
+    """Ratcliff-Obershelp of the same pairs."""
+    return _part_pairs(spark, d).withColumn("gestalt", F.round(similarity.scorer("gestalt")("a", "b"), 6))
+
+
+# ---- features of both stages
+
+PART_PLAN = link.LinkPlan((retrieve.Channel("name", "name_fold"), retrieve.Channel("addr", "address_norm"), retrieve.Channel("key", "name_key", "key", None), retrieve.Channel("strip", "name_stripped")), top_k=50)
+
+
+def part_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as records: even keys ask, odd keys are targets."""
+    p = t(spark, d, "part")
+    text = lambda x: x.cast("string")
+    rows = p.select(
+        F.col("p_partkey").alias("row_idx"), F.col("p_brand").alias("country"), F.col("p_name").alias("name_fold"), F.regexp_extract("p_name", "([^ ]+)$", 1).alias("name_stripped"), normalize.sorted_key(F.col("p_name")).alias("name_key"),
+        F.lower("p_type").alias("address_norm"), text(F.col("p_size")).alias("address_numbers"), F.when(F.col("p_size") % 4 == 0, "").otherwise(text(F.col("p_size") % 2)).alias("legal_forms"), F.lit("latin").alias("name_script"),
+        (F.col("p_size") > 40).alias("address_missing"), text(F.col("p_size")).alias("house_numbers"), F.when(F.col("p_size") % 3 == 0, "").otherwise(text(F.col("p_size") % 5)).alias("unit_numbers"),
+        text(F.floor("p_retailprice")).alias("postcode"), F.when(F.col("p_partkey") % 4 == 1, 2).otherwise(3).cast("byte").alias("source"),
+    )
+    return rows.where("row_idx % 2 = 0"), rows.where("row_idx % 2 = 1")
+
+
+STAGE1 = """rec AS (SELECT p_partkey AS id, p_brand AS part, p_partkey % 2 = 0 AS asks, p_name AS name, regexp_extract(p_name, '([^ ]+)$', 1) AS strip, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS key,
+    lower(p_type) AS addr, CAST(p_size AS VARCHAR) AS house, CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size % 2 AS VARCHAR) END AS legal, CAST(p_size > 40 AS INTEGER) AS missing,
+    CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(p_size % 5 AS VARCHAR) END AS unit, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS post, CASE WHEN p_partkey % 4 = 1 THEN 2 ELSE 3 END AS source FROM part),
+  posts AS (SELECT DISTINCT ch, part, id, asks, token FROM (SELECT 'name' AS ch, part, id, asks, unnest(string_split(name, ' ')) AS token FROM rec UNION ALL SELECT 'addr', part, id, asks, unnest(string_split(addr, ' ')) FROM rec
+    UNION ALL SELECT 'key', part, id, asks, key FROM rec UNION ALL SELECT 'strip', part, id, asks, unnest(string_split(strip, ' ')) FROM rec) WHERE token <> ''),
+  sizes AS (SELECT part, count(*) AS n FROM rec WHERE NOT asks GROUP BY part),
+  vocab AS (SELECT ch, part, token, count(*) AS df, round(ln(max(n) / count(*)), 6) AS idf FROM posts JOIN sizes USING (part) WHERE NOT asks GROUP BY ch, part, token),
+  sc AS (SELECT ch, q.id AS q, t.id AS t, round(sum(idf), 6) AS score FROM posts q JOIN vocab v USING (ch, part, token) JOIN posts t USING (ch, part, token) WHERE q.asks AND NOT t.asks AND (df <= 1000 OR ch = 'key') GROUP BY ALL HAVING score > 0),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY ch, q ORDER BY score DESC, t) - 1 AS rank FROM sc),
+  m0 AS (SELECT q, t, """ + ", ".join(f"max(score) FILTER (ch = '{c}') AS s_{c}, max(rank) FILTER (ch = '{c}') AS r_{c}" for c in PART_PLAN.names) + """, round(sum(score), 6) AS s_sum, count(*) AS n_channels FROM rk GROUP BY q, t),
+  m AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s_sum DESC, t) - 1 AS r_sum, count(*) OVER (PARTITION BY q) AS n_cand, max(s_sum) OVER (PARTITION BY q) AS s_best FROM m0 QUALIFY r_sum < 1000),
+  st0 AS (SELECT id, """ + ", ".join(f"round(sum(idf) FILTER (ch = '{c}'{'' if c == 'key' else ' AND df <= 1000'}), 6) AS mass_{c}" for c in PART_PLAN.names) + """, count(*) FILTER (ch = 'name') AS name_ntok, count(*) FILTER (ch = 'addr') AS addr_ntok,
+    max(idf) FILTER (ch = 'name') AS maxidf, max(df) FILTER (ch = 'key') AS key_df FROM posts JOIN vocab USING (ch, part, token) GROUP BY id),
+  st AS (SELECT rec.*, """ + ", ".join(f"coalesce(mass_{c}, 0) AS mass_{c}" for c in PART_PLAN.names) + """, coalesce(name_ntok, 0) AS name_ntok, coalesce(addr_ntok, 0) AS addr_ntok, coalesce(maxidf, 0) AS maxidf, coalesce(key_df, 0) AS key_df FROM rec LEFT JOIN st0 USING (id)),
+  stage1 AS (SELECT m.q, m.t, """ + ", ".join(f"s_{c}, r_{c}, round(s_{c} / nullif(a.mass_{c}, 0), 6) AS qfrac_{c}, round(s_{c} / nullif(b.mass_{c}, 0), 6) AS tfrac_{c}, round(s_{c} / nullif(a.mass_{c} + b.mass_{c} - s_{c}, 0), 6) AS wjac_{c}" for c in PART_PLAN.names) + """,
+    s_sum, r_sum, round(s_sum / nullif(s_best, 0), 6) AS s_rel, round(ln(1 + n_cand), 6) AS log_n_cand, CAST(n_channels AS INTEGER) AS n_channels,
+    """ + ", ".join(f"CAST(a.{c} <> '' AND a.{c} = b.{c} AS INTEGER) AS {c}_eq, CAST(a.{c} <> '' AND b.{c} <> '' AND a.{c} <> b.{c} AS INTEGER) AS {c}_conflict" for c in ("house", "unit", "post")) + """,
+    b.source AS t_source, 2 AS country, 1 AS q_script, 1 AS t_script, a.missing AS q_addr_missing, b.missing AS t_addr_missing, a.name_ntok AS q_name_ntok, b.name_ntok AS t_name_ntok, a.addr_ntok AS q_addr_ntok, b.addr_ntok AS t_addr_ntok,
+    a.maxidf AS q_name_maxidf, a.key_df AS q_key_df, b.key_df AS t_key_df FROM m JOIN st a ON a.id = q JOIN st b ON b.id = t)"""
+
+
+@query(f"WITH {STAGE1} SELECT * FROM stage1")
+def stage1_features(spark, d):
+    """All 44 columns of the ranker."""
+    q, tg = part_records(spark, d)
+    index = link.indexes(PART_PLAN, q, tg)
+    return link.pair_features(PART_PLAN, q, tg, link.candidates(PART_PLAN, q, tg, index), index)
+
+
+TEXTS = "SELECT {0} FROM kept k JOIN rec x ON x.id = k.q JOIN rec y ON y.id = k.t"
+STAGE2 = f"""{STAGE1}, kept AS (SELECT *, s_sum AS s1_score, row_number() OVER (PARTITION BY q ORDER BY s_sum DESC, t) - 1 AS s1_rank FROM stage1 QUALIFY s1_rank < 50),
+  ctx AS (SELECT *, max(s1_score) OVER w AS s1_best, round(max(s1_score) OVER w - s1_score, 6) AS s1_gap, round(max(s1_score) OVER w - max(CASE WHEN s1_rank = 1 THEN s1_score END) OVER w, 6) AS s1_gap12, count(*) OVER w AS s1_ntop
+    FROM kept WINDOW w AS (PARTITION BY q)),
+  {_scores_sql(" UNION ".join(TEXTS.format(f"x.{c} AS a, y.{c} AS b") for c in ("name", "strip", "addr", "house")))}"""
+
+
+@query(f"""WITH RECURSIVE {STAGE2} SELECT c.* EXCLUDE (country), n.ratio AS name_ratio, n.token_set AS name_token_set, n.token_sort AS name_token_sort, n.partial AS name_partial, n.jaro_winkler AS name_jaro_winkler, s.ratio AS stripped_ratio,
+    s.token_set AS stripped_token_set, d.ratio AS addr_ratio, d.token_set AS addr_token_set, d.partial AS addr_partial, h.token_set AS addr_numbers_token_set, CASE WHEN x.legal <> '' AND y.legal <> '' THEN CAST(x.legal = y.legal AS INTEGER) END AS legal_form_equal,
+    CAST(x.strip = y.strip AS INTEGER) AS stripped_first_token_equal
+  FROM ctx c JOIN rec x ON x.id = c.q JOIN rec y ON y.id = c.t JOIN scores n ON n.a = x.name AND n.b = y.name JOIN scores s ON s.a = x.strip AND s.b = y.strip JOIN scores d ON d.a = x.addr AND d.b = y.addr JOIN scores h ON h.a = x.house AND h.b = y.house""")
+def stage2_features(spark, d):
+    """All 62 columns of the matcher; the union score stands for the ranker's margin."""
+    q, tg = part_records(spark, d)
+    scored = stage1_features(spark, d).withColumn("s1_score", F.col("s_sum"))
+    out = link.stage2_features(PART_PLAN, q, tg, scored).select("q", "t", *features.stage2_names(PART_PLAN.names))
+    return out.withColumns({n: F.round(n, 6) for n, _, _ in features.STRING_FEATURES})
 
 
 # ---- sources and sinks
@@ -612,12 +712,16 @@ def pattern_shares(spark, d):
     return profile.pattern_shares(t(spark, d, "documents"), "text", "lang")
 
 
-@query("""WITH w AS (SELECT list_last(regexp_extract_all(lower(p_type || ' ' || split_part('inc co ltd', ' ', 1 + p_size % 4)), '([a-z0-9]+|&)', 1)) AS word FROM part)
-  SELECT word, round(count(*) / (SELECT count(*) FROM w), 6) AS share FROM w WHERE word IN ('inc', 'co', 'ltd') GROUP BY word""")
+#: The profile's tokens of a column, in SQL.
+TOKENS = "regexp_extract_all(strip_accents(lower({})), '([a-z0-9]+|&)', 1)"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS.format("text || ' ' || split_part('Inc Co Ltd Société', ' ', CAST(1 + doc_id % 5 AS INTEGER))")}) AS word FROM documents)
+  SELECT word, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM w WHERE word IN ({", ".join(map(repr, profile.LEGAL_WORDS))}) GROUP BY word ORDER BY share DESC, word LIMIT 12""")
 def legal_word_shares(spark, d):
-    """Part types with a legal word added to most."""
-    p = t(spark, d, "part").select(F.concat_ws(" ", "p_type", F.split_part(F.lit("inc co ltd"), F.lit(" "), 1 + F.col("p_size") % 4)).alias("x"))
-    return profile.legal_word_shares(p, "x")
+    """Texts with a legal word added to most."""
+    added = F.split_part(F.lit("Inc Co Ltd Société"), F.lit(" "), (1 + F.col("doc_id") % 5).cast("int"))
+    return profile.legal_word_shares(t(spark, d, "documents").select(F.concat_ws(" ", "text", added).alias("x")), "x")
 
 
 NEAREST = "list_sort(list(v))[least(count(*) - 1, CAST(floor({} * count(*)) AS BIGINT)) + 1] AS {}"
@@ -669,15 +773,23 @@ def source_mix(spark, d):
     return profile.source_mix(truth(spark, d).join(src, "t"))
 
 
-NOISE = f"""SELECT a, b, a = b AS exact, lower(a) = lower(b) AS same_letters, array_to_string(ta, ' ') = array_to_string(tb, ' ') AS same_squashed, list_sort(list_distinct(ta)) = list_sort(list_distinct(tb)) AS same_tokens,
+def _first_postcode(column: str) -> str:
+    return f"nullif(substr(replace(regexp_extract({column}, '{profile.POSTCODE}', 2), ' ', ''), 1, 5), '')"
+
+
+NOISE = f"""WITH {PAIRS}, {TRUTH}, ab AS (SELECT k.q, k.t, x.text AS a, y.text AS b FROM kpairs k JOIN documents x ON x.doc_id = q JOIN documents y ON y.doc_id = t),
+  w AS (SELECT *, {TOKENS.format("a")} AS ta, {TOKENS.format("b")} AS tb, {_first_postcode("a")} AS pa, {_first_postcode("b")} AS pb FROM ab)
+  SELECT q, t, a = b AS exact, lower(a) = lower(b) AS same_letters, array_to_string(ta, ' ') = array_to_string(tb, ' ') AS same_squashed, list_sort(list_distinct(ta)) = list_sort(list_distinct(tb)) AS same_tokens,
   a <> b AND lower(a) = lower(b) AS case_only, array_to_string(ta, ' ') = array_to_string(tb, ' ') AND lower(a) <> lower(b) AS punctuation_only, len(list_intersect(ta, tb)) > 0 AS share_token, coalesce(ta[1] = tb[1], false) AS share_first,
-  false AS postcode_both, false AS postcode_equal, CASE WHEN len(ta) + len(tb) = 0 THEN 1 ELSE round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) END AS jaccard
-  FROM (SELECT a, b, regexp_extract_all(lower(a), '([a-z0-9]+|&)', 1) AS ta, regexp_extract_all(lower(b), '([a-z0-9]+|&)', 1) AS tb FROM ({PART_PAIRS}))"""
+  pa IS NOT NULL AND pb IS NOT NULL AS postcode_both, coalesce(pa = pb, false) AS postcode_equal, CASE WHEN len(ta) + len(tb) = 0 THEN 1 ELSE round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) END AS jaccard FROM w"""
 
 
 @query(NOISE)
 def pair_noise(spark, d):
-    return profile.pair_noise(_part_pairs(spark, d), "a", "b").drop("gestalt")
+    """Of documents with equal sorted tokens; the quadratic text ratio is left to ``string_scores``."""
+    text = lambda p, c: t(spark, d, "documents").select(F.col("doc_id").alias(p), F.col("text").alias(c))
+    pairs = key_pairs(spark, d, PARITY).select("q", "t").join(text("q", "a"), "q").join(text("t", "b"), "t")
+    return profile.pair_noise(pairs, "a", "b").drop("gestalt", "a", "b")
 
 
 @query(f"""SELECT count(*) AS n, round(avg(CAST(exact AS DOUBLE)), 6) AS exact_share, round(avg(jaccard), 6) AS jaccard_mean, round(avg(CAST(jaccard >= 0.9 AS DOUBLE)), 6) AS jaccard_high,
@@ -686,7 +798,7 @@ def summarize_pairs(spark, d):
     return profile.summarize_pairs(pair_noise(spark, d), ["exact"], ["jaccard"])
 
 
-@query(f"""WITH f(short, long) AS (VALUES {_values(list(profile.ADDRESS_FORMS))}), w AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+|&)', 1)) AS w FROM documents) GROUP BY w)
+@query(f"""WITH f(short, long) AS (VALUES {_values(list(profile.ADDRESS_FORMS))}), w AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({TOKENS.format("text")}) AS w FROM documents) GROUP BY w)
   SELECT short, long, coalesce(a.n, 0) AS n_short, coalesce(b.n, 0) AS n_long FROM f LEFT JOIN w a ON a.w = short LEFT JOIN w b ON b.w = long""")
 def abbreviation_usage(spark, d):
     return profile.abbreviation_usage(t(spark, d, "documents"), "text", profile.ADDRESS_FORMS)
@@ -707,9 +819,11 @@ def only_in(spark, d):
     return profile.only_in(t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), "k")
 
 
-@query()
+@query(f"""WITH {DOCS}, {TRUTH}, tg AS (SELECT doc_id AS t, row_number() OVER (ORDER BY md5('r|' || doc_id), doc_id) - 1 AS n FROM docs WHERE NOT asks),
+  dr AS (SELECT DISTINCT q, CAST('0x' || substr(md5('r|' || q || ':' || i), 1, 12) AS BIGINT) % (SELECT greatest(1, count(*)) FROM tg) AS n FROM (SELECT q, unnest([1, 2, 3]) AS i FROM asking))
+  SELECT q, t FROM dr JOIN tg USING (n) ANTI JOIN truth USING (q, t)""")
 def random_pairs(spark, d):
-    q, tg = sides(spark, d)
+    q, tg = sides(spark, d, PARITY)
     return profile.random_pairs(q.select(F.col("doc_id").alias("q")), tg.select(F.col("doc_id").alias("t")), truth(spark, d), 3, "r")
 
 
@@ -726,7 +840,7 @@ FEATURES = ["s_name", "r_name", "s_key", "s_sum", "r_sum", "n_cand", "n_channels
 
 
 def _train_rows(spark, d):
-    return features.labels(merged(spark, d), truth(spark, d))
+    return features.labels(merged(spark, d, PARITY), truth(spark, d))
 
 
 @query()
@@ -755,7 +869,7 @@ def top_overlap(spark, d):
   SELECT count(*) FILTER (c) AS n_channel, count(*) FILTER (b) AS n_base, count(*) FILTER (c AND b) AS n_both, count(*) FILTER (c AND NOT b) AS n_extra, count(*) FILTER (c AND y) AS true_channel,
     count(*) FILTER (b AND y) AS true_base, count(*) FILTER (c AND NOT b AND y) AS true_extra FROM y""")
 def compare_channel(spark, d):
-    return experiments.compare_channel(name_pairs(spark, d), key_pairs(spark, d), truth(spark, d))
+    return experiments.compare_channel(name_pairs(spark, d, PARITY), key_pairs(spark, d, PARITY), truth(spark, d))
 
 
 @query(f"""WITH {PAIRS} SELECT q, p.t, coalesce(a.df, 0) AS q_key_df, coalesce(b.df, 0) AS t_key_df FROM npairs p JOIN docs x ON x.doc_id = q JOIN docs y ON y.doc_id = p.t
@@ -765,9 +879,21 @@ def key_df(spark, d):
     return experiments.key_frequency(name_pairs(spark, d), q, tg, "lang", "doc_id", "key").select("q", "t", "q_key_df", "t_key_df")
 
 
-@query(f"WITH {PAIRS}, {TRUTH}, {RECALL}, f AS (SELECT k, {RECALL_COLUMNS} GROUP BY k) SELECT 'name' AS strategy, round(avg(oracle_f05), 6) AS mean_oracle_f05 FROM f WHERE k IN (1, 5)")
+@query(f"""WITH {PAIRS}, {TRUTH}, {RECALL}, n AS (SELECT k, {RECALL_COLUMNS} GROUP BY k), {RECALL.replace("ks(k)", "ks2(k)").replace("ks.k", "ks2.k").replace("CROSS JOIN ks ", "CROSS JOIN ks2 ").replace("tr AS", "tr2 AS").replace("npairs", "kpairs").replace("tr.", "tr2.").replace("JOIN tr ON", "JOIN tr2 ON").replace("e AS (", "e2 AS (")},
+  f AS (SELECT 'name' AS strategy, k, oracle_f05 FROM n UNION ALL SELECT 'key', k, oracle_f05 FROM (SELECT k, {RECALL_COLUMNS.replace("FROM e", "FROM e2")} GROUP BY k))
+  SELECT strategy, round(avg(oracle_f05), 6) AS mean_oracle_f05 FROM f WHERE k IN (20, 50, 100, 200) GROUP BY strategy ORDER BY mean_oracle_f05 DESC, strategy LIMIT 1""")
 def select_config(spark, d):
-    return experiments.select_config(recall_at_k(spark, d).withColumn("strategy", F.lit("name")), (1, 5), "strategy")
+    """The better of two channels."""
+    tr, q = truth(spark, d), asking(spark, d)
+    figures = lambda pairs, name: metrics.recall_at(metrics.truth_ranks(pairs, tr), q, [20, 50, 100, 200]).withColumn("strategy", F.lit(name))
+    return experiments.select_config(figures(name_pairs(spark, d, PARITY), "name").unionByName(figures(key_pairs(spark, d, PARITY), "key")), by="strategy")
+
+
+@query(f"WITH {WITH_P} SELECT count(*) AS n_both, 0::BIGINT AS n_one, round(max(abs(p - round(p * 0.9, 6))), 6) AS largest FROM ps")
+def run_difference(spark, d):
+    """A run against one whose figures are a tenth lower."""
+    p = with_p(spark, d)
+    return runs.difference(p, p.withColumn("p", F.round(F.col("p") * 0.9, 6)))
 
 
 @query("SELECT 'b' AS side, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -780,7 +906,7 @@ def reproduction_differences(spark, d):
 @query(f"WITH {MERGED}, {TRUTH} SELECT q, t, CAST((q, t) IN (SELECT (q, t) FROM truth) AS INTEGER) AS label, r_sum < 10 AS hard, 1.0::DOUBLE AS weight FROM merged")
 def training_rows(spark, d):
     """With rates of 1 every pair stays."""
-    return experiments.training_rows(merged(spark, d), truth(spark, d), "x", 10, 1.0, 1.0).select("q", "t", "label", "hard", "weight")
+    return experiments.training_rows(merged(spark, d, PARITY), truth(spark, d), "x", 10, 1.0, 1.0).select("q", "t", "label", "hard", "weight")
 
 
 @query("SELECT o_orderkey AS q FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ORDER BY md5('u|' || o_orderkey), o_orderkey LIMIT 50")

@@ -56,7 +56,7 @@ class Config:
 def code_fingerprint() -> str:
     """Of the normaliser's modules: a cache made by other code is stale."""
     folder = Path(__file__).resolve().parent.parent / "functions"
-    return hashlib.sha256(b"".join((folder / f).read_bytes() for f in ("normalize.py", "rules.py"))).hexdigest()
+    return hashlib.sha256(b"".join((folder / f).read_bytes() for f in ("normalize.py", "addresses.py", "rules.py"))).hexdigest()
 
 
 def source_table(spark: SparkSession, config: Config, split: str, n: int) -> DataFrame:
@@ -66,17 +66,15 @@ def source_table(spark: SparkSession, config: Config, split: str, n: int) -> Dat
 
 
 def normalized_table(spark: SparkSession, config: Config, split: str, n: int) -> DataFrame:
-    """A normalised source through its cache; raises if rows were lost."""
+    """A normalised source through its cache; a table that lost rows never becomes the cache."""
     path = f"{config.data_dir}/{split}/{split}_source{n}.tsv"
-    cache = f"{config.work_dir}/norm/{split}{n}"
+    raw = lambda: source_table(spark, config, split, n)
 
-    def load() -> DataFrame:
-        return normalize_records(source_table(spark, config, split, n))
+    def check(out: DataFrame) -> None:
+        if out.count() != raw().count():
+            raise RuntimeError("the normalised table has not the rows of its source")
 
-    out = records.build_cache(spark, path, cache, code_fingerprint(), load)
-    if out.count() != source_table(spark, config, split, n).count():
-        raise RuntimeError("the normalised table has not the rows of its source")
-    return out
+    return records.build_cache(spark, path, f"{config.work_dir}/norm/{split}{n}", code_fingerprint(), lambda: normalize_records(raw()), check=check)
 
 
 def truth_tables(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,20 +85,35 @@ def stamp(spark: SparkSession, path: str) -> list[int]:
 
 def is_fresh(spark: SparkSession, source: str, cache: str, version: str) -> bool:
     """The cache is whole and was made of this source by this version."""
-    fs, p = _fs(spark, f"{cache}/_manifest")
-    if not fs.exists(p):
+    fs, manifest = _fs(spark, f"{cache}/_manifest")
+    if not fs.exists(manifest) or not fs.exists(_fs(spark, f"{cache}/data/_SUCCESS")[1]):
         return False
     about = json.loads(spark.read.text(f"{cache}/_manifest").first()[0])
     return about == {"stamp": stamp(spark, source), "version": version}
 
 
-def build_cache(spark: SparkSession, source: str, cache: str, version: str, load: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The cached table, built anew if the source, the version or the cache changed; refuses a source that changes meanwhile."""
+def build_cache(spark: SparkSession, source: str, cache: str, version: str, load: Callable[[], DataFrame], force: bool = False, check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The cached table, built anew if the source, the version or the cache changed; refuses a source that changes meanwhile.
+
+    The table is written aside and checked; only then the old manifest goes, the new table takes the old one's
+    place and the new manifest follows, so what has a manifest is whole.
+    """
     if force or not is_fresh(spark, source, cache, version):
         before = stamp(spark, source)
-        load().write.mode("overwrite").option("compression", "zstd").parquet(f"{cache}/data")
-        if stamp(spark, source) != before:
-            raise RuntimeError("the source changed while it was cached")
+        fs, aside = _fs(spark, f"{cache}/_aside-{uuid.uuid4().hex}")
+        try:
+            load().write.option("compression", "zstd").parquet(aside.toString())
+            if stamp(spark, source) != before:
+                raise RuntimeError("the source changed while it was cached")
+            if check:
+                check(spark.read.parquet(aside.toString()))
+            manifest, data = (_fs(spark, f"{cache}/{n}")[1] for n in ("_manifest", "data"))
+            fs.delete(manifest, True)
+            fs.delete(data, True)
+            if not fs.rename(aside, data):
+                raise RuntimeError(f"{aside} cannot take the place of {data}")
+        finally:
+            fs.delete(aside, True)
         spark.createDataFrame([(json.dumps({"stamp": before, "version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{cache}/_manifest")
     return spark.read.parquet(f"{cache}/data")
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinbridge.plans.link import LinkPlan, candidates, link, pair_features, study
+from kinbridge.plans.link import LinkPlan, candidates, link, pair_features, stage2_features, study
 from kinbridge.operators import features, models, retrieve, tokens
 from kinbridge.sources import idlists, records
 from kinbridge.streaming import incremental
@@ -84,25 +84,31 @@ def test_validate(spark):
 
 
 def records_frame(spark, rows):
-    columns = "row_idx long, country string, name_fold string, name_stripped string, name_key string, address_norm string, address_numbers string, legal_forms string"
-    return spark.createDataFrame([(i, "US", n, n, " ".join(sorted(n.split())), a, "", "") for i, n, a in rows], columns)
+    columns = "row_idx long, country string, name_fold string, name_stripped string, name_key string, address_norm string, address_numbers string, legal_forms string, name_script string, address_missing boolean, house_numbers string, unit_numbers string, postcode string, source byte"
+    return spark.createDataFrame([(i, "US", n, n, " ".join(sorted(n.split())), a, "", "", "latin", a == "", a.split(" ")[0], "", "", 2) for i, n, a in rows], columns)
 
 
 def test_link_plan_and_stream(spark, tmp_path):
     targets = records_frame(spark, [(10, "acme group", "1 main street"), (11, "acme labs", "2 main street"), (12, "zen group", "5 oak road"), (13, "zen labs group", "")])
     queries = records_frame(spark, [(0, "acme group", "1 main street"), (1, "zen labs", "9 pine")])
     name, key = retrieve.Channel("name", "name_fold", df_cap=10), retrieve.Channel("key", "name_key", "key", None)
-    plan = LinkPlan((name, key), cap=10, top_k=3, threshold=0.5)
-    pairs = pair_features(plan, queries, targets, candidates(plan, queries, targets))
+    four = (name, retrieve.Channel("addr", "address_norm"), key, retrieve.Channel("strip", "name_stripped"))
+    assert len(features.stage1_names([c.name for c in four])) == 44 and len(features.stage2_names([c.name for c in four])) == 62
+    plan = LinkPlan(four, cap=10, top_k=3, threshold=0.5)
+    pairs = pair_features(plan, queries, targets, candidates(plan, queries, targets)).persist()
+    assert pairs.columns == ["q", "t", *features.stage1_names(plan.names)]
+    row = pairs.where("q = 0 and t = 10").first()
+    assert (row["house_eq"], row["house_conflict"], row["unit_eq"], row["q_name_ntok"], row["t_key_df"], row["country"], row["q_script"], row["t_addr_missing"]) == (1, 0, 0, 2, 1, 0, 1, 0)
+    other = pairs.where("q = 0 and t = 11").first()
+    assert (other["house_eq"], other["house_conflict"], other["q_key_df"]) == (0, 1, 1) and pairs.where("q = 1").first()["q_key_df"] == 0
     truth = spark.createDataFrame([(0, 10), (1, 13)], "q long, t long")
-    f1 = ["s_sum", "s_name", "wjac_name", "n_cand"]
     labelled = features.labels(pairs, truth)
-    stage1 = models.train(labelled, f1, trees=2, depth=2)
-    f2 = [*f1, "name_ratio", "addr_ratio"]
-    stage2 = models.train(features.string_features(labelled, queries, targets), f2, trees=3, depth=2)
-    out = link(plan, queries, targets, stage1, stage2, f1, f2).collect()
+    stage1 = models.train(labelled, features.stage1_names(plan.names), trees=2, depth=2)
+    scored = models.score(stage1, labelled, features.stage1_names(plan.names), "s1_score", "_p1").persist()
+    stage2 = models.train(stage2_features(plan, queries, targets, scored), features.stage2_names(plan.names), trees=3, depth=2)
+    out = link(plan, queries, targets, stage1, stage2).collect()
     assert all(r["p"] >= 0.5 for r in out) and len({r["t"] for r in out}) == len(out)
-    assert {r["strategy"] for r in study(plan, queries, targets, truth, [1, None]).collect()} == {"name", "key", "all"}
+    assert {r["strategy"] for r in study(plan, queries, targets, truth, [1, None]).collect()} == {"name", "addr", "key", "strip", "all"}
     # the stream finds what the batch finds
     source = str(tmp_path / "in")
     queries.write.parquet(source)
