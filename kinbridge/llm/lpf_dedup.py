@@ -4,8 +4,8 @@ Super-k-mer buckets bring together all strings that could match (see ``superkmer
 buckets a suffix array by prefix doubling orders the places, the previous and next smaller places in
 suffix order give each place's earlier matches, and the longer of both is its LPF.  A place whose LPF
 reaches the window repeats an earlier one.  ``later`` removes those copies and keeps the first; ``all``
-also removes the earlier matches.  Every bucket is decided so; of equal strings the first two take part, and
-those after them go as the second does.  Suffixes are ordered by as many bytes as the window has, equal
+also removes the earlier matches.  Of equal strings the first two take part, and those after them go as the second
+does; windows of crowded buckets go by two 64-bit hashes.  Suffixes are ordered by as many bytes as the window has, equal
 ones by place: matches beyond the window's length make no difference.
 
 Null texts are empty; texts shorter than the window lose nothing; documents without an id come before the
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from kinbridge.llm.superkmers import Units, clean_texts, covered
 
 WINDOW, GRAM = 400, 64
+#: Places of a bucket that one worker solves in memory.
+HOT = 6_000
 
 
 def rank_levels(text: np.ndarray, left: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
@@ -129,7 +131,7 @@ CLEANED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row a document: its id, bytes, removed bytes and spans, and the bytes that stay, concatenated."""
 
     def clean(texts: list[bytes], runs: list) -> list[pa.Array]:

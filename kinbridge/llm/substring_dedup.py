@@ -2,7 +2,8 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a window is ``window`` consecutive words of one document.  Windows that
 share a minimiser travel as one packed string to its bucket, where sorting counts them exactly; of
-equal strings the first two travel, and those after them go as the second does (see ``superkmers``).
+equal strings the first two take part, those after them go as the second does, and windows of crowded buckets go
+by two 64-bit hashes (see ``superkmers``).
 
 Null or empty texts have no words and stay empty; texts shorter than a window lose nothing; documents
 without an id come before the ids from 0 on, and equal texts without ids are documents of their own; repeated
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from kinbridge.llm.superkmers import Units, clean_texts, covered
 
 WINDOW, GRAM = 20, 5
+#: Places of a bucket that one worker sorts in memory.
+HOT = 16_000
 
 
 def sorted_windows(window: int):
@@ -47,7 +50,7 @@ def sorted_windows(window: int):
 CLEANED = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = 4000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, mode: str = "later", id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row a document: its id, words, removed words, and the words that stay, joined by one space."""
 
     def clean(texts: list[bytes], runs: list) -> list[pa.Array]:

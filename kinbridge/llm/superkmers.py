@@ -11,12 +11,12 @@ Equal strings count once and a second time, whatever their number:
    strings of a batch only the first two travel; whatever comes after two equals is repeated for sure.
 2. ``gather`` streams each bucket, sorted, in constant memory, and again keeps the first two places of each
    string, of the buckets that have two places or more.
-3. The strings of those places travel packed to their buckets, where the caller's ``solve`` decides each
-   of their windows.
-4. Of a bucket of over ``hot`` strings, as of a passage that many texts surround differently, each window
-   first goes through steps 1 and 2 by itself, as a bucket of its own.
+3. The string of each first place travels packed to its bucket, the second place beside it, and the caller's
+   ``solve`` decides each window of both.
+4. Of a bucket of over ``hot`` places, as of a passage that many texts surround differently, each window
+   travels by itself, as two hashes and a place, and is streamed in constant memory too.
 
-Two digests of 64 bits, the bucket's and the string's, must agree for a string to count as a third equal.
+Two digests of 64 bits, the bucket's and the string's, must agree for strings to count as equal.
 Results are runs of windows (document key d, tag, first window, count).  ``mode`` is ``later`` (every
 occurrence of a window but the first, in order of document and place) or ``all`` (every occurrence of
 a window that occurs twice or more).
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def scatter(units: Units) -> Run:
     return run
 
 
-FOUND = "rep boolean, h long, n int, d long, tag long, place long"
+FOUND = "rep boolean, second boolean, h long, sig long, n int, d long, tag long, place long"
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +230,8 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind, h, sig, d, tag, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("kind", "h", "sig", "d", "tag", "place"))
         if (done := kind == 1).any():
-            yield _table(rep=np.zeros(done.sum(), bool), h=h[done], n=np.zeros(done.sum(), np.int32), d=d[done], tag=tag[done], place=place[done])
+            none = np.zeros(done.sum(), bool)
+            yield _table(rep=none, second=none, h=h[done], sig=sig[done], n=none.astype(np.int32), d=d[done], tag=tag[done], place=place[done])
             h, sig, d, tag, place = (x[~done] for x in (h, sig, d, tag, place))
         if not len(h):
             continue
@@ -259,105 +261,133 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0] = False  # it is out already
         held = last
         if out.any():
-            yield _table(rep=rep[out], h=h[out], n=number[out].astype(np.int32), d=d[out], tag=tag[out], place=place[out])
+            yield _table(rep=rep[out], second=rank[out] == 1, h=h[out], sig=sig[out], n=number[out].astype(np.int32), d=d[out], tag=tag[out], place=place[out])
 
 
-PACKED = "h long, packed binary, d long, tag long, place long"
+#: kind 0: a place and its string (null: that of the row before); 1: a window by its hashes; 2: a run that is settled.
+PACKED = "kind byte, h long, sig long, packed binary, d long, tag long, place long"
 
 
-def _reps(batch: pa.RecordBatch, units: Units) -> Iterator[tuple]:
-    """(units of the text, d, tag, bucket hash, first window, windows) of each wanted place."""
-    for text, d, tag, reps in zip(*(batch[c].to_pylist() for c in ("text", "d", "tag", "reps")), strict=True):
-        seq = units.read(text)
-        for rep in reps:
-            place = rep["place"]
-            yield seq, d, tag, rep["h"], (place >> COUNT_BITS) & ((1 << START_BITS) - 1), place & ((1 << COUNT_BITS) - 1)
+def unpack(units: Units, most: int = 50_000) -> Run:
+    """The packed strings of the wanted places, cut out of their texts; of hot buckets each window's hashes."""
 
-
-def pack_up(units: Units) -> Run:
-    """The packed strings of the wanted places, cut out of their texts."""
+    def windows(out: list[tuple]) -> pa.RecordBatch:
+        h, sig, d, tag, start = zip(*out, strict=True)
+        found = combined(np.array(h, np.uint64), np.array(sig, np.uint64), np.array(d, np.int64), np.array(tag, np.int64), place_of(np.array(start, np.int64), 1))
+        kind = pc.add(found["kind"], pa.scalar(1, pa.int8()))
+        return pa.RecordBatch.from_arrays([kind, found["h"], found["sig"], pa.nulls(found.num_rows, pa.binary()), found["d"], found["tag"], found["place"]], names=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        single: list[tuple] = []
         for batch in small_batches(batches):
             out: list[tuple] = []
             size = 0
-            for seq, d, tag, h, start, count in _reps(batch, units):
-                out.append((h, units.pack(seq[start : start + count + units.window - 1]), d, tag, (start << COUNT_BITS) | count))
-                size += len(out[-1][1])
-                if size > 2 * BATCH_BYTES:
-                    yield _packed(out)
-                    out, size = [], 0
+            for text, d, tag, reps in zip(*(batch[c].to_pylist() for c in ("text", "d", "tag", "reps")), strict=True):
+                seq = units.read(text)
+                for rep in reps:
+                    place = rep["place"]
+                    start, count = (place >> COUNT_BITS) & ((1 << START_BITS) - 1), place & ((1 << COUNT_BITS) - 1)
+                    if rep["hot"]:
+                        for at in range(start, start + count):
+                            window = units.pack(seq[at : at + units.window])
+                            single.append((digest(window), digest(window, 1), d, tag, at))
+                        continue
+                    out.append((0, rep["h"], rep["sig"], units.pack(seq[start : start + count + units.window - 1]), d, tag, place))
+                    size += len(out[-1][3])
+                    if size > 2 * BATCH_BYTES:
+                        yield _packed(out)
+                        out, size = [], 0
+                if len(single) > most:
+                    yield windows(single)
+                    single = []
             if out:
                 yield _packed(out)
+        if single:
+            yield windows(single)
 
     return run
 
 
-def single_windows(units: Units, most: int = 50_000) -> Run:
-    """Each window of the wanted places as a bucket of its own, named by its hash."""
+_PACKED = ["kind", "h", "sig", "packed", "d", "tag", "place"]
 
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        h, sig, d, tag, start = zip(*out, strict=True)
-        return combined(np.array(h, np.uint64), np.array(sig, np.uint64), np.array(d, np.int64), np.array(tag, np.int64), place_of(np.array(start, np.int64), 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        out: list[tuple] = []
-        for batch in small_batches(batches):
-            for seq, d, tag, _, start, count in _reps(batch, units):
-                for at in range(start, start + count):
-                    window = units.pack(seq[at : at + units.window])
-                    out.append((digest(window), digest(window, 1), d, tag, at))
-                if len(out) > most:
-                    yield rows(out)
-                    out = []
-        if out:
-            yield rows(out)
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_PACKED)
 
-    return run
 
+def repeated(mode: str) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+    """Of single windows, batch by batch in order of hashes and place, those that the mode asks for."""
+    last: tuple | None = None  # the last row, and whether it is out
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    h, packed, d, tag, place = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(packed, pa.binary()), pa.array(d, pa.int64()), pa.array(tag, pa.int64()), pa.array(place, pa.int64())], names=["h", "packed", "d", "tag", "place"])
+    def take(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        nonlocal last
+        h, sig, d, tag, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("h", "sig", "d", "tag", "place"))
+        if last is not None:
+            h, sig, d, tag, place = (np.concatenate([[v], x]) for v, x in zip(last[0], (h, sig, d, tag, place), strict=True))
+        fresh = np.ones(len(h), bool)  # the same document listed twice
+        fresh[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
+        h, sig, d, tag, place = (x[fresh] for x in (h, sig, d, tag, place))
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (sig[1:] == sig[:-1])
+        out = again.copy()
+        if mode == "all":
+            out[:-1] |= again[1:]
+        if last is not None and last[1]:
+            out[0] = False
+        last = (h[-1], sig[-1], d[-1], tag[-1], place[-1]), bool(out[-1]) or (last is not None and len(h) == 1 and last[1])
+        return _table(d=d[out], tag=tag[out], place=place[out]) if out.any() else None
+
+    return take
 
 
 Solve = Callable[[list[bytes], str], tuple[np.ndarray, np.ndarray]]
 
 
 def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES // 4) -> Run:
-    """Runs of windows that ``solve`` finds among the strings of whole buckets.
+    """Runs of windows that ``solve`` finds among the strings of whole buckets, and of windows that travelled alone.
 
     solve(strings, mode) gets strings in order of bucket, document and place and returns (string,
     window) pairs, ascending.
     """
 
     def answer(rows: list[tuple]) -> pa.RecordBatch | None:
-        string, window = solve([r[1] for r in rows], mode)
+        rows.sort(key=lambda r: (r[0], r[3], r[4], r[5]))
+        string, window = solve([r[2] for r in rows], mode)
         if not len(string):
             return None
         first = np.ones(len(string), bool)
         first[1:] = (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1)
         at = np.flatnonzero(first)
         count = np.diff(np.append(at, len(string)))
-        place = np.array([r[4] for r in rows], np.int64)[string[at]]
-        return _table(d=np.array([r[2] for r in rows], np.int64)[string[at]], tag=np.array([r[3] for r in rows], np.int64)[string[at]], place=((place >> COUNT_BITS) + window[at] << COUNT_BITS) | count)
+        d, tag, place = (np.array([r[k] for r in rows], np.int64)[string[at]] for k in (3, 4, 5))
+        return _table(d=d, tag=tag, place=((place >> COUNT_BITS) + window[at] << COUNT_BITS) | count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last, seen = 0, None, None
+        rows: list[tuple] = []  # h, sig, string, d, tag, place
+        size, seen, alone = 0, None, repeated(mode)
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("h", "packed", "d", "tag", "place")), strict=True):
-                if (row[0], *row[2:]) == seen:  # the same document listed twice
+            kind = batch["kind"].to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(kind, [0, 1, 2], side="right")  # kinds are in order
+            for h, sig, packed, d, tag, place in zip(*(batch[c].slice(0, ends[0]).to_pylist() for c in _PACKED[1:]), strict=True):
+                if (h, sig, d, tag, place) == seen:  # the same document listed twice
                     continue
-                seen = (row[0], *row[2:])
-                if size > chunk and row[0] != last:
+                if packed is None:
+                    if not rows or rows[-1][:2] != (h, sig):
+                        raise RuntimeError("a second place without its first")
+                    packed = rows[-1][2]
+                elif size > chunk and h != rows[-1][0]:
                     if (out := answer(rows)) is not None:
                         yield out
                     rows, size = [], 0
-                rows.append(row)
-                size += len(row[1])
-                last = row[0]
+                seen = (h, sig, d, tag, place)
+                rows.append((h, sig, packed, d, tag, place))
+                size += len(packed)
+            if ends[1] > ends[0] and (out := alone(batch.slice(ends[0], ends[1] - ends[0]))) is not None:
+                yield out
+            if ends[2] > ends[1]:
+                yield batch.slice(ends[1]).select(["d", "tag", "place"])
         if rows and (out := answer(rows)) is not None:
             yield out
 
@@ -368,31 +398,28 @@ def settle(units: Units, mode: str, solve: Solve, chunk: int = 3 * BATCH_BYTES /
 MARKED = 256
 
 
-def find_runs(texts: DataFrame, units: Units, mode: str, solve: Solve, hot: int = 4000) -> DataFrame:
+def find_runs(texts: DataFrame, units: Units, mode: str, solve: Solve, hot: int) -> DataFrame:
     """Rows (d, tag, runs: array of (start, count)), one for each document with a run; texts has d, tag, text."""
     if units.span >> COUNT_BITS:
         raise ValueError(f"a super-k-mer may hold {units.span} windows, over {(1 << COUNT_BITS) - 1}: choose longer k-grams")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def found_in(rows: DataFrame, name: str) -> DataFrame:
-        return cut(rows.repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "tag", "place").mapInArrow(gather, FOUND), f"{units.kind}-{name}", ["rep"])
-
-    def with_texts(reps: DataFrame) -> DataFrame:
-        wanted = reps.groupBy("d", "tag").agg(F.collect_list(F.struct("place", "h")).alias("reps"))
-        return texts.join(wanted, ["d", "tag"]).select("d", "tag", "text", "reps")
-
-    found = found_in(texts.select("d", "tag", "text").mapInArrow(scatter(units), ROWS), "found")
+    rows = texts.select("d", "tag", "text").mapInArrow(scatter(units), ROWS)
+    found = rows.repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "tag", "place").mapInArrow(gather, FOUND)
+    found = cut(found, f"{units.kind}-found", ["rep"])
     settled, reps = found.where("not rep"), found.where("rep")
     crowded = reps.where(F.col("n") == hot).select("h")
-    if not crowded.isEmpty():
+    if crowded.isEmpty():
+        reps = reps.withColumn("hot", F.lit(False))
+    else:
         # what comes after the hot-th is hot for sure; the others of its bucket are told in groups, so no key is heavy
         groups = crowded.select("h", F.explode(F.sequence(F.lit(0), F.lit((hot - 1) // MARKED))).alias("g"), F.lit(True).alias("hot"))
-        told = reps.where(F.col("n") < hot).withColumn("g", F.floor(F.col("n") / MARKED).cast("int")).join(groups, ["h", "g"], "left")
-        heavy = told.where("hot").select(*reps.columns).unionByName(reps.where(F.col("n") >= hot))
-        windows = found_in(with_texts(heavy).mapInArrow(single_windows(units), ROWS), "windows")
-        settled = settled.unionByName(windows.where("not rep"))
-        reps = told.where("hot is null").select(*reps.columns).unionByName(windows.where("rep"))
-    packed = with_texts(reps).mapInArrow(pack_up(units), PACKED).repartition(parts, "h").sortWithinPartitions("h", "d", "tag", "place")
+        told = reps.where(F.col("n") < hot).withColumn("g", F.floor(F.col("n") / MARKED).cast("int")).join(groups, ["h", "g"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        reps = told.drop("g").unionByName(reps.where(F.col("n") >= hot).withColumn("hot", F.lit(True)))
+    wanted = reps.where("hot or not second").groupBy("d", "tag").agg(F.collect_list(F.struct("place", "h", "sig", "hot")).alias("reps"))
+    packed = texts.join(wanted, ["d", "tag"]).select("d", "tag", "text", "reps").mapInArrow(unpack(units), PACKED)
+    beside = reps.where("second and not hot").select(F.lit(0).cast("byte").alias("kind"), "h", "sig", F.lit(None).cast("binary").alias("packed"), "d", "tag", "place")
+    packed = packed.unionByName(beside).repartition(parts, "h").sortWithinPartitions("kind", "h", "sig", "d", "tag", "place")
     solved = cut(packed.mapInArrow(settle(units, mode, solve), RUNS), f"{units.kind}-runs")
     both = settled.select("d", "tag", "place").unionByName(solved)
     start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))

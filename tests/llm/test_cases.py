@@ -42,8 +42,25 @@ def test_gather_whatever_the_batches():
             at += len(part)
             h, sig, d, tag, place = (np.array(x, np.int64) for x in zip(*part, strict=True))
             batches.append(superkmers._table(kind=np.zeros(len(part), np.int8), h=h, sig=sig, d=d, tag=tag, place=place))
-        got = [tuple(r.values()) for out in superkmers.gather(iter(batches)) for r in out.to_pylist()]
-        assert sorted((a, b, c if a else 0, *rest) for a, b, c, *rest in got) == plain_gather(rows)
+        got = [r for out in superkmers.gather(iter(batches)) for r in out.to_pylist()]
+        assert sorted((r["rep"], r["h"], r["n"] if r["rep"] else 0, r["d"], r["tag"], r["place"]) for r in got) == plain_gather(rows)
+        assert all(r["second"] == (sum(x[:2] == (r["h"], r["sig"]) and x[2:] < (r["d"], r["tag"], r["place"]) for x in rows) == 1) for r in got)
+
+
+@pytest.mark.parametrize("mode", ["later", "all"])
+def test_windows_that_travel_alone_whatever_the_batches(mode):
+    for seed in range(200):
+        rng = random.Random(seed)
+        rows = sorted({(rng.randrange(3), rng.randrange(3), rng.randrange(9), 0, rng.randrange(3)) for _ in range(rng.randrange(1, 30))})
+        listed, alone, got, at = sorted(rows + [r for r in rows if rng.random() < 0.2]), superkmers.repeated(mode), [], 0
+        while at < len(listed):
+            part = listed[at : at + rng.randrange(1, 6)]
+            at += len(part)
+            h, sig, d, tag, place = (np.array(x, np.int64) for x in zip(*part, strict=True))
+            out = alone(superkmers._table(h=h, sig=sig, d=d, tag=tag, place=place))
+            got += [tuple(r.values()) for r in out.to_pylist()] if out else []
+        groups = [list(g) for _, g in itertools.groupby(rows, key=lambda r: r[:2])]
+        assert sorted(got) == sorted(r[2:] for g in groups for r in (g[1:] if mode == "later" else g if len(g) > 1 else []))
 
 
 def test_batches_keep_two_of_each_string():
