@@ -31,7 +31,8 @@ HOT = 6_000
 def rank_levels(text: np.ndarray, left: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
     """(length, rank of each place's prefix of that length), by doubling; -1 where the string ends before.
 
-    left: the bytes from each place to its string's end.  The last length is ``most``.
+    left: the bytes from each place to its string's end.  The last length is ``most``.  Where ranks are small three of
+    them make a key, so that the length triples.
     """
     n = len(text)
     levels: list[tuple[int, np.ndarray]] = []
@@ -50,9 +51,13 @@ def rank_levels(text: np.ndarray, left: np.ndarray, most: int) -> list[tuple[int
         levels.append((size, rank))
         if size == most:
             return levels
-        longer = min(2 * size, most)
+        several = 3 if n < 1 << 21 and 2 * size < most else 2
+        longer = min(several * size, most)
         at = np.flatnonzero(left >= longer)
-        key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + longer - size].astype(np.uint64)
+        bits = np.uint64(64 // several)
+        key = rank[at].astype(np.uint64)
+        for k in range(1, several):
+            key = (key << bits) | rank[at + (longer - size if k == several - 1 else size)].astype(np.uint64)
         size = longer
 
 
@@ -90,32 +95,39 @@ def common_length(a: np.ndarray, b: np.ndarray, left: np.ndarray, levels: list[t
     return total
 
 
-def longest_previous_factors(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, LPF, its earlier match or -1, LPF of every place) of concatenated strings; LPFs count up to ``most``.
+def longest_previous_factors(strings: list[bytes], most: int, lengths: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, LPF, its earlier match or -1, end of every string) of concatenated strings; LPFs count up to ``most``.
 
-    Below ``most`` a figure is a lower bound in steps of eight bytes.  Matches never leave a string.
+    Below ``most`` a figure is a lower bound in steps of eight bytes, or 0 without ``lengths``.  Matches never
+    leave a string.  Equal strings have equal ranks, so ranks are made of each string once.
     """
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.array([len(s) for s in strings], np.int64)
-    ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(text))
+    once: dict[bytes, int] = {}
+    own = np.array([once.setdefault(s, len(once)) for s in strings], np.int64)
+    text = np.frombuffer(b"".join(once), np.uint8)
+    sizes = np.array([len(s) for s in once], np.int64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
     levels = rank_levels(text, left, most)
-    rank = levels[-1][1]
+    # the places of all strings, copies too, and where their bytes are in the text of distinct strings
+    all_sizes = sizes[own]
+    ends = np.cumsum(all_sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[own] - (ends - all_sizes), all_sizes)
+    rank = levels[-1][1][at]
     places = np.flatnonzero(rank >= 0)
     suffixes = places[np.argsort(rank[places], kind="stable")]  # ties stay in order of place
     lpf, source = np.zeros(len(suffixes), np.int64), np.full(len(suffixes), -1, np.int64)
     n = len(suffixes)
     for near in (smaller_before(suffixes), n - 1 - smaller_before(suffixes[::-1])[::-1]):
         has = np.flatnonzero((near >= 0) & (near < n))
-        shared = common_length(suffixes[has], suffixes[near[has]], left, levels)
+        a, b = suffixes[has], suffixes[near[has]]
+        shared = common_length(at[a], at[b], left, levels) if lengths else np.where(rank[a] == rank[b], most, 0)
         better = shared > lpf[has]
-        lpf[has[better]], source[has[better]] = shared[better], suffixes[near[has[better]]]
+        lpf[has[better]], source[has[better]] = shared[better], b[better]
     return suffixes, lpf, source, ends
 
 
 def lpf_windows(window: int):
     def solve(strings: list[bytes], mode: str) -> tuple[np.ndarray, np.ndarray]:
-        place, lpf, source, ends = longest_previous_factors(strings, window)
+        place, lpf, source, ends = longest_previous_factors(strings, window, lengths=False)
         hit = lpf >= window
         found = place[hit]
         if mode == "all":
