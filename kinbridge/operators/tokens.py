@@ -54,3 +54,9 @@ def top_tokens(vocab: DataFrame, k: int) -> DataFrame:
     """The k most frequent tokens of each partition; ties by token."""
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("df"), "token"))
     return vocab.withColumn("rank", rank).where(F.col("rank") <= k).select("part", "token", "df", "rank")
+
+
+def index_size(posts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(part, n_tokens, n_postings, token_bytes): what an index holds; a posting is a document number, a token is stored once."""
+    words = vocab.groupBy("part").agg(F.count("*").alias("n_tokens"), F.sum(F.octet_length("token").cast("long")).alias("token_bytes"))
+    return words.join(posts.groupBy("part").agg(F.count("*").alias("n_postings")), "part").select("part", "n_tokens", "n_postings", "token_bytes")

@@ -143,6 +143,13 @@ def df_summary(spark, d):
     return tokens.df_summary(_vocab(spark, d))
 
 
+@query(f"WITH {POSTS} SELECT part, count(*) AS n_tokens, CAST(sum(df) AS BIGINT) AS n_postings, CAST(sum(strlen(token)) AS BIGINT) AS token_bytes FROM vocab GROUP BY part")
+def index_size(spark, d):
+    tg = sides(spark, d)[1]
+    posts = tokens.postings(tg, "lang", "doc_id", "txt")
+    return tokens.index_size(posts, tokens.vocabulary(posts, tg, "lang"))
+
+
 @query(f"WITH {POSTS} SELECT part, token, df, row_number() OVER (PARTITION BY part ORDER BY df DESC, token) AS rank FROM vocab QUALIFY rank <= 20")
 def top_tokens(spark, d):
     return tokens.top_tokens(_vocab(spark, d), 20).withColumn("rank", F.col("rank").cast("long"))

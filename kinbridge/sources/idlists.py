@@ -32,6 +32,24 @@ def read_id_lists(spark: SparkSession, path: str, header: tuple[str, str]) -> Da
     return rows.select("id").distinct().join(items, "id", "left").select("id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
 
+def repairs(lines: DataFrame, header: tuple[str, str]) -> DataFrame:
+    """(warning, n) of what ``read_id_lists`` forgives in lines (column value): only warnings with a count.
+
+    no_tab: lines without a tab, read as empty lists; repeated_row: ids of several lines, which are merged;
+    repeated_id: ids that a list holds more than once.
+    """
+    line = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\r$", "")
+    body = lines.select(line.alias("line")).where((F.trim("line") != "") & (F.col("line") != "\t".join(header)))
+    parts = F.split("line", "\t", 2)
+    plain = lambda c: F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit("")))
+    items = F.filter(F.transform(F.split(plain(F.get(parts, F.lit(1))), ","), lambda x: F.trim(x)), lambda x: x != "")
+    rows = body.select(plain(F.get(parts, F.lit(0))).alias("id"), (F.size(parts) == 1).alias("bare"), (F.size(items) - F.size(F.array_distinct(items))).alias("again"))
+    once = rows.agg(F.sum(F.col("bare").cast("long")).alias("no_tab"), F.sum((F.col("again") > 0).cast("long")).alias("repeated_id"))
+    merged = rows.groupBy("id").agg(F.count("*").alias("k")).agg(F.sum((F.col("k") > 1).cast("long")).alias("repeated_row"))
+    both = once.crossJoin(merged)  # one row each
+    return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("warning"), F.col(c).alias("n")) for c in ("no_tab", "repeated_id", "repeated_row")])).alias("w")).select("w.*").where("n > 0")
+
+
 def validate(lines: DataFrame, entities: DataFrame, header: tuple[str, str], known: DataFrame | None = None, prefixes: tuple[str, ...] = ("S2-", "S3-")) -> DataFrame:
     """(rule, n, examples): what is wrong in the lines (column value) of a result file; up to five examples.
 

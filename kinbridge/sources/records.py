@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +21,21 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_tsv_tolerant(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Short rows are padded; width tells each row's own number of fields."""
-    lines = spark.read.text(path).where(F.col("value") != "\t".join(columns))
+    """Short rows are padded; width tells each row's own number of fields; only a file's first line is its header."""
+    whole_lines = {"sep": "\u0001", "header": True, "quote": "", "escape": "", "emptyValue": "", "nullValue": "\u0000", "enforceSchema": True}
+    lines = spark.read.schema("value string").options(**whole_lines).csv(path)
     parts = F.split(F.regexp_replace("value", r"\r$", ""), "\t", -1)
     return lines.select(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)], F.size(parts).alias("width"))
 
 
+def chunks(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+    """The rows in ranges of a numeric key, each a filter that reaches the scan; ranges without rows come too."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is not None:
+        for at in range(low, high + 1, size):
+            yield rows.where(F.col(key).between(at, min(high, at + size - 1)))
+
+
 def with_source(records: DataFrame, source: int) -> DataFrame:
     """Adds source; raises on an id without the source's prefix."""
     ok = F.startswith(F.col("entity_id"), F.lit(f"S{source}-"))

@@ -163,3 +163,19 @@ def test_experiments(spark):
     assert '"q": 1' in experiments.report(a)
     folded = spark.createDataFrame([("Éﬁ",)], "x string")
     assert folded.select(profile.compatible_fold()("x")).first()[0] == "efi"
+
+
+def test_only_the_first_line_is_a_header(spark, tmp_path):
+    path = write(tmp_path / "p.tsv", "a\tb\n1\t2\na\tb\n3\n")
+    assert sorted(tuple(r) for r in records.read_tsv_tolerant(spark, path, ["a", "b"]).collect()) == [("1", "2", 2), ("3", "", 1), ("a", "b", 2)]
+
+
+def test_repairs_are_told(spark):
+    lines = ["﻿id\tids", "S1-1\tS2-1, S2-1", "S1-1\tS2-2\r", "S1-2", '"S1-3"\t', ""]
+    found = {r["warning"]: r["n"] for r in idlists.repairs(spark.createDataFrame([(x,) for x in lines], "value string"), ("id", "ids")).collect()}
+    assert found == {"no_tab": 1, "repeated_id": 1, "repeated_row": 1}
+
+
+def test_chunks(spark):
+    parts = [sorted(r["id"] for r in part.collect()) for part in records.chunks(spark.range(3, 14), "id", 4)]
+    assert parts == [[3, 4, 5, 6], [7, 8, 9, 10], [11, 12, 13]] and list(records.chunks(spark.range(0), "id", 4)) == []
