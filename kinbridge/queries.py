@@ -510,6 +510,31 @@ def skeleton_keys(spark, d):
     return names.select("name", phonetic.skeleton_key(phonetic.skeleton_udf()("name")).alias("skeleton_key"))
 
 
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS n, p_partkey % 5 AS k FROM part),
+  f AS (SELECT p_partkey, CASE k WHEN 0 THEN n || ' corp inc' WHEN 1 THEN n || ' opc private limited' WHEN 2 THEN 'l étoile ' || n || ' et cie' WHEN 3 THEN 'fussball ' || n || ' usa' ELSE '' END AS norm,
+    CASE k WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN 'l etoile ' || n WHEN 3 THEN 'fussball ' || n || ' usa' ELSE '' END AS stripped, CASE k WHEN 0 THEN 'corp inc' WHEN 1 THEN 'opc pvt ltd' WHEN 2 THEN 'cie' ELSE '' END AS legal_forms, CASE WHEN k = 4 THEN 'empty' ELSE 'latin' END AS script FROM p)
+  SELECT p_partkey, norm, strip_accents(norm) AS fold, stripped, legal_forms, script FROM f""")
+def normalize_names(spark, d):
+    """All part names, dressed up as company names of four countries, or as a placeholder."""
+    dressed = F.element_at(F.array(F.concat("p_name", F.lit(" Corp., Inc.")), F.concat("p_name", F.lit(" (OPC) Private Limited")), F.concat(F.lit("L’Étoile "), "p_name", F.lit(" & Cie")), F.concat(F.lit("Fußball-"), "p_name", F.lit(" U.S.A.")), F.lit(" <NULL> ")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    country = F.element_at(F.array(*map(F.lit, ("US", "India", "France", "", "US"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return t(spark, d, "part").withColumn("n", normalize.name_udf()(dressed, country)).select("p_partkey", "n.*")
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS pk, CAST(p_size AS VARCHAR) AS sz, lpad(CAST(p_size AS VARCHAR), 3, '0') AS s3, CAST(10000 + p_partkey % 80000 AS VARCHAR) AS zip, p_partkey % 5 AS k FROM part)
+  SELECT p_partkey, k = 4 AS missing, CASE k WHEN 0 THEN sz || ' main street suite ' || pk || ' springfield il ' || zip || ' 1234' WHEN 1 THEN 'flat no ' || pk || ' lake view pune 411 ' || sz WHEN 2 THEN sz || ' ter avenue des lilas ' || zip || ' lyon'
+      WHEN 3 THEN 'plot no ' || sz || ' 7 fjord road bergen 5' || s3 ELSE '' END AS norm, CASE k WHEN 0 THEN zip WHEN 1 THEN '411' || s3 WHEN 2 THEN zip WHEN 3 THEN '5' || s3 ELSE '' END AS postcode,
+    CASE k WHEN 0 THEN sz WHEN 2 THEN sz || 'ter' WHEN 3 THEN sz || '-7' ELSE '' END AS house_numbers, CASE WHEN k IN (0, 1) THEN pk ELSE '' END AS unit_numbers FROM p""")
+def normalize_addresses(spark, d):
+    """Addresses of four countries made of every part's key and size, or nothing but placeholders."""
+    s3, code, at = F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(10000) + F.col("p_partkey") % 80000, (F.col("p_partkey") % 5 + 1).cast("int")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    size, key = F.col("p_size"), F.col("p_partkey")
+    raw = F.element_at(F.array(text(size, " Main St Ste ", key, ", Springfield, IL ", code, "-1234"), text("Flat No. ", key, ", Lake View, Pune 411 ", s3), text(size, " ter avenue des Lilas, ", code, " Lyon"), text("Plot No 00", size, "/7, Fjord Rd, Bergen, 5", s3), F.lit("<NULL>, n/a")), at)
+    country = F.element_at(F.array(*map(F.lit, ("US", "India", "France", "Norway", "US"))), at)
+    return t(spark, d, "part").withColumn("a", normalize.address_udf()(raw, country)).select("p_partkey", "a.missing", "a.norm", "a.postcode", "a.house_numbers", "a.unit_numbers")
+
+
 def _raw_texts(spark: SparkSession, d: str) -> DataFrame:
     """(origin, id, raw, country) of every row: part, customer and supplier names, and documents with their language."""
     nation = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("country"))
@@ -822,9 +847,10 @@ def duplicate_share(spark, d):
     return profile.repeated_share(t(spark, d, "documents"), F.lower(F.trim("text")))
 
 
-@query("SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT DISTINCT doc_id AS k FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 def only_in(spark, d):
-    return profile.only_in(t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+    """Labelled ids that no page has."""
+    return profile.only_in(t(spark, d, "labels").select(F.col("doc_id").alias("k")), t(spark, d, "pages").select(F.col("page_id").alias("k")), "k")
 
 
 @query(f"""WITH {DOCS}, {TRUTH}, tg AS (SELECT doc_id AS t, row_number() OVER (ORDER BY md5('r|' || doc_id), doc_id) - 1 AS n FROM docs WHERE NOT asks),
