@@ -142,8 +142,8 @@ def write_checkpoint(rows: DataFrame, path: str, block: str) -> None:
 
 def pending_blocks(plan: DataFrame, spark: SparkSession, path: str, block: str) -> DataFrame:
     """The rows of a plan whose blocks have no checkpoint yet."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
+    fs, blocks = _fs(spark, f"{path}/{block}=*")
+    if not fs.globStatus(blocks):
         return plan
     done = spark.read.parquet(path).select(F.col(block).cast(plan.schema[block].dataType)).distinct()
     return plan.join(done, block, "left_anti")
