@@ -54,8 +54,14 @@ def light_index(queries: DataFrame, targets: DataFrame, key: str = "row_idx") ->
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: pairs of both runs, pairs of one run only, and the largest difference of p."""
     both = a.select("q", "t", F.col("p").alias("x")).join(b.select("q", "t", F.col("p").alias("y")), ["q", "t"], "full")
+    return difference_of(both.withColumn("n", F.lit(1)))
+
+
+def difference_of(both: DataFrame) -> DataFrame:
+    """``difference`` of rows (x, y, n): n pairs with these figures, null where a run lacks them."""
     alone = F.col("x").isNull() | F.col("y").isNull()
-    return both.agg(F.sum((~alone).cast("long")).alias("n_both"), F.sum(alone.cast("long")).alias("n_one"), F.round(F.coalesce(F.max(F.abs(F.col("x") - F.col("y"))), F.lit(0.0)), 6).alias("largest"))
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n")).otherwise(0)), F.sum(F.lit(0))).cast("long")
+    return both.agg(count(~alone).alias("n_both"), count(alone).alias("n_one"), F.round(F.coalesce(F.max(F.abs(F.col("x") - F.col("y"))), F.lit(0.0)), 6).alias("largest"))
 
 
 def run_range(plan: DataFrame, path: str, score: Score, start: int = 0, stop: int | None = None, at_once: int = 64, seconds: float | None = None, reference: str | None = None) -> Report:
