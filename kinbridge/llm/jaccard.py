@@ -8,10 +8,14 @@ candidate's similarity is computed from its texts before it links.
 The order is by hash, but shingles that occur twice or more in a sample of documents come last, so that a
 common passage is no key of the documents that hold it.  The sample decides on cost alone, not on results.
 
+Before its texts are fetched a pair must pass its sketches: each set has a bit for the parity of its
+shingles' hashes, so two sketches differ in at most as many bits as the sets in shingles, and pairs that
+differ in more than a ninth of their shingles are refused.  No pair that is alike is.
+
 A bucket of up to ``few`` sets gives all its pairs.  A larger one, as of a large group of near copies,
-first gives the pairs with its least set and some pairs of neighbours; once these are verified and their
-components known, it gives all pairs that lie in two components.  So no pair goes unseen that could join
-components, and a large group does not cost all its pairs.
+first gives a spanning forest of the pairs that pass; once these are verified and their components known,
+it gives all pairs that pass and lie in two components.  So no pair goes unseen that could join components,
+and a large group does not cost all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinbridge.llm.common import cut, shingle_places, small_batches
+from kinbridge.llm.common import cut, discard, shingle_places, small_batches
 from kinbridge.llm.components import connected_components
 
 SHINGLE = 5
@@ -64,6 +68,50 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return h[np.argsort(rank, kind="stable")[: n + (-4 * n // 5) + 1]] if n else h
 
 
+#: Bits of a sketch for each shingle, at least; their number is a power of two.
+SKETCH = 4
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The parity of the set's hashes at each value of their last bits, in 64-bit words."""
+    bits = max(64, 1 << (SKETCH * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def halved(words: np.ndarray) -> np.ndarray:
+    """Sketches, a row each, of half as many bits."""
+    half = words.shape[-1] // 2
+    return words[..., :half] ^ words[..., half:]
+
+
+class Sketches:
+    """Sketches of sets by their width; sets whose widths differ by more than a factor of two are never alike."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray):
+        self.sizes = sizes
+        self.width = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+        self.row = np.zeros(len(sketches), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.full[w] = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), w)
+        self.half = {w: halved(x) for w, x in self.full.items() if w // 2 in self.full}
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may be alike with one of the sets."""
+        w, out = int(self.width[one]), np.zeros(len(others), bool)
+        mine = self.full[w][self.row[one]]
+        for v, words, x in ((w, self.full, mine), (2 * w, self.half, mine), (w // 2, self.full, halved(mine))):
+            if v in words:
+                at = np.flatnonzero(self.width[others] == v)
+                k = others[at]
+                differ = np.bitwise_count(words[v][self.row[k]] ^ x).sum(axis=1, dtype=np.int64)
+                out[at] = 9 * differ <= self.sizes[k] + self.sizes[one]
+        return out
+
+
 def common_shingles(keyed: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of shingles that several texts of a sample hold; keyed has tag, text."""
     every = max(1, keyed.count() // sample)
@@ -98,7 +146,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], mos
     held: list[list[np.ndarray]] = []
     n, limit = 0, most
     for batch in batches:
-        held.append([batch[c].to_numpy() for c in names])
+        held.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
         n += batch.num_rows
         if n < limit:
             continue
@@ -139,18 +187,6 @@ def first_pairs(few: int) -> Run:
                 hit = hit[may_be_alike(m[hit], m[hit + lag])]
                 a.append(i[hit])
                 b.append(i[hit + lag])
-            for at, size in zip(edge[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
-                i, m = ids[at : at + size], n[at : at + size]
-                fits = may_be_alike(m[1:], m[0])
-                a.append(np.full(fits.sum(), i[0]))
-                b.append(i[1:][fits])
-                if int(key[at]) % 8 == 0:  # neighbours in an order of this bucket's own
-                    with np.errstate(over="ignore"):
-                        order = np.argsort((i ^ key[at]) * np.int64(0x9E3779B97F4A7C1) >> np.int64(7))
-                    x, y = order[:-1], order[1:]
-                    fits = may_be_alike(m[x], m[y])
-                    a.append(np.minimum(i[x], i[y])[fits])
-                    b.append(np.maximum(i[x], i[y])[fits])
             if sum(map(len, a)):
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
                 yield _found(False, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
@@ -160,26 +196,64 @@ def first_pairs(few: int) -> Run:
     return run
 
 
-def pairs_across() -> Run:
-    """All candidate pairs (a < b) of buckets whose roots differ, from rows (key, id, n, root) sorted by key."""
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, n, root in whole_buckets(batches, ("key", "id", "n", "root")):
-            edge = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                _, group, count = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
-                if len(count) == 1:
-                    continue
-                order = np.argsort(count[group] * len(count) + group, kind="stable")  # the largest component last
-                i, m, g = ids[lo:hi][order], n[lo:hi][order], group[order]
-                ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
-                end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-                for at in range(int(ends[-2])):
-                    hit = end[at] + np.flatnonzero(may_be_alike(m[end[at] :], m[at]))
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[at], i[hit])), pa.array(np.maximum(i[at], i[hit]))], names=["a", "b"])
 
-    return run
+def _crowded(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each bucket's ids, places, sketches and further columns, from rows (key, id, n, sketch, ...) sorted by key."""
+    for key, *columns in whole_buckets(batches, ("key", "id", "n", "sketch", *more), 1 << 14):
+        edge = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield tuple(c[lo:hi] for c in columns)
+
+
+def spanning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a < b) that connect what all candidate pairs of a bucket connect, from rows (key, id, n, sketch) sorted by key and id."""
+    for ids, n, words in _crowded(batches):
+        sketches, left, a, b = Sketches(words.tolist(), n >> PLACE_BITS), np.arange(len(ids)), [], []
+        while len(left) > 1:
+            front, left = [int(left[0])], left[1:]
+            for x in front:  # grows
+                if not len(left):
+                    break
+                near = sketches.near(x, left) & may_be_alike(n[left], n[x])
+                a.append(np.full(near.sum(), ids[x]))
+                b.append(ids[left[near]])
+                front += left[near].tolist()
+                left = left[~near]
+        if sum(map(len, a)):
+            yield _pairs(np.concatenate(a), np.concatenate(b))
+
+
+def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All candidate pairs (a < b) of buckets whose roots differ, from rows (key, id, n, sketch, root) sorted by key."""
+    for ids, n, words, root in _crowded(batches, "root"):
+        _, group, count = np.unique(root, return_inverse=True, return_counts=True)
+        if len(count) == 1:
+            continue
+        order = np.argsort(count[group] * len(count) + group, kind="stable")  # the largest component last
+        i, m, g = ids[order], n[order], group[order]
+        sketches = Sketches(words[order].tolist(), m >> PLACE_BITS)
+        ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+        end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        for at in range(int(ends[-2])):
+            rest = end[at] + np.flatnonzero(may_be_alike(m[end[at] :], m[at]))
+            hit = rest[sketches.near(at, rest)]
+            if len(hit):
+                yield _pairs(np.full(len(hit), i[at]), i[hit])
+
+
+def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches pass, from rows (a, b, x, y, sizes): their sketches and the sum of their sizes."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (x, y, sizes) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sizes"].to_pylist(), strict=True)):
+            u, v = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+            if len(v) == 2 * len(u):
+                v = halved(v)
+            keep[k] = len(u) == len(v) and 9 * int(np.bitwise_count(u ^ v).sum()) <= sizes
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
 
 def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +275,16 @@ def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
 
+def some_of(keyed: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of keyed whose key may be in needed: it is, or shares one of 2**23 bits with one that is.  Saves a shuffle of all texts."""
+    at = F.xxhash64("d", "tag")
+    word, bit = F.shiftrightunsigned(at, 6).bitwiseAND(F.lit((1 << 17) - 1)).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+    bits = needed.select(word.alias("word"), one(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = keyed.withColumn("word", word).join(F.broadcast(bits), "word")
+    return found.where(F.col("bits").bitwiseAND(one(bit)) != 0).drop("word", "bits")
+
+
 def verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame, most: int = 256) -> DataFrame:
     """The pairs (a < b) of sets that are alike; holders: (id, d, tag), a document of each set; keyed: d, tag, text.
 
@@ -208,29 +292,41 @@ def verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame, most: int =
     """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut(pairs.distinct(), "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
     salted = pairs.join(pairs.groupBy("a").count(), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / most)).alias("salt"), "b")
     ends = salted.select("a", "salt", F.col("b").alias("id")).unionByName(salted.select("a", "salt", F.col("a").alias("id")).distinct())
     needed = cut(holders.join(ends.select("id").distinct(), "id"), "jaccard-needed")
-    texts = keyed.join(needed, ["d", "tag"]).select("id", "text")
+    texts = some_of(keyed, needed).join(needed, ["d", "tag"]).select("id", "text")
     rows = ends.join(texts, "id").select("a", "salt", "id", "text")
-    return cut(rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "id").mapInArrow(check_pairs, "a long, b long"), "jaccard-links")
+    links = cut(rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "id").mapInArrow(check_pairs, "a long, b long"), "jaccard-links")
+    discard(pairs)
+    discard(needed)
+    return links
 
 
 def jaccard_links(prints: DataFrame, keyed: DataFrame, few: int = 24) -> DataFrame:
     """Edges (a, b) of set ids whose components are those of all pairs of sets that are alike.
 
-    prints: d, tag, set, n, prefix (null where the task gave the set's prefix before); keyed: d, tag, text.
+    prints: d, tag, set, n, prefix and sketch (null where the task gave the set's before); keyed: d, tag, text.
     """
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posts = prints.where("prefix is not null").select(F.posexplode("prefix").alias("place", "key"), F.col("set").alias("id"), "n")
+    firsts = prints.where("prefix is not null")
+    posts = firsts.select(F.posexplode("prefix").alias("place", "key"), F.col("set").alias("id"), "n")
     posts = posts.select("key", "id", F.shiftleft("n", PLACE_BITS).bitwiseOR(F.col("place")).alias("n"))
     found = cut(posts.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(first_pairs(few), FOUND), "jaccard-found", ["crowded"])
     holders = prints.groupBy(F.col("set").alias("id")).agg(F.min(F.struct("d", "tag")).alias("h")).select("id", "h.d", "h.tag")
-    links = verified(found.where("not crowded").select("a", "b"), keyed, holders)
+    sketches = firsts.select(F.col("set").alias("id"), "n", "sketch").dropDuplicates(["id"])
+    of = lambda end, name: sketches.select(F.col("id").alias(end), F.col("sketch").alias(name), F.col("n").alias(f"n_{name}"))
+    pairs = found.where("not crowded").select("a", "b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b")
+    pairs = pairs.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("sizes")).mapInArrow(near_pairs, "a long, b long")
     crowded = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
     if crowded.isEmpty():
-        return links
+        return verified(pairs, keyed, holders)
+    crowded = cut(crowded.join(sketches.drop("n"), "id"), "jaccard-crowded")
+    in_buckets = lambda rows, run: rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
+    links = verified(pairs.unionByName(in_buckets(crowded.select("key", "id", "n", "sketch"), spanning_pairs)), keyed, holders)
+    discard(found)
     roots = connected_components(links).withColumnRenamed("node", "id")
-    rows = crowded.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    more = rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(pairs_across(), "a long, b long")
-    return links.unionByName(verified(more, keyed, holders))
+    rows = crowded.join(roots, "id", "left").select("key", "id", "n", "sketch", F.coalesce("root", "id").alias("root"))
+    return links.unionByName(verified(in_buckets(rows, pairs_across), keyed, holders))

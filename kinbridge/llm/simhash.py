@@ -214,17 +214,18 @@ def _groups(keyed: DataFrame) -> DataFrame:
             texts = [t.as_py() for t in part["text"]]
             sets = [jaccard.shingle_set(t) for t in texts]
             ids = [jaccard.set_id(h) for h in sets]
-            firsts = []
+            firsts, sketches = [], []
             for i, h in zip(ids, sets, strict=True):
                 firsts.append(None if i in given else jaccard.prefix(h, common, counts).view(np.int64))
+                sketches.append(None if i in given else jaccard.sketch(h).tobytes())
                 if len(given) < 1 << 17:
                     given.add(i)
             yield pa.RecordBatch.from_arrays(
-                [part["d"], part["tag"], part["nameless"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["d", "tag", "nameless", "fp", "set", "n", "prefix"],
+                [part["d"], part["tag"], part["nameless"], pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["d", "tag", "nameless", "fp", "set", "n", "prefix", "sketch"],
             )
 
-    prints = cut(keyed.mapInArrow(run, "d long, tag long, nameless boolean, fp long, set long, n long, prefix array<long>"), "simhash-prints").withColumn("node", F.xxhash64("fp", "set"))
+    prints = cut(keyed.mapInArrow(run, "d long, tag long, nameless boolean, fp long, set long, n long, prefix array<long>, sketch binary"), "simhash-prints").withColumn("node", F.xxhash64("fp", "set"))
     nodes = prints.select("node", "fp", "set").distinct()
     # nodes of one fingerprint, and nodes of one set, are linked to the least of them
     hub = lambda by: nodes.join(nodes.groupBy(by).agg(F.min("node").alias("a")), by).where("a <> node").select("a", F.col("node").alias("b"))

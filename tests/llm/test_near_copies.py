@@ -79,3 +79,31 @@ def test_stage_on_a_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     kept, want = kept_and_wanted(spark, sorted(rows))
     assert kept == want
+
+
+def test_sketches_refuse_no_pair_that_is_alike():
+    """Sets of all sizes and overlaps, of equal and of neighbouring widths; most pairs far apart are refused."""
+    rng, refused, far = np.random.default_rng(33), 0, 0
+    for n in (1, 2, 5, 15, 16, 17, 60, 64, 70, 300, 520, 5000):
+        base = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        sets = [base] + [np.unique(np.concatenate([base[: n - k // 2], rng.integers(0, 2**64, k - k // 2, np.uint64)])) for k in {0, 1, 2, n // 9, n // 8, n // 5, n // 4, n // 2, n}]
+        found = jaccard.Sketches([jaccard.sketch(h).tobytes() for h in sets], np.array([len(h) for h in sets]))
+        for i, x in enumerate(sets):
+            near = found.near(i, np.arange(len(sets)))
+            for y, passes in zip(sets, near.tolist(), strict=True):
+                assert passes or not jaccard.alike(x, y)
+                both = len(np.intersect1d(x, y))
+                far += 10 * both < 7 * (len(x) + len(y) - both)
+                refused += not passes
+    assert refused >= far > 100
+
+
+def test_a_large_group_does_not_fetch_its_texts_for_all_pairs(spark, monkeypatch):
+    """Half of the group's pairs are under the limit, so many components are left when the forest is verified."""
+    rng, rows = random.Random(34), []
+    base = prose(rng, 150).split()
+    rows += [(i, copies(rng, base, rng.randint(0, 5))) for i in range(240)]
+    asked, exact = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: (asked.append(pairs.distinct().count()), exact(pairs, *a))[1])
+    kept, want = kept_and_wanted(spark, rows)
+    assert kept == want and sum(asked) < 5 * len(rows)
