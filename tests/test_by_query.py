@@ -60,3 +60,21 @@ def test_no_targets(sides):
 def test_pairs_are_not_shuffled(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "token#" not in plan
+
+
+def test_entity_counts_equal_those_of_joins(sides):
+    q, t = sides
+    truth = q.select("part", "txt", F.col("id").alias("q")).join(t.select("part", "txt", F.col("id").alias("t")), ["part", "txt"]).select("q", "t")
+    p = byquery.by_query(q, t, CHANNELS, "part", "id", *byquery.relative())
+    for least in (0.0, 0.6, 1.0):
+        want = decide.entity_scores(decide.decide(p, least), truth, q.select(F.col("id").alias("q"))).drop("f05")
+        for parts in (1, 5):
+            found = byquery.entity_counts(q.repartition(parts), t, CHANNELS, "part", "id", "txt", least)
+            assert rows(found) == rows(want) and found.columns == want.columns
+
+
+@pytest.mark.parametrize("name", ["f_beta", "evaluate_macro", "score_decision"])
+def test_scores_do_not_shuffle_pairs_or_join_the_truth(spark, name):
+    """A task gives a row a target: no window over pairs, no full join of accepted and true pairs."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "FullOuter" not in plan
