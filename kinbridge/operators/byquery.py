@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinbridge.operators.retrieve import Channel
 from kinbridge.operators.tokens import tokenize
@@ -43,6 +44,10 @@ class Pairs:
     scores: np.ndarray
     #: The query's true targets, ascending.
     true: np.ndarray
+    #: Further columns of the records, if asked for: of all targets of the part, of all queries, and the place of this one there.
+    known: dict[str, np.ndarray] | None = None
+    asked: dict[str, np.ndarray] | None = None
+    i: int = 0
 
     @property
     def t(self) -> np.ndarray:
@@ -91,19 +96,19 @@ def _tokens(field: str, mode: str):
     return tokenize(F.col(field)) if mode == "tokens" else F.array(F.sha2(F.col(field), 256))
 
 
-def _asks(df: DataFrame, part: str, doc: str, fields: list[tuple[str, str, bool]]) -> DataFrame:
-    """(part, folder, doc, c0, c1, ...): the tokens of each channel; an empty value counts only where ``empty`` says so."""
+def _asks(df: DataFrame, part: str, doc: str, fields: list[tuple[str, str, bool]], more: tuple[str, ...] = ()) -> DataFrame:
+    """(part, folder, doc, c0, c1, ..., more): the tokens of each channel; an empty value counts only where ``empty`` says so."""
     none = F.array().cast("array<string>")
     column = lambda f, mode, empty: F.coalesce(F.when(F.lit(empty) | (F.col(f) != ""), F.filter(_tokens(f, mode), lambda x: x.isNotNull())), none)
-    return df.where(F.col(part).isNotNull()).select(F.col(part).cast("string").alias("part"), F.pmod(F.xxhash64(F.col(part).cast("string")), F.lit(FOLDERS)).cast("int").alias("folder"), F.col(doc).alias("doc"), *[column(*f).alias(f"c{i}") for i, f in enumerate(fields)])
+    return df.where(F.col(part).isNotNull()).select(F.col(part).cast("string").alias("part"), F.pmod(F.xxhash64(F.col(part).cast("string")), F.lit(FOLDERS)).cast("int").alias("folder"), F.col(doc).alias("doc"), *[column(*f).alias(f"c{i}") for i, f in enumerate(fields)], *[F.col(c).alias(f"_{c}") for c in more])
 
 
 def _fields(channels: list[Channel], truth: str | None) -> list[tuple[str, str, bool]]:
     return [(c.field, c.mode, False) for c in channels] + ([(truth, "key", True)] if truth else [])
 
 
-def lists(targets: DataFrame, channels: list[Channel], part: str, doc: str, truth: str | None = None) -> tuple[str, str]:
-    """Writes the target lists; their paths."""
+def lists(targets: DataFrame, channels: list[Channel], part: str, doc: str, truth: str | None = None, more: tuple[str, ...] = ()) -> tuple[str, str]:
+    """Writes the target lists, and beside the ids the columns ``more``; their paths."""
     fields, caps = _fields(channels, truth), [c.df_cap for c in channels] + [None] * bool(truth)
     rows = _asks(targets, part, doc, fields)
     named = lambda i: F.transform(F.col(f"c{i}"), lambda x: F.struct(F.lit(i).alias("ch"), x.alias("token")))
@@ -113,18 +118,21 @@ def lists(targets: DataFrame, channels: list[Channel], part: str, doc: str, trut
     df = F.size("docs")
     cap = F.element_at(F.array(*[F.lit(-1 if c is None else c) for c in caps]), F.col("ch") + 1)
     found = found.where((cap < 0) | (df <= cap)).withColumn("idf", F.round(F.log(F.col("n") / df), 6))
-    return spool(rows.select("part", "folder", "doc"), "targets", ["folder"]), spool(found.select("part", "folder", "ch", "token", "idf", "docs"), "lists", ["folder"])
+    return spool(_asks(targets, part, doc, [], more), "targets", ["folder"]), spool(found.select("part", "folder", "ch", "token", "idf", "docs"), "lists", ["folder"])
 
 
 class Lists:
     """The lists of one part: ids ascending, and of each channel its tokens, their idf and the places of their targets."""
 
-    def __init__(self, paths: tuple[str, str], part: str, folder: int, channels: int):
-        ids = [b["doc"].to_numpy() for b in _batches(paths[0], part, folder)]
-        self.ids = np.sort(np.concatenate(ids)) if ids else np.empty(0, np.int64)
-        self.channels = []
+    def __init__(self, paths: tuple[str, str], part: str, folder: int, channels: int, more: tuple[str, ...] = ()):
+        rows = list(_batches(paths[0], part, folder))
+        ids = np.concatenate([b["doc"].to_numpy() for b in rows]) if rows else np.empty(0, np.int64)
+        order = np.argsort(ids)
+        self.ids, self.channels, self.more = ids[order], [], {}
         if not len(self.ids):
             return
+        for c in more:
+            self.more[c] = pa.concat_arrays([b[f"_{c}"] for b in rows]).take(pa.array(order))
         lo, width = int(self.ids[0]), int(self.ids[-1]) - int(self.ids[0]) + 1
         at = None
         if width <= 32 * len(self.ids) + 1024:
@@ -156,12 +164,31 @@ def _batches(path: str, part: str | None = None, folder: int | None = None) -> I
             yield from f.to_batches(batch_size=1 << 14, use_threads=False, filter=None if part is None else pc.field("part") == part)
 
 
-def _walk(rows: pa.Table, paths: tuple[str, str], channels: int, known: bool) -> Iterator[Pairs]:
+def _coded(known: pa.Array, asked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of targets as codes and the texts of the codes, those of queries likewise and as texts: -1 is null, -2 a text that no target has."""
+    coded = known.dictionary_encode()
+    of_asked = np.where(asked.is_null().to_numpy(zero_copy_only=False), -1, pc.fill_null(pc.index_in(asked, value_set=coded.dictionary), -2).to_numpy())
+    return pc.fill_null(coded.indices, -1).to_numpy(), np.array(coded.dictionary.to_pylist(), object), of_asked, np.array(asked.to_pylist(), object)
+
+
+def _sides(at: Lists, own: pa.Table, more: tuple[str, ...]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The further columns of targets and queries; a text column x is there as codes, and as x_text what ``_coded`` says."""
+    known, asked = {}, {}
+    for c in more:
+        t, q = at.more[c], own[f"_{c}"].combine_chunks()
+        if pa.types.is_string(t.type):
+            known[c], known[f"{c}_text"], asked[c], asked[f"{c}_text"] = _coded(t, q)
+        else:
+            known[c], asked[c] = t.to_numpy(zero_copy_only=False), q.to_numpy(zero_copy_only=False)
+    return known, asked
+
+
+def _walk(rows: pa.Table, paths: tuple[str, str], channels: int, known: bool, more: tuple[str, ...] = ()) -> Iterator[Pairs]:
     """Pairs of each query; the last channel names the true pairs if ``known``."""
     none = np.empty(0, np.int64)
     for part in rows["part"].unique():
         own = rows.filter(pc.equal(rows["part"], part)).combine_chunks()
-        at = Lists(paths, part.as_py(), own["folder"][0].as_py(), channels)
+        at = Lists(paths, part.as_py(), own["folder"][0].as_py(), channels, more)
         docs = own["doc"].to_numpy()
         if not len(at.ids):
             yield from (Pairs(q, none, none, np.zeros((channels - known, 0)), none) for q in docs.tolist())
@@ -172,7 +199,9 @@ def _walk(rows: pa.Table, paths: tuple[str, str], channels: int, known: bool) ->
             hit = pc.fill_null(pc.index_in(column.flatten(), value_set=tokens), -1).to_numpy()
             ends = np.cumsum(pc.list_value_length(column).to_numpy(), dtype=np.int64)
             found.append((hit, np.concatenate([[0], ends]), idf, starts, places))
+        sides = _sides(at, own, more) if more else (None, None)
         at.channels.clear()
+        at.more.clear()
         del own, column, tokens
         pa.default_memory_pool().release_unused()
         n = len(at.ids)
@@ -190,17 +219,19 @@ def _walk(rows: pa.Table, paths: tuple[str, str], channels: int, known: bool) ->
                 else:
                     scores[c] = np.bincount(t, weights=np.repeat(idf[k], hi - lo), minlength=n)
             has = np.flatnonzero(scores.any(axis=0) if len(scores) > 1 else scores[0])
-            yield Pairs(q, at.ids, has, scores[:, has], true)
+            yield Pairs(q, at.ids, has, scores[:, has], true, *sides, i)
 
 
-def by_query(queries: DataFrame, targets: DataFrame, channels: list[Channel], part: str, doc: str, emit: Emit, schema: str, truth: str | None = None, paths: tuple[str, str] | None = None) -> DataFrame:
+def by_query(queries: DataFrame, targets: DataFrame, channels: list[Channel], part: str, doc: str, emit: Emit, schema: str, truth: str | None = None, paths: tuple[str, str] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """What ``emit`` makes of the pairs of each query; truth: the column whose equal values make a true pair, null never.
 
-    paths: what ``lists`` has written for the same targets, channels and truth.
+    paths: what ``lists`` has written for the same targets, channels, truth and more.
+    more: columns of both sides that ``emit`` needs.
     """
     fields = _fields(channels, truth)
-    paths = paths or lists(targets, channels, part, doc, truth)
-    names, n, known = T._parse_datatype_string(schema).names, len(fields), truth is not None
+    paths = paths or lists(targets, channels, part, doc, truth, more)
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+    names, n, known, most = kinds.names, len(fields), truth is not None, ROWS * 8 // max(8, len(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[Pairs]:
@@ -209,26 +240,27 @@ def by_query(queries: DataFrame, targets: DataFrame, channels: list[Channel], pa
                 held.append(batch)
                 size += len(batch["c0"].flatten())
                 if size >= ASKED:
-                    yield from _walk(pa.Table.from_batches(held), paths, n, known)
+                    yield from _walk(pa.Table.from_batches(held), paths, n, known, more)
                     held, size = [], 0
             if held:
-                yield from _walk(pa.Table.from_batches(held), paths, n, known)
+                yield from _walk(pa.Table.from_batches(held), paths, n, known, more)
 
         out, size = [], 0
         for columns in emit(pairs()):
             out.append(columns)
             size += len(columns[names[0]])
-            if size >= ROWS:
-                yield _batch(out, names)
+            if size >= most:
+                yield _batch(out, kinds)
                 out, size = [], 0
         if out:
-            yield _batch(out, names)
+            yield _batch(out, kinds)
 
-    return _asks(queries, part, doc, fields).mapInArrow(run, schema)
+    return _asks(queries, part, doc, fields, more).mapInArrow(run, schema)
 
 
-def _batch(parts: list[dict[str, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[n] for p in parts])) for n in names], names=names)
+def _batch(parts: list[dict[str, np.ndarray]], kinds: pa.Schema) -> pa.RecordBatch:
+    """NaN is null."""
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k.name] for p in parts]), k.type, from_pandas=True) for k in kinds], schema=kinds)
 
 
 # ---- what queries give: an emitter and its schema

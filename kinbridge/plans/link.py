@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinbridge.operators import byquery
 from kinbridge.operators import decide as d
 from kinbridge.operators import features as f
 from kinbridge.operators import models
 from kinbridge.operators import retrieve as r
+from kinbridge.operators import walkfeatures as w
 from kinbridge.operators.metrics import recall_at, truth_ranks
 
 
@@ -49,13 +51,35 @@ def candidates(plan: LinkPlan, queries: DataFrame, targets: DataFrame, index: In
     return r.cap_merged(r.merge_channels(found), plan.cap)
 
 
-def pair_features(plan: LinkPlan, queries: DataFrame, targets: DataFrame, pairs: DataFrame, index: Indexes | None = None) -> DataFrame:
-    """The pairs with all stage-1 features."""
-    index = index or indexes(plan, queries, targets)
+def statistics(plan: LinkPlan, queries: DataFrame, targets: DataFrame, index: Indexes) -> tuple[DataFrame, DataFrame]:
+    """What the features need of each query and of each target."""
     masses = {c.name: ((c.field, c.mode), c.df_cap) for c in plan.channels}
     vocabs = {k: i.vocab for k, i in index.items()}
     side = lambda records, which: f.side_statistics(records, {k: getattr(i, which) for k, i in index.items()}, vocabs, masses, plan.name, plan.address, plan.key_field, plan.key)
-    return f.stage1_features(pairs, plan.names, side(queries, "asked"), side(targets, "posts"))
+    return side(queries, "asked"), side(targets, "posts")
+
+
+def pair_features(plan: LinkPlan, queries: DataFrame, targets: DataFrame, pairs: DataFrame, index: Indexes | None = None) -> DataFrame:
+    """The pairs with all stage-1 features."""
+    return f.stage1_features(pairs, plan.names, *statistics(plan, queries, targets, index or indexes(plan, queries, targets)))
+
+
+def walks(plan: LinkPlan, queries: DataFrame, targets: DataFrame) -> bool:
+    """Whether ``walked_stage1`` can take the records: no channel has a top-K, and ids are unique longs."""
+    return all(c.top_k is None for c in plan.channels) and byquery.can(queries, targets, plan.key)
+
+
+def _walked(plan: LinkPlan, queries: DataFrame, targets: DataFrame, kind: tuple, more: tuple[str, ...]) -> DataFrame:
+    asked, known = statistics(plan, queries, targets, indexes(plan, queries, targets))
+    # a task has queries of few parts, so it reads few lists; records are small, so only a number keeps them apart
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = w.with_statistics(queries, asked, plan.names, plan.key).repartition(n, plan.part, F.pmod(F.xxhash64(plan.key), F.lit(max(1, n // 4))))
+    return byquery.by_query(asked, w.with_statistics(targets, known, plan.names, plan.key), list(plan.channels), plan.part, plan.key, *kind, more=more)
+
+
+def walked_stage1(plan: LinkPlan, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``pair_features`` of ``candidates``, each pair made in the task of its query."""
+    return _walked(plan, queries, targets, w.stage1(plan.names, plan.cap), w.stage1_columns(plan.names))
 
 
 def link(plan: LinkPlan, queries: DataFrame, targets: DataFrame, stage1, stage2, stage1_inputs: list[str] | None = None, stage2_inputs: list[str] | None = None) -> DataFrame:
