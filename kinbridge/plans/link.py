@@ -82,6 +82,11 @@ def walked_stage1(plan: LinkPlan, queries: DataFrame, targets: DataFrame) -> Dat
     return _walked(plan, queries, targets, w.stage1(plan.names, plan.cap), w.stage1_columns(plan.names))
 
 
+def walked_stage2(plan: LinkPlan, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``stage2_features`` where the union score is the ranker's: (q, t, all its columns), texts scored in the task of the query."""
+    return _walked(plan, queries, targets, w.stage2(plan.names, plan.cap, plan.top_k), (*w.stage1_columns(plan.names), *w.STAGE2_COLUMNS))
+
+
 def link(plan: LinkPlan, queries: DataFrame, targets: DataFrame, stage1, stage2, stage1_inputs: list[str] | None = None, stage2_inputs: list[str] | None = None) -> DataFrame:
     """(q, t, p) of the accepted pairs: both models applied, texts joined only to what the first one keeps."""
     index = indexes(plan, queries, targets)

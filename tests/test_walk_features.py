@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinbridge import queries
-from kinbridge.operators import retrieve
+from kinbridge.operators import features, retrieve
 from kinbridge.plans import link
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,18 @@ def test_stage1_pairs_are_not_shuffled(spark):
     """Pairs by joins are ranked in windows."""
     plan = queries.QUERIES["stage1_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_stage2_equals_that_of_joins(sides):
+    q, t = sides
+    for plan in (PLAN, replace(PLAN, cap=1000, top_k=1000)):
+        names = features.stage2_names(plan.names)
+        want = link.stage2_features(plan, q, t, joined(plan, q, t).withColumn("s1_score", F.col("s_sum"))).select("q", "t", *names)
+        found = link.walked_stage2(plan, q, t)
+        assert found.dtypes == want.dtypes and want.count() > 20
+        assert rows(found) == rows(want)
+
+
+def test_stage2_pairs_are_not_shuffled(spark):
+    plan = queries.QUERIES["stage2_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
