@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,41 @@ def test_scores_do_not_shuffle_pairs_or_join_the_truth(spark, name):
     """A task gives a row a target: no window over pairs, no full join of accepted and true pairs."""
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "FullOuter" not in plan
+
+
+def pairs_of(ids, found):
+    """Pairs by hand; found: of each query its targets and their scores."""
+    return [byquery.Pairs(q, ids, np.searchsorted(ids, t), np.array([s], float), np.empty(0, np.int64)) for q, t, s in found]
+
+
+def test_a_task_gives_a_row_a_target_though_it_comes_back_to_a_part():
+    """Lists are read again for further queries, so the same targets come as another array."""
+    first, other, again = np.array([1, 3, 5]), np.array([7]), np.array([1, 3, 5])
+    pairs = pairs_of(first, [(4, [1, 3], [2e6, 1e6])]) + pairs_of(other, [(6, [7], [1e6])]) + pairs_of(again, [(2, [1], [1e6]), (8, [3, 5], [3e6, 1e6]), (0, [], [])])
+    found = [r for x in byquery.best_of_task()[0](iter(pairs)) for r in zip(*(x[c].tolist() for c in "tpq"), strict=True)]
+    assert sorted(found) == [(1, 1.0, 2), (3, 1.0, 8), (5, 0.333333, 8), (7, 1.0, 6)]
+
+
+def test_tasks_that_look_for_the_best_follow_the_cores(spark, sides, monkeypatch):
+    q, t = sides
+    plans, put = [], byquery.spool
+    monkeypatch.setattr(byquery, "spool", lambda df, name, *more: (plans.append((name, df)), put(df, name, *more))[1])
+    many = 9 * byquery.WAVES * spark.sparkContext.defaultParallelism
+    found = byquery.best_per_target(q.repartition(many), t, CHANNELS, "part", "id")
+    plan = dict(plans)["owners"]._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {many // 9}, false" in plan
+    assert rows(found) == rows(byquery.best_per_target(q, t, CHANNELS, "part", "id"))
+
+
+@pytest.mark.parametrize("most", [3, 4, 1 << 21])
+def test_pairs_are_returned_by_p(spark, sides, monkeypatch, most):
+    """Up to so many at once, also where they end inside a query."""
+    q, t = sides
+    want = rows(byquery.best_per_target(q, t, CHANNELS, "part", "id"))
+    path = byquery.spool(spark.createDataFrame([(1, 4), (3, 2), (7, 6)], "t long, q long"), "owners")
+    pairs = pairs_of(np.array([1, 3, 5]), [(2, [1, 3, 5], [2e6, 4e6, 1e6]), (4, [1, 3], [4e6, 1e6])]) + pairs_of(np.array([7]), [(6, [7], [1e6])])
+    monkeypatch.setattr(byquery, "SORTED", most)
+    found = [list(zip(*(x[c].tolist() for c in ("q", "t", "p", "best")), strict=True)) for x in byquery.owned(path)[0](iter(pairs))]
+    assert all([r[2] for r in x] == sorted(r[2] for r in x) for x in found)
+    assert sorted(r for x in found for r in x) == [(2, 1, 0.5, False), (2, 3, 1.0, True), (2, 5, 0.25, False), (4, 1, 1.0, True), (4, 3, 0.25, False), (6, 7, 1.0, True)]
+    assert max(map(len, found)) <= most and rows(byquery.best_per_target(q, t, CHANNELS, "part", "id")) == want
